@@ -25,28 +25,63 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .common import blocks, materialize, ragged, ranges, release, texts
+from .common import blocks, materialize, ragged, ranges
 
 MAX_TOKENS = 2048
 END_ID = 1
 #: Words that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Pieces of one length and salt are numbered together; so many at about.
 RANKED_TOGETHER = 100_000
 
 
+class Memory:
+    """Key -> number, and the values of all numbers end to end."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, dtype=np.uint32)
+        self.starts, self.lengths = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
+        self.used = 0
+
+    def add(self, keys: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        first, total = len(self.known), len(flat)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(keys) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.flat[self.used : self.used + total] = flat
+        self.starts[first : first + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first : first + len(keys)] = lengths
+        self.known.update(zip(keys, range(first, first + len(keys)), strict=True))
+        self.used += total
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of so many values."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
 class Tokens:
-    """ids of whole texts, each distinct word sent once through the tokenizers library.
+    """ids of whole texts, each distinct piece sent once through the tokenizers library.
 
-    The vocabulary's pre-tokenizer drops white space and no token, case mapping or
-    normal form reaches across it, so a text's ids are those of its words. Texts with
-    a separator that libraries class differently go through the library whole.
+    The vocabulary's pre-tokenizer drops white space, and no token, case mapping or
+    normal form reaches across it, so a text's ids are those of its white-space
+    separated words, and a word's those of its pieces. Both levels are dictionary
+    encoded by Arrow, so that Python sees a block's distinct pieces only. What has a
+    separator or a case that libraries class differently goes through the library whole.
     """
 
-    ODD = regex.compile("[\x1c-\x1f\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+    ODD = [chr(c) for a, b in ((0x1C, 0x20), (0x1680, 0x1681), (0x180E, 0x180F), (0x2000, 0x2010), (0x2028, 0x2030), (0x205F, 0x2070), (0x3000, 0x3001), (0xFEFF, 0xFF00)) for c in range(a, b)]
+    #: Beyond U+024F, and at the capital I with dot, case and class may differ between libraries.
+    FOREIGN = "[^\\x{0}-\\x{12f}\\x{131}-\\x{24f}]"
+    #: Fixed pattern of the vocabulary file's pre-tokenizer.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,42 +89,69 @@ class Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.starts, self.lengths = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
-        self.used = 0
-
-    def learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        total, first = int(lengths.sum()), len(self.known)
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(words) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=total)
-        self.starts[first : first + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[first : first + len(words)] = lengths
-        self.known.update(zip(words, range(first, first + len(words)), strict=True))
-        self.used += total
-
-    def encode_block(self, block: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
+        self.pieces = Memory()
+        self.pieces.add([""], np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64))
+
+    def whole(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.model.encode_batch_fast(lines, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+
+    def learn(self, pieces: list[str]) -> None:
+        """Pieces are encoded in lines of many; each ends with the id of a word end."""
+        flat, _ = self.whole([" ".join(pieces[i : i + 500]) for i in range(0, len(pieces), 500)])
+        lengths = np.diff(np.nonzero(self.ends[flat])[0], prepend=-1)
+        if len(lengths) != len(pieces):
+            raise ValueError("the vocabulary doesn't mark word ends")
+        self.pieces.add(pieces, flat, lengths)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of distinct words end to end, and the count of each."""
+        foreign = np.asarray(pc.match_substring_regex(words, self.FOREIGN))
+        plain = words.filter(pa.array(~foreign)) if foreign.any() else words
+        spaced = pc.replace_substring_regex(pc.utf8_lower(plain), f"({self.PIECES})", r"\1 ")
+        parts = pc.split_pattern(pc.utf8_rtrim(spaced, " "), " ")
+        counts = np.asarray(pc.list_value_length(parts)).astype(np.int64)
+        distinct = parts.flatten().dictionary_encode()
+        keys = distinct.dictionary.to_pylist()
+        if len(self.pieces.known) > REMEMBERED:
             self.forget()
-        split = [None if self.ODD.search(x) else x.split() for x in block]
-        new = set().union(*(x for x in split if x is not None)) - self.known.keys()
+        new = [x for x in keys if x not in self.pieces.known]
         if new:
-            self.learn(list(new))
-        number, out = self.known.__getitem__, []
-        for text, words in zip(block, split, strict=True):
-            if words is None:
-                out.append(np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
-            else:
-                which = np.array(list(map(number, words)), dtype=np.int64)
-                out.append(self.ids[ranges(self.starts[which], self.lengths[which])])
+            self.learn(new)
+        which = np.fromiter(map(self.pieces.known.__getitem__, keys), dtype=np.int64, count=len(keys))[np.asarray(distinct.indices)]
+        lengths = self.pieces.lengths[which]
+        flat, lengths = self.pieces.flat[ranges(self.pieces.starts[which], lengths)], sums(lengths, counts)
+        if not foreign.any():
+            return flat, lengths
+        others, other_lengths = self.whole(words.filter(pa.array(foreign)).to_pylist())
+        both = np.zeros(len(words), dtype=np.int64)
+        both[~foreign], both[foreign] = lengths, other_lengths
+        starts = np.zeros(len(words), dtype=np.int64)
+        starts[~foreign], starts[foreign] = np.cumsum(lengths) - lengths, len(flat) + np.cumsum(other_lengths) - other_lengths
+        return np.concatenate([flat, others])[ranges(starts, both)], both
+
+    def encode_block(self, block: pa.Array) -> list[np.ndarray]:
+        """ids of each text of an Arrow string column, null as empty."""
+        block = pc.fill_null(block, "")
+        split = pc.utf8_split_whitespace(block)
+        counts = np.asarray(pc.list_value_length(split)).astype(np.int64)
+        own = split.flatten().dictionary_encode()
+        out = [np.zeros(0, dtype=np.uint32)] * len(block)
+        if len(own):
+            # an empty string (from white space at an end) has no ids
+            flat, lengths = self.words(own.dictionary)
+            which = np.asarray(own.indices).astype(np.int64)
+            starts, lengths = (np.cumsum(lengths) - lengths)[which], lengths[which]
+            out = np.split(flat[ranges(starts, lengths)], np.cumsum(sums(lengths, counts))[:-1])
+        for i, text in enumerate(block.to_pylist()):
+            if any(c in text for c in self.ODD):
+                out[i] = np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return out
 
 
@@ -106,9 +168,9 @@ def cut(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, with_ids: bool
 
     def run(batches):
         own = tokens(path)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", 6 << 20):
             rows, which = [], []
-            for i, ids in enumerate(own.encode_block(texts(block))):
+            for i, ids in enumerate(own.encode_block(block.column(block.schema.get_field_index("text")))):
                 ids = np.append(ids, np.uint32(END_ID))
                 for start in range(0, len(ids), max_tokens):
                     part = ids[start : start + max_tokens].astype("<u4")
