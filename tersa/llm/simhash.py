@@ -1,24 +1,31 @@
 """Operator 2: SimHash near-dedup by tiled exact comparison.
 
-Fingerprints are 64 majority bits over the XXH64 values of all 3-word shingles. The
-distinct fingerprints are dealt into tiles by the population counts of their four
-16-bit words: two fingerprints at distance ``radius`` or less have counts whose
-differences sum to ``radius`` at most, so a tile is compared only with the tiles
-within that sum, by numpy exclusive-or and bit counts, and every other tile pair is
-skipped unseen. Tiles of more than ``TILE`` fingerprints are split by hash and each
-part meets every part. A tile emits a spanning forest of its links instead of all
-pairs, and components follow from alternating star contraction on those edges.
+A fingerprint is the majority bits over the XXH64 values of all word shingles: one
+64-bit word, or more words for a finer estimate of similarity. Distinct fingerprints
+are dealt into tiles by the population counts of parts of their first word: two
+fingerprints at distance ``radius`` or less have counts whose differences sum to
+``radius`` at most, so a tile is compared only with the tiles within that sum, by numpy
+exclusive-or and bit counts, and every other tile pair is skipped unseen. Tiles of more
+than ``TILE`` fingerprints are split by hash and each part meets every part. A tile
+emits a spanning forest of its links instead of all pairs, and components follow from
+alternating star contraction on those edges.
+
+``Rule`` holds what links: by default the 3-word shingles, one word and two bits of the
+query's contract. ``SIMILAR`` is the rule of a filtering stage: 5-word shingles whose
+estimated similarity is 0.8 or more, from 512 bits; the first word alone, with a wide
+radius, proposes and all eight decide.
 
 Defined cases: null or wordless text has fingerprint zero and is linked like any
-other; texts of one or two words are a single shingle; a null doc_id takes part but
+other; texts shorter than a shingle are a single shingle; a null doc_id takes part but
 is never a component id (null if a component has no other); repeated rows share
-their component; extra columns pass through ``fingerprints``; empty tables give
-empty tables.
+their component; extra columns pass through ``fingerprints`` and ``deduplicate``; empty
+tables give empty tables.
 """
 
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 from operator import itemgetter
 
 import numpy as np
@@ -28,93 +35,130 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import blocks, materialize, partitions, release, texts
 
-SHINGLE_WORDS = 3
 SEED = 42
-#: Distinct fingerprints of one tile that are compared as one matrix side.
-TILE = 8192
 #: Elements of one exclusive-or matrix.
 CELLS = 1 << 21
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str) -> int:
+@dataclass(frozen=True)
+class Rule:
+    """What is a shingle, how many words a fingerprint has, and what links."""
+
+    shingle: int = 3
+    words: int = 1
+    #: Differing bits of the first word, at most.
+    radius: int = 2
+    #: Differing bits of all words, at most.
+    limit: int = 2
+    #: Equal parts of the first word whose population counts name a tile.
+    parts: int = 4
+    #: Distinct fingerprints of one tile that are compared as one matrix side.
+    tile: int = 8192
+
+
+#: Jaccard similarity 0.8 of shingle sets is a cosine of about 8/9, so an angle at which 0.15 of the
+#: bits differ: 78 of 512 on average, with a standard deviation of 8, and 10 of 64, with one of 3.
+SIMILAR = Rule(shingle=5, words=8, radius=16, limit=88, parts=1, tile=1 << 15)
+
+
+def fingerprint(text: str, rule: Rule = Rule()) -> np.ndarray:
+    """The words of bits, uint64."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE_WORDS:
-        return digest(b" ".join(words), SEED)
-    ones, total = np.zeros(64, dtype=np.int64), len(words) - SHINGLE_WORDS + 1
-    for start in range(0, total, 1 << 15):
-        part = words[start : start + (1 << 15) + SHINGLE_WORDS - 1]
+        return np.zeros(rule.words, dtype=np.uint64)
+    digest, size = xxhash.xxh64_intdigest, min(rule.shingle, len(words))
+    ones, total = np.zeros(64 * rule.words, dtype=np.int64), len(words) - size + 1
+    for start in range(0, total, 1 << 13):
+        part = words[start : start + (1 << 13) + size - 1]
         line = b" ".join(part)
         ends = list(itertools.accumulate(len(w) + 1 for w in part))
         begins = [0, *ends]
-        hashes = np.array([digest(line[b : e - 1], SEED) for b, e in zip(begins, ends[SHINGLE_WORDS - 1 :], strict=False)], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+        hashes = np.array([digest(line[b : e - 1], SEED) for b, e in zip(begins, ends[size - 1 :], strict=False)], dtype="<u8")
+        every = np.stack([hashes, *(remixed(hashes, k) for k in range(1, rule.words))], axis=1)
+        ones += np.unpackbits(every.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > total, bitorder="little").view("<u8")
+
+
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Further bits of a 64-bit hash."""
+    x = hashes * np.uint64(2 * k + 1) + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
-    """``docs`` without its text, with the fingerprint as a (signed) long."""
-    kept = [c for c in docs.columns if c not in (text, name)]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.LongType())])
+def fingerprints(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
+    """``docs`` without its text, with node (the first word, or a hash of several) and bits (all words)."""
+    kept = [c for c in docs.columns if c not in (text, "node", "bits")]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("node", T.LongType()), T.StructField("bits", T.BinaryType())])
 
     def run(batches):
         for block in blocks(batches, text):
-            values = np.array([fingerprint(x) for x in texts(block, text)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([block.column(block.schema.get_field_index(c)) for c in kept] + [pa.array(values)], names=schema.names)
+            values = np.stack([fingerprint(x, rule) for x in texts(block, text)])
+            nodes = values[:, 0] if rule.words == 1 else np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in values], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([block.column(block.schema.get_field_index(c)) for c in kept] + [pa.array(nodes.view(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())], names=schema.names)
 
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
-def signature(fps: np.ndarray) -> np.ndarray:
-    """Population counts of the four 16-bit words, five bits each."""
-    counts = np.bitwise_count(np.ascontiguousarray(fps).view(np.uint16).reshape(-1, 4)).astype(np.int64)
-    return counts @ np.array([1, 32, 1024, 32768], dtype=np.int64)
+def word_matrix(column: pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, words)
 
 
-def steps(radius: int) -> list[tuple[int, tuple[int, ...]]]:
+def signature(first: np.ndarray, parts: int) -> np.ndarray:
+    """Population counts of equal parts of a word, seven bits each."""
+    kind = {1: np.uint64, 2: np.uint32, 4: np.uint16}[parts]
+    counts = np.bitwise_count(np.ascontiguousarray(first).view(kind).reshape(-1, parts)).astype(np.int64)
+    return counts @ (128 ** np.arange(parts, dtype=np.int64))
+
+
+def steps(rule: Rule) -> list[tuple[int, tuple[int, ...]]]:
     """Signature differences of the tiles that a tile visits: each pair of tiles once."""
-    around = [d for d in itertools.product(range(-radius, radius + 1), repeat=4) if 0 < sum(map(abs, d)) <= radius and d > (0, 0, 0, 0)]
-    return [(sum(x * s for x, s in zip(d, (1, 32, 1024, 32768), strict=True)), d) for d in around]
+    zero = (0,) * rule.parts
+    around = [d for d in itertools.product(range(-rule.radius, rule.radius + 1), repeat=rule.parts) if sum(map(abs, d)) <= rule.radius and d > zero]
+    return [(sum(x * 128**k for k, x in enumerate(d)), d) for d in around]
 
 
-def deal(fps: DataFrame, held: dict[int, int], radius: int) -> DataFrame:
-    """(tile, part, visits, fp): each fingerprint at home and in every tile that it visits. held: fingerprints by tile."""
-    spread = fps.sparkSession.sparkContext.broadcast((np.array(sorted(held)), np.array([-(-held[k] // TILE) for k in sorted(held)])))
-    moves = steps(radius)
+def deal(fps: DataFrame, held: dict[int, int], rule: Rule) -> DataFrame:
+    """(tile, part, visits, node, bits): each fingerprint at home and in every tile that it visits. held: fingerprints by tile."""
+    names = np.array(sorted(held))
+    spread = fps.sparkSession.sparkContext.broadcast((names, np.array([-(-held[k] // rule.tile) for k in names.tolist()])))
+    moves, most = steps(rule), 64 // rule.parts
 
     def run(batches):
         tiles, parts = spread.value
         for batch in batches:
-            fp = np.asarray(batch.column(0)).astype(np.int64)
-            if not len(fp):
+            node = np.asarray(batch.column(0)).astype(np.int64)
+            if not len(node):
                 continue
-            home = signature(fp)
-            mine = ((fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+            bits = batch.column(1)
+            home = signature(word_matrix(bits, rule.words)[:, 0], rule.parts)
+            mine = ((node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
             split = parts[np.searchsorted(tiles, home)]
-            counts = np.stack([(home >> (5 * i)) & 31 for i in range(4)])
-            out = [(home, mine % split, np.zeros(len(fp), dtype=np.int8), fp)]
-            large = np.nonzero(split > 1)[0]  # parts of a tile visit the later parts
-            for k in range(1, int(split.max())):
-                some = large[(mine % split)[large] < k]
-                some = some[split[some] > k]
-                out.append((home[some], np.full(len(some), k), np.ones(len(some), dtype=np.int8), fp[some]))
+            counts = np.stack([(home >> (7 * i)) & 127 for i in range(rule.parts)])
+            every = np.arange(len(node))
+
+            def rows(tile, part, visits, who):
+                if len(who):
+                    who_ = pa.array(who)
+                    yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.full(len(who), visits, dtype=np.int8)), batch.column(0).take(who_), bits.take(who_)], names=["tile", "part", "visits", "node", "bits"])
+
+            yield from rows(home, mine % split, 0, every)
+            for k in range(1, int(split.max())):  # the parts of a tile visit its later parts
+                some = every[(split > k) & (mine % split < k)]
+                yield from rows(home[some], np.full(len(some), k), 1, some)
             for move, deltas in moves:
-                there = np.all([(c + d >= 0) & (c + d <= 16) for c, d in zip(counts, deltas, strict=True)], axis=0)
+                there = every[np.all([(c + d >= 0) & (c + d <= most) for c, d in zip(counts, deltas, strict=True)], axis=0)]
                 goal = home[there] + move
                 slot = np.minimum(np.searchsorted(tiles, goal), len(tiles) - 1)
                 found = tiles[slot] == goal
-                goal, slot, who = goal[found], slot[found], fp[there][found]
+                goal, slot, who = goal[found], slot[found], there[found]
                 for k in range(int(parts[slot].max()) if len(slot) else 0):
                     some = parts[slot] > k
-                    out.append((goal[some], np.full(int(some.sum()), k), np.ones(int(some.sum()), dtype=np.int8), who[some]))
-            for tile, part, visits, who in out:
-                if len(who):
-                    yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(visits), pa.array(who)], names=["tile", "part", "visits", "fp"])
+                    yield from rows(goal[some], np.full(int(some.sum()), k), 1, who[some])
 
-    return fps.mapInArrow(run, "tile int, part int, visits tinyint, fp long")
+    return fps.select("node", "bits").mapInArrow(run, "tile int, part int, visits tinyint, node long, bits binary")
 
 
 class Forest:
@@ -133,71 +177,62 @@ class Forest:
                 self.up = self.up[self.up]
 
 
-def near(left: np.ndarray, right: np.ndarray, radius: int):
-    """Index pairs at ``radius`` or less, stripe by stripe."""
+def near(left: np.ndarray, right: np.ndarray, rule: Rule):
+    """Index pairs of rows of words that link, stripe by stripe."""
     step = max(1, CELLS // max(1, len(right)))
+    first, others = np.ascontiguousarray(left[:, 0]), np.ascontiguousarray(right[:, 0])
     for start in range(0, len(left), step):
-        a, b = np.nonzero(np.bitwise_count(left[start : start + step, None] ^ right[None, :]) <= radius)
+        a, b = np.nonzero(np.bitwise_count(first[start : start + step, None] ^ others[None, :]) <= rule.radius)
+        if rule.words > 1 and len(a):
+            close = np.concatenate([np.bitwise_count(left[a[i : i + (1 << 18)] + start] ^ right[b[i : i + (1 << 18)]]).sum(axis=1) <= rule.limit for i in range(0, len(a), 1 << 18)])
+            a, b = a[close], b[close]
         if len(a):
             yield a + start, b
 
 
-def tile_links(home: np.ndarray, radius: int) -> Forest:
-    """The components of one tile by its own links."""
-    forest = Forest(len(home))
-    for a, b in near(home, home, radius):
-        forest.join(a, b)
-    return forest
-
-
-def guest_links(home: np.ndarray, forest: Forest, guests: np.ndarray, radius: int):
-    """One edge for each guest and component of the tile that the guest links to."""
-    for a, b in near(home, guests, radius):
-        links = np.unique(forest.up[a] * len(guests) + b)
-        yield home[links // len(guests)], guests[links % len(guests)]
-
-
-def compare(dealt: DataFrame, radius: int) -> DataFrame:
-    """Edges (u, v), u > v, that connect what lies within ``radius``."""
+def compare(dealt: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (u, v), u > v, that connect the same nodes as all links do."""
     n = partitions(dealt.sparkSession)
     sorted_ = dealt.repartition(n, "tile", "part").sortWithinPartitions("tile", "part", "visits")
 
     def runs(batches):
-        """(key, visits, array) for each run of rows with the same tile, part and visits."""
+        """(key, visits, nodes, words) for each run of rows with the same tile, part and visits."""
         for batch in batches:
-            tile, part, visits, fp = (np.asarray(batch.column(i)).astype(np.int64) for i in range(4))
+            tile, part, visits, node = (np.asarray(batch.column(i)).astype(np.int64) for i in range(4))
             key = (tile << 32) | (part << 1) | visits
             cuts = [0, *(np.nonzero(np.diff(key))[0] + 1).tolist(), len(key)]
+            words = word_matrix(batch.column(4), rule.words)
             for a, b in itertools.pairwise(cuts):
                 if b > a:
-                    yield int(key[a]) >> 1, int(visits[a]), fp[a:b].view(np.uint64)
+                    yield int(key[a]) >> 1, int(visits[a]), node[a:b], words[a:b]
 
     def links(batches):
         for _, own in itertools.groupby(runs(batches), key=itemgetter(0)):
-            home: list = []
-            forest = None
-            for _, visits, fps in own:  # a tile's own fingerprints come first
+            home, forest = [], None
+            for _, visits, nodes, words in own:  # a tile's own fingerprints come first
                 if not visits:
-                    home.append(fps)
+                    home.append((nodes, words))
                     continue
                 if not home:
                     break
                 if forest is None:
-                    home = [np.concatenate(home)]
-                    forest = tile_links(home[0], radius)
-                yield from guest_links(home[0], forest, fps, radius)
+                    home = [tuple(map(np.concatenate, zip(*home, strict=True)))]
+                    forest = tile_links(home[0][1], rule)
+                for a, b in near(home[0][1], words, rule):  # one edge for each guest and component that it links to
+                    pairs = np.unique(forest.up[a] * len(words) + b)
+                    yield home[0][0][pairs // len(words)], nodes[pairs % len(words)]
             if home:
-                home = [np.concatenate(home)]
-                forest = forest or tile_links(home[0], radius)
-                inner = np.nonzero(forest.up != np.arange(len(home[0])))[0]
-                yield home[0][inner], home[0][forest.up[inner]]
+                home = [tuple(map(np.concatenate, zip(*home, strict=True)))]
+                forest = forest or tile_links(home[0][1], rule)
+                inner = np.nonzero(forest.up != np.arange(len(forest.up)))[0]
+                yield home[0][0][inner], home[0][0][forest.up[inner]]
 
     def run(batches):
         us, vs, n = [], [], 0
         for u, v in itertools.chain(links(batches), [(None, None)]):
             if u is not None:
-                us.append(u.view(np.int64))
-                vs.append(v.view(np.int64))
+                us.append(u)
+                vs.append(v)
                 n += len(u)
             if us and (u is None or n >= 50_000):
                 u, v = np.concatenate(us), np.concatenate(vs)
@@ -207,6 +242,14 @@ def compare(dealt: DataFrame, radius: int) -> DataFrame:
     return sorted_.mapInArrow(run, "u long, v long")
 
 
+def tile_links(words: np.ndarray, rule: Rule) -> Forest:
+    """The components of one tile by its own links."""
+    forest = Forest(len(words))
+    for a, b in near(words, words, rule):
+        forest.join(a, b)
+    return forest
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v), root the smallest node reachable: alternating large-star and small-star rounds until nothing changes."""
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -227,24 +270,40 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``."""
-    rows = materialize(fingerprints(docs.select("doc_id", "text")), "fingerprints")
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    fps = materialize(first, "distinct")
-    cells = fps.select("fp").mapInArrow(_tiles, "tile int").groupBy("tile").count()  # at most 17 ** 4 rows
+def linked(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(node, root) of every node that links to another. rows: node and bits, repeated as they come."""
+    fps = materialize(rows.groupBy("node").agg(F.min("bits").alias("bits")), "distinct")
+
+    def tiles(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(signature(word_matrix(batch.column(0), rule.words)[:, 0], rule.parts).astype(np.int32))], names=["tile"])
+
+    cells = fps.select("bits").mapInArrow(tiles, "tile int").groupBy("tile").count()  # as many as there are signatures, 17 ** 4 at most
     held = {r["tile"]: r["count"] for r in cells.collect()}
-    linked = components(compare(deal(fps.select("fp"), held, radius), radius)) if held else None
-    if linked is None:
-        return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("doc_id").alias("component_id"))
-    linked = materialize(linked, "links")
-    of_root = linked.join(fps, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first_id").alias("least_id"))
-    of_node = linked.join(of_root, "root").select(F.col("node").alias("fp"), "least_id")
-    named = materialize(fps.join(of_node, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "components")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def _tiles(batches):
-    for batch in batches:
-        fp = np.asarray(batch.column(0)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(signature(fp).astype(np.int32))], names=["tile"])
+    return materialize(components(compare(deal(fps, held, rule), rule) if held else fps.select(F.col("node").alias("u"), F.col("node").alias("v"))), "links")
+
+
+def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits; for several words, of their hash) and component_id of every row of ``docs``."""
+    rows = materialize(fingerprints(docs.select("doc_id", "text"), rule), "fingerprints")
+    links = linked(rows, rule)
+    firsts = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "firsts")
+    of_root = links.join(firsts, "node").groupBy("root").agg(F.min("first_id").alias("least_id"))
+    of_node = links.join(of_root, "root").select("node", "least_id")
+    named = materialize(firsts.join(of_node, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id")), "components")
+    return rows.join(named, "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, then smallest text hash (null ids last)."""
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = materialize(fingerprints(docs.select("doc_id", "text", text_key.alias("key")), rule), "fingerprints")
+    links = linked(rows, rule)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
+    firsts = rows.groupBy("node").agg(F.min(order).alias("first"))
+    named = firsts.join(links, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    chosen = materialize(named.select("first.doc_id", "first.key").distinct(), "chosen")
+    whole = docs.withColumn("_key", text_key)
+    kept = whole.join(chosen.withColumnRenamed("doc_id", "_id"), whole["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
