@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import text_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
