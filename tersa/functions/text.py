@@ -27,7 +27,8 @@ def body_tokens(text: Column) -> Column:
 
 
 def format_tokens(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000.0)).when(n >= 1000, F.format_string("%.1fk", n / 1000.0)).otherwise(n.cast("string"))
+    """One decimal, half up, with k or M."""
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", F.floor((n + 50_000) / 100_000) / 10.0)).when(n >= 1000, F.format_string("%.1fk", F.floor((n + 50) / 100) / 10.0)).otherwise(n.cast("string"))
 
 
 def collapse(text: Column) -> Column:

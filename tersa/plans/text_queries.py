@@ -20,7 +20,7 @@ def context_by_source(spark, d):
 
 
 @query("""SELECT doc_id, source, ceil(length(text) / 4.0)::BIGINT AS tokens,
-  CASE WHEN ceil(length(text) / 4.0) >= 1000 THEN printf('%.1fk', ceil(length(text) / 4.0) / 1000.0) ELSE ceil(length(text) / 4.0)::BIGINT::VARCHAR END AS shown
+  CASE WHEN ceil(length(text) / 4.0) >= 1000 THEN printf('%.1fk', floor((ceil(length(text) / 4.0) + 50) / 100) / 10.0) ELSE ceil(length(text) / 4.0)::BIGINT::VARCHAR END AS shown
   FROM documents ORDER BY tokens DESC, doc_id LIMIT 25""")
 def largest_documents(spark, d):
     tokens = X.token_estimate(F.col("text"))
@@ -105,7 +105,7 @@ def lookup_rank(spark, d):
 @query("""SELECT doc_id, pos, CASE WHEN regexp_matches(line, '(?i)licen[sc]e') THEN 'license' WHEN regexp_matches(line, 'token = ') THEN 'secret' ELSE 'mail' END AS first_pattern,
    (regexp_matches(line, '(?i)licen[sc]e')::INT + regexp_matches(line, 'token = ')::INT + regexp_matches(line, '[a-z]+@[a-z]+')::INT) AS patterns
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)
-  WHERE regexp_matches(line, '(?i)licen[sc]e|token = |[a-z]+@[a-z]+')""")
+  WHERE regexp_matches(line, '(?i:licen[sc]e)|token = |[a-z]+@[a-z]+')""")
 def multi_pattern(spark, d):
     """One pass over all lines for several patterns; every line names its first and counts all."""
     rows = lines(read(spark, d, "documents")).where(F.col("line").rlike("(?i)licen[sc]e") | F.col("line").rlike("token = |[a-z]+@[a-z]+"))
