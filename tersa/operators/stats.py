@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 #: Half-width, as a share of the rows, of the slice that an exact percentile is searched in.
 SLICE = 0.002
+#: Groups of so many rows at most are ranked whole; in larger ones the slice holds the neighbours of the sought rank with room to spare.
+WHOLE = 10_000
 
 
 def quantiles(rows: DataFrame, key: str, value: str, q: float) -> DataFrame:
@@ -13,9 +15,10 @@ def quantiles(rows: DataFrame, key: str, value: str, q: float) -> DataFrame:
     values = rows.where(F.col(value).isNotNull()).select(key, value)
     low, high = max(0.0, q - SLICE), min(1.0, q + SLICE)
     bounds = values.groupBy(key).agg(F.count("*").alias("n"), F.percentile_approx(value, F.array(F.lit(low), F.lit(high)), 10_000).alias("b"))
-    sized = bounds.select(key, "n", F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
+    whole = F.col("n") <= WHOLE
+    sized = bounds.select(key, "n", F.when(whole, float("-inf")).otherwise(F.col("b")[0]).alias("low"), F.when(whole, float("inf")).otherwise(F.col("b")[1]).alias("high"))
     at = F.lit(q) * (F.col("n") - 1)
-    placed = values.join(F.broadcast(sized) if key == "event_type" else sized, key)
+    placed = values.join(sized, key)
     below = placed.groupBy(key).agg(F.sum((F.col(value) < F.col("low")).cast("bigint")).alias("below"))
     inside = placed.where(F.col(value).between(F.col("low"), F.col("high")))
     counts = inside.groupBy(key, value, "n").agg(F.count("*").alias("c")).join(below, key)
