@@ -254,7 +254,8 @@ def binary(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` without its text column, with ``ids array<int>``; ``decoded``: also a binary column decoded back from them in the same pass."""
     kept = [c for c in docs.columns if c not in (text, ids, decoded)]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))] + [T.StructField(decoded, T.BinaryType())] * bool(decoded))
+    schema = T.StructType([docs.schema[c] for c in kept]).add(ids, T.ArrayType(T.IntegerType()))
+    schema = schema.add(decoded, T.BinaryType()) if decoded else schema
 
     def run(batches):
         own = codec(path, pattern)
