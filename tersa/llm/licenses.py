@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+LETTER = "[0-9A-Za-z\\x80-\\x{10FFFF}]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed phrases and labels of the base scan.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -75,8 +76,8 @@ def words(text: Column) -> Column:
 
 def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
     """Rows of ``docs``, and in how many of them each template word stands."""
-    kept = "(?i)(?<![0-9A-Za-z\\x80-\\x{10FFFF}])(?:" + "|".join(sorted(vocabulary(), key=lambda w: (-len(w), w))) + ")(?![0-9A-Za-z\\x80-\\x{10FFFF}])"
-    hits = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(kept), F.lit(0)), lowered))
+    split = F.split(lowered(F.coalesce(F.col(text), F.lit(""))), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", -1)
+    hits = F.array_intersect(split, F.array(*map(F.lit, vocabulary())))
     rows = docs.select(F.explode_outer(F.concat(F.array(F.lit("")), hits)).alias("word")).groupBy("word").count().collect()
     found = {r["word"]: r["count"] for r in rows}
     return found.pop("", 0), found
@@ -129,10 +130,10 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text: str = "text") ->
     own = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}
     keep = [c for c in (docs.columns if keep is None else keep) if c != text and c not in own]
     idf = weights(*frequencies(docs, text))
-    anchors = sorted({w for p in (*BASE, *(k for t in TEMPLATES for k in t.keys)) for w in rarest(p, idf)})
+    # a base match holds its phrase's rarest word, and a template's its keys' rarest, so texts without any need no postings
+    anchors = sorted({w for p in (*BASE, *(" ".join(t.keys) for t in TEMPLATES)) for w in rarest(p, idf)})
     whole = F.coalesce(F.col(text), F.lit(""))
-    # every match holds its phrase's rarest word, so texts without any need no postings
-    looked = F.when(whole.rlike("(?i)" + "|".join(anchors)), words(lowered(whole)))
+    looked = F.when(whole.rlike(f"(?i)(?<!{LETTER})(?:{'|'.join(anchors)})(?!{LETTER})"), words(lowered(whole)))
     split = docs.select(*keep, F.regexp_count(whole, F.lit(WORD)).cast("long").alias("n_words"), looked.alias("_words"))
     placed = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: h["w"].isin(vocabulary()))
     hits = split.select(*keep, "n_words", F.coalesce(placed, F.array().cast("array<struct<i:int,w:string>>")).alias("_hits"))
