@@ -20,7 +20,7 @@ from .bpe import codec
 from .common import blocks, materialize, texts
 
 #: Neighbouring lengths that one window orders.
-BLOCK = 1024
+BLOCK = 64
 
 
 def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
