@@ -1,14 +1,16 @@
 """Operator 10: stupid-backoff scores from hash-partitioned n-gram tables.
 
-Every block of documents explodes into its n-grams (orders 1 to ``ORDER``), keyed by
-64-bit hashes and counted within the block. The keys go, as sorted arrays, to buckets
-of the hash space; a bucket adds up the counts of its share of the corpus' n-gram
-table and joins them back to the keys that each block sent. The answers return to the
-blocks, where each word's score is the relative frequency of the longest n-gram seen
-``SEEN`` times or more in the corpus, discounted by ``ALPHA`` for each order given up,
-and a document's score is the sum of its words' logarithms. Frequent n-grams reach a
-bucket once per block, not once per occurrence, so no key is hot; texts travel as
-word numbers.
+Texts become word numbers, a row per block of documents, in a table bucketed by block.
+Every block explodes into its distinct n-grams, keyed by 64-bit hashes and counted
+within the block; the sorted keys go to ranges of the hash space. A range adds up the
+counts of its share of the corpus' n-gram table and joins them back to the keys that
+each block sent, and the answers return to the blocks. First go the words and pairs;
+a longer n-gram can only occur ``SEEN`` times if both n-grams of one word less in it
+do, so each further round sends only those. Then each word's score is the relative
+frequency of the longest n-gram seen ``SEEN`` times or more in the corpus, discounted by
+``ALPHA`` for each order given up, and a document's score is the sum of its words'
+logarithms. A frequent n-gram reaches its range once per block, not once per
+occurrence, so no key is hot; texts stay where their bucket is.
 
 Defined cases: null and wordless texts score 0 over 0 words; n-grams don't cross
 documents; repeated rows count and score each; extra columns are ignored; an empty
@@ -18,23 +20,26 @@ table gives no rows. Two different n-grams with the same 64-bit hash would share
 from __future__ import annotations
 
 import itertools
-import zlib
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, partitions, texts
+from .common import blocks, materialize, partitions, shared_folder, texts
 
 ORDER = 3
 ALPHA = 0.4
 #: Occurrences in the corpus from which an n-gram of two words or more is believed.
 SEEN = 2
 #: Bytes of text in a block.
-BLOCK = 4 << 20
-#: n-gram occurrences of one bucket, at about.
-BUCKET = 1_500_000
+BLOCK = 6 << 20
+#: n-gram occurrences of one range of the hash space, at about.
+RANGE = 1_500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -46,8 +51,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
     return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
@@ -60,17 +63,16 @@ def number_words(block: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]
     return list(names), numbers, counts
 
 
-def gram_keys(keys: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the key of the n-gram that ends at each word, and whether it lies within one text."""
-    own = keys[numbers]
-    starts = np.repeat(np.cumsum(counts) - counts, counts)
-    inside = np.arange(len(own)) - starts
-    grams = [(own, np.ones(len(own), dtype=bool))]
-    for n in range(2, ORDER + 1):
-        longer = grams[-1][0].copy()
-        longer[1:] = mixed(grams[-1][0][:-1] * _MIX + own[1:])
-        grams.append((longer, inside >= n - 1))
-    return grams
+def longer(shorter: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The keys of n-grams of one word more: at each word, the n-gram that ends before it and the word."""
+    out = shorter.copy()
+    out[1:] = mixed(shorter[:-1] * _MIX + own[1:])
+    return out
+
+
+def depth(counts: np.ndarray) -> np.ndarray:
+    """Words before each word in its text."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -92,133 +94,192 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def counts_packed(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def counts_unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, n).T).view("<u4").ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, 4 * n)), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
 
+def in_ranges(keys: np.ndarray, ranges: int):
+    """(range, start, end) of the slices of sorted keys."""
+    which = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    cuts = [0, *(np.nonzero(np.diff(which))[0] + 1).tolist(), len(keys)]
+    return [(int(which[a]), a, b) for a, b in itertools.pairwise(cuts) if b > a]
 
-#: kind 0: a block's texts; kind 1: its keys for one bucket, later their corpus counts.
-ROWS = "bucket int, block long, kind tinyint, n long, body binary, more binary, ids array<long>"
 
+TEXTS = "block long, n long, numbers binary, words binary, counts binary, ids array<long>"
 
-def explode(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of ``ROWS`` for every block: its texts as word numbers, and its distinct n-grams by bucket."""
+
+def number_texts(docs: DataFrame) -> DataFrame:
+    """A row per block: its words as numbers, the distinct words' keys, the words of each document, and doc_id."""
 
     def run(batches):
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
         for nth, block in enumerate(blocks(batches, "text", BLOCK)):
             words, numbers, counts = number_words(texts(block))
-            keys = word_keys(words)
-            grams = gram_keys(keys, numbers, counts)
-            every, seen = np.unique(np.concatenate([k[ok] for k, ok in grams]), return_counts=True)
-            which = (every >> np.uint64(40)) % np.uint64(buckets)
-            own = task | nth
-            body = zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
             ids = block.column(block.schema.get_field_index("doc_id")).cast(pa.int64())
-            rows = [(int(own % buckets), own, 0, len(numbers), body, keys.astype("<u8").tobytes() + counts.astype("<u8").tobytes(), ids.to_pylist())]
-            order = np.argsort(which, kind="stable")
-            ends = np.searchsorted(which[order], np.arange(buckets), side="right")
-            for b, (start, end) in enumerate(itertools.pairwise([0, *ends.tolist()])):
-                if end > start:
-                    some = order[start:end]
-                    rows.append((b, own, 1, end - start, packed(every[some]), counts_packed(seen[some]), None))
-            yield _batch(rows)
+            columns = ([task | nth], [len(numbers)], [counts_packed(numbers)], [word_keys(words).astype("<u8").tobytes()], [counts.astype("<u8").tobytes()], [ids.to_pylist()])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "n", "numbers", "words", "counts", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, TEXTS)
+
+
+def by_block(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the shared folder, bucketed by block, so that joining answers to it moves no text."""
+    spark, name = rows.sparkSession, f"tersa_blocks_{uuid.uuid4().hex}"
+    rows.write.format("parquet").option("path", f"{shared_folder(spark)}/{name}").bucketBy(partitions(spark), "block").saveAsTable(name)
+    return spark.table(name)
+
+
+KEYS = "part int, block long, n long, keys binary, counts binary"
+
+
+def keys_batch(block: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
+    rows = [(part, block, b - a, packed(keys[a:b]), counts_packed(counts[a:b])) for part, a, b in in_ranges(keys, ranges)]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "block", "n", "keys", "counts"])
+
+
+class Block:
+    """A block's words and, order by order, the keys and corpus counts of the n-grams that end at each word."""
+
+    def __init__(self, row: dict):
+        self.ids = row["ids"]
+        self.counts = np.frombuffer(row["counts"], dtype="<u8").astype(np.int64)
+        self.own = np.frombuffer(row["words"], dtype="<u8")[counts_unpacked(row["numbers"], row["n"])] if row["n"] else np.zeros(0, dtype=np.uint64)
+        self.depth = depth(self.counts)
+        pairs = longer(self.own, self.own)
+        self.keys = [self.own, pairs]
+        self.inside = self.depth >= 1
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all words and pairs."""
+        return np.concatenate([self.own, self.keys[1][self.inside]]), np.nonzero(self.inside)[0]
+
+    def learn(self, answers: list[dict]) -> list[np.ndarray]:
+        """Corpus counts of each order at each word, as far as the answers go. answers: by round and part."""
+        rounds: dict[int, list] = {}
+        for a in sorted(answers, key=lambda a: (a["round"], a["part"])):
+            rounds.setdefault(a["round"], []).append(counts_unpacked(a["counts"], a["n"]))
+        every, pairs = self.first()
+        _, place = np.unique(every, return_inverse=True)
+        found = np.concatenate(rounds[0]).astype(np.int64)[place] if rounds else np.zeros(len(every), dtype=np.int64)
+        seen = [found[: len(self.own)], np.zeros(len(self.own), dtype=np.int64)]
+        seen[1][pairs] = found[len(self.own) :]
+        for order in range(3, ORDER + 1):
+            keys, some = self.candidates(seen, order)
+            counts = np.zeros(len(self.own), dtype=np.int64)
+            if order - 2 in rounds:
+                _, place = np.unique(keys, return_inverse=True)
+                counts[some] = np.concatenate(rounds[order - 2]).astype(np.int64)[place]
+            elif len(keys):
+                break
+            seen.append(counts)
+        return seen
+
+    def candidates(self, seen: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and places of the n-grams of ``order`` words in which both shorter ones are believed."""
+        if len(self.keys) < order:
+            self.keys.append(longer(self.keys[-1], self.own))
+        believed = seen[order - 2] >= SEEN
+        both = believed.copy()
+        both[1:] &= believed[:-1]
+        some = np.nonzero(both & (self.depth >= order - 1))[0]
+        return self.keys[order - 1][some], some
+
+
+def rows_of(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROWS)
+def explode(stored: DataFrame, ranges: int) -> DataFrame:
+    """The distinct words and pairs of every block, by range."""
 
+    def run(batches):
+        for row in rows_of(batches):
+            if row["n"]:
+                yield keys_batch(row["block"], *np.unique(Block(row).first()[0], return_counts=True), ranges)
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int8(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "kind", "n", "body", "more", "ids"])
+    return stored.mapInArrow(run, KEYS)
 
 
-def _rows(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield tuple(batch.column(k)[i].as_py() for k in range(batch.num_columns))
+def explode_longer(stored: DataFrame, answered: DataFrame, order: int, ranges: int) -> DataFrame:
+    """The distinct n-grams of ``order`` words that can have been seen often enough, by range."""
+
+    def run(batches):
+        for row in rows_of(batches):
+            block = Block(row)
+            keys, _ = block.candidates(block.learn(row["answers"]), order)
+            if len(keys):
+                yield keys_batch(row["block"], *np.unique(keys, return_counts=True), ranges)
+
+    return stored.join(answered, "block").mapInArrow(run, KEYS)
 
 
 def count(exploded: DataFrame) -> DataFrame:
-    """Corpus counts for every key, returned to the block that sent it; texts pass through."""
+    """part, block, n, counts: the corpus counts of the keys that each block sent."""
     n = partitions(exploded.sparkSession)
 
     def run(batches):
-        for bucket, own in itertools.groupby(_rows(batches), key=lambda r: r[0]):
+        for part, own in itertools.groupby(rows_of(batches), key=lambda r: r["part"]):
             asked, keys, seen = [], [], []
             for row in own:
-                if row[2] == 0:
-                    yield _batch([row])
-                else:
-                    asked.append(row[:4])
-                    keys.append(unpacked(row[4], row[3]))
-                    seen.append(counts_unpacked(row[5], row[3]))
-            if not asked:
-                continue
+                asked.append((row["block"], row["n"]))
+                keys.append(unpacked(row["keys"], row["n"]))
+                seen.append(counts_unpacked(row["counts"], row["n"]))
             every, place = np.unique(np.concatenate(keys), return_inverse=True)
             del keys
             total = np.bincount(place, weights=np.concatenate(seen), minlength=len(every)).astype(np.int64)
-            answers = np.minimum(total, (1 << 32) - 1)[place]
-            at = 0
-            for row in asked:
-                yield _batch([(*row, counts_packed(answers[at : at + row[3]]), None, None)])
-                at += row[3]
+            answers = np.split(np.minimum(total, (1 << 32) - 1)[place], np.cumsum([k for _, k in asked])[:-1])
+            columns = ([part] * len(asked), [b for b, _ in asked], [k for _, k in asked], [counts_packed(a) for a in answers])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "block", "n", "counts"])
+
+    return exploded.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(run, "part int, block long, n long, counts binary")
+
 
-    return exploded.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "block").mapInArrow(run, ROWS)
+def gathered(rounds: list[DataFrame]) -> DataFrame:
+    """block, answers: the answers of all rounds to each block."""
+    every = reduce(DataFrame.unionByName, (r.withColumn("round", F.lit(k)) for k, r in enumerate(rounds)))
+    return every.groupBy("block").agg(F.collect_list(F.struct("round", "part", "n", "counts")).alias("answers"))
 
 
-def word_scores(grams, counts_of, total: int) -> np.ndarray:
-    """Logarithm of each word's score; counts_of: counts by order, at each word."""
-    seen = [counts_of(k) for k, _ in grams]
-    before = [np.full(len(seen[0]), total, dtype=np.float64), *(np.concatenate([[1], s[:-1]]).astype(np.float64) for s in seen[:-1])]
-    score = np.log(np.maximum(seen[0], 1) / before[0])
+def word_scores(seen: list[np.ndarray], inside: np.ndarray, total: int) -> np.ndarray:
+    """Logarithm of each word's score. seen: corpus counts by order; inside: words before it in its text."""
+    score = np.log(np.maximum(seen[0], 1) / total)
     for k in range(1, ORDER):
-        found = grams[k][1] & (seen[k] >= SEEN)
-        score = np.where(found, np.log(np.maximum(seen[k], 1) / np.maximum(before[k], 1)), score + np.log(ALPHA) * grams[k][1])
+        before = np.concatenate([[1], seen[k - 1][:-1]])
+        fits = inside >= k
+        found = fits & (seen[k] >= SEEN)
+        score = np.where(found, np.log(np.maximum(seen[k], 1) / np.maximum(before, 1)), score + np.log(ALPHA) * fits)
     return score
 
 
-def score(counted: DataFrame, total: int, buckets: int) -> DataFrame:
+def score(stored: DataFrame, answered: DataFrame, total: int) -> DataFrame:
     """doc_id, n_words, log_score of every document."""
-    n = partitions(counted.sparkSession)
 
     def run(batches):
-        for _, own in itertools.groupby(_rows(batches), key=lambda r: r[1]):
-            ids, numbers, parts = None, None, {}
-            for bucket, _, kind, size, body, more, row_ids in own:
-                if kind == 0:
-                    ids = row_ids
-                    numbers = counts_unpacked(body, size)
-                    counts = np.frombuffer(more[len(more) - 8 * len(ids) :], dtype="<u8").astype(np.int64)
-                    keys = np.frombuffer(more[: len(more) - 8 * len(ids)], dtype="<u8")
-                else:
-                    parts[bucket] = counts_unpacked(body, size)
-            if ids is None:
-                continue
-            grams = gram_keys(keys, numbers, counts)
-            every = np.unique(np.concatenate([k[ok] for k, ok in grams])) if len(numbers) else np.zeros(0, dtype=np.uint64)
-            order = np.argsort((every >> np.uint64(40)) % np.uint64(buckets), kind="stable")
-            found = np.zeros(len(every) + 1, dtype=np.int64)
-            if len(every):
-                found[order] = np.concatenate([parts[b] for b in sorted(parts)])
-
-            def counts_of(k, every=every, found=found):
-                return found[np.minimum(np.searchsorted(every, k), len(every))]
-
-            words = word_scores(grams, counts_of, total) if len(numbers) else np.zeros(0)
+        for row in rows_of(batches):
+            block = Block(row)
+            words = word_scores(block.learn(row["answers"] or []), block.depth, total) if row["n"] else np.zeros(0)
             sums = np.concatenate([[0.0], np.cumsum(words)])
-            ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts), pa.array(sums[ends] - sums[ends - counts])], names=["doc_id", "n_words", "log_score"])
+            ends = np.cumsum(block.counts)
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids, pa.int64()), pa.array(block.counts), pa.array(sums[ends] - sums[ends - block.counts])], names=["doc_id", "n_words", "log_score"])
 
-    return counted.repartition(n, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(run, "doc_id long, n_words long, log_score double")
+    return stored.join(answered, "block", "left").mapInArrow(run, "doc_id long, n_words long, log_score double")
 
 
-def lm_scores(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, n_words, log_score and score (mean per word) of every document."""
-    spark = docs.sparkSession
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))
-    total = docs.agg(F.sum(words.cast("long"))).first()[0] or 0
-    buckets = buckets or max(partitions(spark), -(-total * ORDER // BUCKET))
-    scored = score(count(explode(docs, buckets)), total, buckets)
+    stored = by_block(number_texts(docs))
+    total = stored.agg(F.sum("n")).first()[0] or 0
+    ranges = ranges or max(partitions(docs.sparkSession), -(-total * ORDER // RANGE))
+    rounds = [materialize(count(explode(stored, ranges)), "counts")]
+    for order in range(3, ORDER + 1):
+        rounds.append(materialize(count(explode_longer(stored, gathered(rounds), order, ranges)), "counts"))
+    scored = score(stored, gathered(rounds), total)
     return scored.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
