@@ -68,6 +68,7 @@ def blocks(batches, text_column: str, limit: int = BLOCK_BYTES):
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+            pa.default_memory_pool().release_unused()  # workers live on, and several share an executor
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

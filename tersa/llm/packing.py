@@ -99,8 +99,13 @@ class Tokens:
         self.pieces.add([""], np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64))
 
     def whole(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.model.encode_batch_fast(lines, add_special_tokens=False)]
-        return np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        """ids of all lines end to end, and the count of each; few encodings are held at a time."""
+        flat, lengths = [np.zeros(0, dtype=np.uint32)], []
+        for i in range(0, len(lines), 16):
+            found = [x.ids for x in self.model.encode_batch_fast(lines[i : i + 16], add_special_tokens=False)]
+            lengths += map(len, found)
+            flat.append(np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32))
+        return np.concatenate(flat), np.array(lengths, dtype=np.int64)
 
     def learn(self, pieces: list[str]) -> None:
         """Pieces are encoded in lines of many; each ends with the id of a word end."""
@@ -149,6 +154,7 @@ class Tokens:
             which = np.asarray(own.indices).astype(np.int64)
             starts, lengths = (np.cumsum(lengths) - lengths)[which], lengths[which]
             out = np.split(flat[ranges(starts, lengths)], np.cumsum(sums(lengths, counts))[:-1])
+        del own, split
         for i, text in enumerate(block.to_pylist()):
             if any(c in text for c in self.ODD):
                 out[i] = np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
