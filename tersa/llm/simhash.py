@@ -6,8 +6,8 @@ are dealt into tiles by the population counts of parts of their first word: two
 fingerprints at distance ``radius`` or less have counts whose differences sum to
 ``radius`` at most, so a tile is compared only with the tiles within that sum, by numpy
 exclusive-or and bit counts, and every other tile pair is skipped unseen. Tiles of more
-than ``TILE`` fingerprints are split by hash and each part meets every part. A tile
-emits a spanning forest of its links instead of all pairs, and components follow from
+than ``tile`` fingerprints are split by hash and each part meets every part, in as many
+tasks as its visitors need. A tile emits a spanning forest of its links instead of all pairs, and components follow from
 alternating star contraction on those edges.
 
 ``Rule`` holds what links: by default the 3-word shingles, one word and two bits of the
@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import blocks, materialize, partitions, release, texts
 
 SEED = 42
+#: Visitors that a tile's part meets in one task, in tiles.
+VISITORS = 4
 #: Elements of one exclusive-or matrix.
 CELLS = 1 << 21
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -122,12 +124,16 @@ def steps(rule: Rule) -> list[tuple[int, tuple[int, ...]]]:
 
 def deal(fps: DataFrame, held: dict[int, int], rule: Rule) -> DataFrame:
     """(tile, part, visits, node, bits): each fingerprint at home and in every tile that it visits. held: fingerprints by tile."""
-    names = np.array(sorted(held))
-    spread = fps.sparkSession.sparkContext.broadcast((names, np.array([-(-held[k] // rule.tile) for k in names.tolist()])))
     moves, most = steps(rule), 64 // rule.parts
+    names = sorted(held)
+    split = [-(-held[k] // rule.tile) for k in names]
+    # a part with many visitors is copied, and each copy meets a share of them
+    visitors = [(0 if n == 1 else held[k]) + sum(held.get(k - move, 0) for move, _ in moves) for k, n in zip(names, split, strict=True)]
+    copies = [max(1, -(-v // (VISITORS * rule.tile))) for v in visitors]
+    spread = fps.sparkSession.sparkContext.broadcast(tuple(map(np.array, (names, split, copies))))
 
     def run(batches):
-        tiles, parts = spread.value
+        tiles, parts, times = spread.value
         for batch in batches:
             node = np.asarray(batch.column(0)).astype(np.int64)
             if not len(node):
@@ -135,7 +141,9 @@ def deal(fps: DataFrame, held: dict[int, int], rule: Rule) -> DataFrame:
             bits = batch.column(1)
             home = signature(word_matrix(bits, rule.words)[:, 0], rule.parts)
             mine = ((node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
-            split = parts[np.searchsorted(tiles, home)]
+            at = np.searchsorted(tiles, home)
+            split, own = parts[at], times[at]
+            turn = ((node.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64)
             counts = np.stack([(home >> (7 * i)) & 127 for i in range(rule.parts)])
             every = np.arange(len(node))
 
@@ -144,10 +152,12 @@ def deal(fps: DataFrame, held: dict[int, int], rule: Rule) -> DataFrame:
                     who_ = pa.array(who)
                     yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.full(len(who), visits, dtype=np.int8)), batch.column(0).take(who_), bits.take(who_)], names=["tile", "part", "visits", "node", "bits"])
 
-            yield from rows(home, mine % split, 0, every)
+            for copy in range(int(own.max())):
+                some = every[own > copy]
+                yield from rows(home[some], (mine % split * own + copy)[some], 0, some)
             for k in range(1, int(split.max())):  # the parts of a tile visit its later parts
                 some = every[(split > k) & (mine % split < k)]
-                yield from rows(home[some], np.full(len(some), k), 1, some)
+                yield from rows(home[some], k * own[some] + turn[some] % own[some], 1, some)
             for move, deltas in moves:
                 there = every[np.all([(c + d >= 0) & (c + d <= most) for c, d in zip(counts, deltas, strict=True)], axis=0)]
                 goal = home[there] + move
@@ -156,7 +166,7 @@ def deal(fps: DataFrame, held: dict[int, int], rule: Rule) -> DataFrame:
                 goal, slot, who = goal[found], slot[found], there[found]
                 for k in range(int(parts[slot].max()) if len(slot) else 0):
                     some = parts[slot] > k
-                    yield from rows(goal[some], np.full(int(some.sum()), k), 1, who[some])
+                    yield from rows(goal[some], (k * times[slot] + turn[who] % times[slot])[some], 1, who[some])
 
     return fps.select("node", "bits").mapInArrow(run, "tile int, part int, visits tinyint, node long, bits binary")
 
