@@ -76,3 +76,80 @@ def capped(rows: DataFrame, key: str, order: str, cap: int) -> DataFrame:
     """The first rows of each key, and how many are left out."""
     nth, n = F.row_number().over(W.partitionBy(key).orderBy(order)), F.count("*").over(W.partitionBy(key))
     return rows.withColumn("nth", nth).withColumn("omitted", F.greatest(n - cap, F.lit(0)).cast("bigint")).where(F.col("nth") <= cap).drop("nth")
+
+
+#: What output says of its command, by kind: patterns of which two must hit.
+OUTPUT_KINDS = {"test": ("passed", "failed", "(?m)^(ok|not ok) ", "Tests?:"), "build": ("error TS[0-9]+", "(?i)compil", "warning:", "Built "), "lint": ("problems?", "[0-9]+:[0-9]+ +(error|warning)", "✖")}
+
+
+def command_kind(command: Column, output: Column) -> Column:
+    """test, build, lint or generic: by the command, else by two hits or more in its output, the most first."""
+    named = first_match([(command.rlike("(^|[ /])(pytest|jest|vitest|mocha)( |$)|(npm|go|cargo) (run )?test"), "test"), (command.rlike("(^| )(tsc|make|webpack)( |$)|(npm run|go|cargo) build"), "build"), (command.rlike("(^| )(eslint|ruff|flake8)( |$)|npm run lint"), "lint")])
+    hits = {k: sum((output.rlike(p).cast("int") for p in ps), F.lit(0)) for k, ps in OUTPUT_KINDS.items()}
+    most = F.greatest(*hits.values())
+    return F.coalesce(named, first_match([((n == most) & (n >= 2), k) for k, n in hits.items()], "generic"))
+
+
+def since(rows: DataFrame, ts: str, days: int) -> DataFrame:
+    """Rows of the last days before the newest; without a time stamp none, and all if days isn't positive."""
+    if days <= 0:
+        return rows
+    newest = rows.agg(F.max(ts).alias("newest"))
+    return rows.join(F.broadcast(newest)).where(F.col(ts) >= F.col("newest") - F.expr(f"INTERVAL {int(days)} DAYS")).drop("newest")
+
+
+def dominant(rows: DataFrame, group: str, choice: str, share: float = 0.6) -> DataFrame:
+    """Each group's most frequent choice with its share, and whether it dominates; the runner-up otherwise too."""
+    counts = rows.groupBy(group, choice).agg(F.count("*").alias("n"))
+    total, nth = F.sum("n").over(W.partitionBy(group)), F.row_number().over(W.partitionBy(group).orderBy(F.desc("n"), choice))
+    ranked = counts.withColumn("share", F.round(F.col("n") / total, 4)).withColumn("nth", nth)
+    best = F.first("share").over(W.partitionBy(group).orderBy("nth"))
+    return ranked.withColumn("best", best).where((F.col("nth") == 1) | ((F.col("nth") == 2) & (F.col("best") < share))).select(group, choice, "n", "share", "nth")
+
+
+def change_flags(rows: DataFrame, key: str, title: Column) -> DataFrame:
+    """What kinds of change each key holds."""
+    kinds = {"fixes": "^(fix|bug)", "features": "^(feat|add)", "refactors": "^refactor", "documents": "^docs?"}
+    return rows.groupBy(key).agg(*(F.bool_or(F.lower(title).rlike(p)).alias(k) for k, p in kinds.items()))
+
+
+def tool_of(command: Column) -> Column:
+    """The tool that a command runs first, without folders and variables before it."""
+    bare = F.regexp_replace(F.trim(command), "^([A-Z_]+=[^ ]* +)+", "")
+    return F.regexp_extract(bare, "^(?:[^ ]*/)?([A-Za-z0-9_.-]+)", 1)
+
+
+def usage_kind(line: Column, name: str) -> Column:
+    """definition, import, test, type or usage of a name in a line."""
+    return first_match(
+        [
+            (line.rlike(f"(function|class|const|let|var|def|fn|func|type|interface) +{name}($|[^A-Za-z0-9_])"), "definition"),
+            (line.rlike("^ *(import|from|export .* from)|require\\("), "import"),
+            (line.rlike("(^|[^A-Za-z0-9_])(describe|it|test|expect|assert)[( ]"), "test"),
+            (line.rlike(f": *{name}($|[^A-Za-z0-9_])|<{name}>"), "type"),
+        ],
+        "usage",
+    )
+
+
+#: What starts a program, by group.
+ENTRIES = (("main", "if __name__ == ['\"]__main__|func main\\(\\)|fn main\\(\\)|public static void main"), ("server", "[.]listen\\(|createServer\\(|app[.]run\\("), ("cli", "#!/|argparse|process[.]argv"), ("export", "module[.]exports|export default"))
+
+
+def entry_kind(line: Column) -> Column:
+    return first_match([(line.rlike(p), k) for k, p in ENTRIES])
+
+
+def tail(lines: DataFrame, file: str, pos: str, n: int = 600) -> DataFrame:
+    """The last lines of each file."""
+    return lines.withColumn("back", F.row_number().over(W.partitionBy(file).orderBy(F.desc(pos)))).where(F.col("back") <= n).drop("back")
+
+
+def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    return (a_start <= b_end) & (b_start <= a_end)
+
+
+def internal(deps: DataFrame, packages: DataFrame) -> DataFrame:
+    """Packages of the workspace with those that depend on them."""
+    known = packages.select(F.col("name").alias("dep"))
+    return deps.join(known, "dep", "left_semi").groupBy("dep").agg(F.sort_array(F.collect_set("name")).alias("depended_on_by"))

@@ -133,3 +133,21 @@ def test_expiring_stream_equals_batch(spark, tmp_path):
     running = stream.writeStream.outputMode("append").format("memory").queryName("expired").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     running.awaitTermination()
     assert sorted((r.u, r.ts) for r in spark.table("expired").collect()) == batch and len(batch) == 5
+
+
+def test_files_and_json_lines(spark, tmp_path):
+    from tersa.sources.tables import files, json_lines, text_files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.py").write_text("print(1)\n")
+    (tmp_path / "s.jsonl").write_text('{"type": "call", "id": 1}\r\nnot json\n{"type": "result", "id": 1}\n')
+    assert [(r.size, r.path.endswith("x.py")) for r in files(spark, str(tmp_path), "*.py").collect()] == [(9, True)]
+    assert [r.content for r in text_files(spark, str(tmp_path), "*.py").collect()] == ["print(1)\n"]
+    assert sorted(r.type for r in json_lines(spark, str(tmp_path / "s.jsonl"), "type string, id int").collect()) == ["call", "result"]
+    assert json_lines(spark, str(tmp_path / "s.jsonl"), "type string", containing="result").count() == 1
+
+
+def test_containing_function(spark):
+    rows = spark.createDataFrame([("f", 1, "a"), ("f", 2, None), ("f", 5, "b"), ("f", 6, None), ("g", 1, None)], "file string, line int, name string")
+    found = {(r.file, r.line): r.container for r in G.containing(rows, "file", "line", F.col("name")).collect()}
+    assert found == {("f", 1): "a", ("f", 2): "a", ("f", 5): "b", ("f", 6): "b", ("g", 1): None}
