@@ -16,8 +16,9 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path and whole content of all files under a folder."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """path and whole content of all files under a folder, to the last line break."""
+    read_ = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return read_.select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, containing: str | None = None) -> DataFrame:
