@@ -26,8 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Unlike ``checkpoint()`` this runs the plan a single time, and unlike
-    ``localCheckpoint()`` the rows outlive the executors that made them.
+    Unlike ``checkpoint()`` this runs the plan a single time, and the rows outlive the
+    executors that made them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tersa-{label}-{uuid.uuid4().hex}"
