@@ -11,9 +11,11 @@ tasks as its visitors need. A tile emits a spanning forest of its links instead
 alternating star contraction on those edges.
 
 ``Rule`` holds what links: by default the 3-word shingles, one word and two bits of the
-query's contract. ``SIMILAR`` is the rule of a filtering stage: 5-word shingles whose
-estimated similarity is 0.8 or more, from 512 bits; the first word alone, with a wide
-radius, proposes and all eight decide.
+query's contract. ``SIMILAR`` links by an estimate of similarity alone, from the 5-word
+shingles. ``ALIKE`` is the rule of a filtering stage: texts whose sets of 5-word
+shingles have a Jaccard index of 0.8 or more. 512 bits of the distinct shingles, with a
+wide radius, only propose; the groups that follow from the proposals hold every link, and
+in each of them the sets themselves are compared, by their 64-bit hashes.
 
 Defined cases: null or wordless text has fingerprint zero and is linked like any
 other; texts shorter than a shingle are a single shingle; a null doc_id takes part but
@@ -33,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import blocks, materialize, partitions, release, texts
+from .common import blocks, materialize, partitions, ranges, release, texts
 
 SEED = 42
 #: Visitors that a tile's part meets in one task, in tiles.
@@ -57,26 +59,58 @@ class Rule:
     parts: int = 4
     #: Distinct fingerprints of one tile that are compared as one matrix side.
     tile: int = 8192
+    #: Differing bits of the first two words, at most.
+    second: int = 128
+    #: Least Jaccard index, as numerator and denominator; the bits, of distinct shingles then, only propose.
+    share: tuple[int, int] | None = None
 
 
 #: Jaccard similarity 0.8 of shingle sets is a cosine of about 8/9, so an angle at which 0.15 of the
 #: bits differ: 78 of 512 on average, with a standard deviation of 8, and 10 of 64, with one of 3.
 SIMILAR = Rule(shingle=5, words=8, radius=16, limit=88, parts=1, tile=1 << 15)
-
-
-def fingerprint(text: str, rule: Rule = Rule()) -> np.ndarray:
-    """The words of bits, uint64."""
+#: Jaccard index 0.8 of shingle sets is a cosine of 8/9 or more, so an angle at which 0.15 of the bits differ
+#: at most: 78 of 512 on average, with a standard deviation of 8, 19 of 128, with one of 4, and 10 of 64, with
+#: one of 3. The bounds lie five deviations and more above these means.
+ALIKE = Rule(shingle=5, words=8, radius=24, limit=136, parts=1, tile=1 << 15, second=44, share=(4, 5))
+#: Bytes of text, and of a text's other costs, that one side of a comparison of sets holds, at about.
+GROUP, EACH = 4 << 20, 1000
+#: Bits of the filter that finds proposed texts, at most.
+FILTER = 1 << 27
+
+
+def shingle_hashes(text: str, shingle: int):
+    """The hashes of all shingles, uint64, in parts."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return np.zeros(rule.words, dtype=np.uint64)
-    digest, size = xxhash.xxh64_intdigest, min(rule.shingle, len(words))
-    ones, total = np.zeros(64 * rule.words, dtype=np.int64), len(words) - size + 1
-    for start in range(0, total, 1 << 13):
+        return
+    digest, size = xxhash.xxh64_intdigest, min(shingle, len(words))
+    for start in range(0, len(words) - size + 1, 1 << 13):
         part = words[start : start + (1 << 13) + size - 1]
         line = b" ".join(part)
         ends = list(itertools.accumulate(len(w) + 1 for w in part))
         begins = [0, *ends]
-        hashes = np.array([digest(line[b : e - 1], SEED) for b, e in zip(begins, ends[size - 1 :], strict=False)], dtype="<u8")
+        yield np.array([digest(line[b : e - 1], SEED) for b, e in zip(begins, ends[size - 1 :], strict=False)], dtype="<u8")
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct hashes, in order."""
+    return np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *shingle_hashes(text, shingle)]))
+
+
+def fingerprint(text: str, rule: Rule = Rule()) -> np.ndarray:
+    """The words of bits, uint64."""
+    return majority(in_parts(shingle_set(text, rule.shingle)) if rule.share else shingle_hashes(text, rule.shingle), rule)
+
+
+def in_parts(hashes: np.ndarray):
+    return (hashes[i : i + (1 << 13)] for i in range(0, len(hashes), 1 << 13))
+
+
+def majority(parts, rule: Rule) -> np.ndarray:
+    """The majority bits of hashes that come in parts."""
+    ones, total = np.zeros(64 * rule.words, dtype=np.int64), 0
+    for hashes in parts:
+        total += len(hashes)
         every = np.stack([hashes, *(remixed(hashes, k) for k in range(1, rule.words))], axis=1)
         ones += np.unpackbits(every.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > total, bitorder="little").view("<u8")
@@ -91,14 +125,19 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
-    """``docs`` without its text, with node (the first word, or a hash of several) and bits (all words)."""
+    """``docs`` without its text, with node (the first word, or a hash of several, or of the set if that decides) and bits (all words)."""
     kept = [c for c in docs.columns if c not in (text, "node", "bits")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("node", T.LongType()), T.StructField("bits", T.BinaryType())])
 
     def run(batches):
         for block in blocks(batches, text):
-            values = np.stack([fingerprint(x, rule) for x in texts(block, text)])
-            nodes = values[:, 0] if rule.words == 1 else np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in values], dtype=np.uint64)
+            if rule.share:
+                sets = [shingle_set(x, rule.shingle) for x in texts(block, text)]
+                values = np.stack([majority(in_parts(x), rule) for x in sets])
+                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64)
+            else:
+                values = np.stack([fingerprint(x, rule) for x in texts(block, text)])
+                nodes = values[:, 0] if rule.words == 1 else np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in values], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([block.column(block.schema.get_field_index(c)) for c in kept] + [pa.array(nodes.view(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())], names=schema.names)
 
     return docs.select(*kept, text).mapInArrow(run, schema)
@@ -193,6 +232,8 @@ def near(left: np.ndarray, right: np.ndarray, rule: Rule):
     first, others = np.ascontiguousarray(left[:, 0]), np.ascontiguousarray(right[:, 0])
     for start in range(0, len(left), step):
         a, b = np.nonzero(np.bitwise_count(first[start : start + step, None] ^ others[None, :]) <= rule.radius)
+        if rule.second < 128 and len(a):
+            a, b = second(left, right, a, b, start, rule)
         if rule.words > 1 and len(a):
             close = np.concatenate([np.bitwise_count(left[a[i : i + (1 << 18)] + start] ^ right[b[i : i + (1 << 18)]]).sum(axis=1) <= rule.limit for i in range(0, len(a), 1 << 18)])
             a, b = a[close], b[close]
@@ -200,6 +241,12 @@ def near(left: np.ndarray, right: np.ndarray, rule: Rule):
             yield a + start, b
 
 
+def second(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, start: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that the first two words still propose."""
+    bits = sum(np.bitwise_count(np.ascontiguousarray(left[start : start + int(a[-1]) + 1, k])[a] ^ np.ascontiguousarray(right[:, k])[b]) for k in range(2))
+    return a[bits <= rule.second], b[bits <= rule.second]
+
+
 def compare(dealt: DataFrame, rule: Rule) -> DataFrame:
     """Edges (u, v), u > v, that connect the same nodes as all links do."""
     n = partitions(dealt.sparkSession)
@@ -294,6 +341,73 @@ def linked(rows: DataFrame, rule: Rule) -> DataFrame:
     return materialize(components(compare(deal(fps, held, rule), rule) if held else fps.select(F.col("node").alias("u"), F.col("node").alias("v"))), "links")
 
 
+def set_links(sets: list[np.ndarray], share: tuple[int, int]) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs whose Jaccard index is ``share`` or more; two empty sets are alike."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    ends, owner, open_ = np.cumsum(sizes), np.repeat(np.arange(n), sizes), np.ones(n, dtype=bool)
+    by = np.argsort(shingle, kind="stable")
+    holders, first = owner[by], np.searchsorted(shingle[by], np.arange(len(shingle) + 1))
+    up, down, left, indexed = [], [], n, n
+    for seed in range(n):
+        if not open_[seed]:
+            continue
+        open_[seed], left, queue = False, left - 1, [seed]
+        while queue and left:
+            if 2 * left < indexed:  # those that are placed need no more counting
+                by, indexed = by[open_[owner[by]]], left
+                holders, first = owner[by], np.searchsorted(shingle[by], np.arange(len(shingle) + 1))
+            i = queue.pop()
+            own = shingle[ends[i] - sizes[i] : ends[i]]
+            shared = np.bincount(holders[ranges(first[own], first[own + 1] - first[own])], minlength=n)
+            found = np.nonzero(open_ & (share[1] * shared >= share[0] * (sizes + sizes[i] - shared)))[0].tolist()
+            open_[found] = False
+            left -= len(found)
+            up += [i] * len(found)
+            down += found
+            queue += found
+    return up, down
+
+
+def verified(docs: DataFrame, firsts: DataFrame, proposed: DataFrame, rule: Rule) -> DataFrame:
+    """(node, root) of every node that links to another by its set. firsts: node and a text of it (doc_id, key, size); proposed: (node, root) of groups that hold all links; docs with their key.
+
+    A group's texts are dealt into parts of bounded size and each part meets every part.
+    """
+    members = materialize(firsts.join(proposed, "node"), "members")
+    # texts that no link is proposed for are left where they are: a filter of bounded size finds them
+    bits = min(FILTER, 1 << max(15, (16 * members.count()).bit_length()))
+    place = F.pmod(F.col("key"), F.lit(bits))
+    slots = members.groupBy(F.floor(place / 32768).alias("slot")).agg(F.bitmap_construct_agg(place % 32768).alias("bitmap"))
+    flagged = docs.select("doc_id", "key", "text").withColumn("slot", F.floor(place / 32768)).join(F.broadcast(slots), "slot")
+    byte = F.conv(F.hex(F.substring("bitmap", ((place % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    asked = flagged.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("doc_id", "key", "text")
+    times = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") + EACH) / GROUP).cast("int").alias("times"))
+    dealt = members.join(times, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("times")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    met = asked.join(dealt, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("root", "a", "b", "node", "text")
+    met = met.repartition(partitions(docs.sparkSession), "root", "a", "b").sortWithinPartitions("root", "a", "b", "node")
+
+    def rows(batches):
+        for block in blocks(batches, "text"):
+            yield from zip(zip(*(block.column(k).to_pylist() for k in range(3)), strict=True), block.column(3).to_pylist(), texts(block), strict=True)
+
+    def run(batches):
+        for _, own in itertools.groupby(rows(batches), key=itemgetter(0)):
+            nodes, sets = [], []
+            for _, node, text in own:
+                if not nodes or nodes[-1] != node:  # repeated rows
+                    nodes.append(node)
+                    sets.append(shingle_set(text, rule.shingle))
+            up, down = set_links(sets, rule.share)
+            if up:
+                nodes = np.array(nodes, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[up]), pa.array(nodes[down])], names=["u", "v"])
+
+    return materialize(components(met.mapInArrow(run, "u long, v long")), "links")
+
+
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, fingerprint (16 hex digits; for several words, of their hash) and component_id of every row of ``docs``."""
     rows = materialize(fingerprints(docs.select("doc_id", "text"), rule), "fingerprints")
@@ -305,13 +419,16 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return rows.join(named, "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, rule: Rule = SIMILAR) -> DataFrame:
+def deduplicate(docs: DataFrame, rule: Rule = ALIKE) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, then smallest text hash (null ids last)."""
     text_key = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = materialize(fingerprints(docs.select("doc_id", "text", text_key.alias("key")), rule), "fingerprints")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = materialize(fingerprints(docs.select("doc_id", "text", text_key.alias("key"), size.alias("size")), rule), "fingerprints")
     links = linked(rows, rule)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"), F.col("size").alias("size"))
     firsts = rows.groupBy("node").agg(F.min(order).alias("first"))
+    if rule.share:
+        links = verified(docs.withColumn("key", text_key), firsts.select("node", "first.doc_id", "first.key", "first.size"), links, rule)
     named = firsts.join(links, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     chosen = materialize(named.select("first.doc_id", "first.key").distinct(), "chosen")
     whole = docs.withColumn("_key", text_key)

@@ -336,3 +336,62 @@ def test_stages_bear_odd_rows(spark, docs, empty, small):
             out.collect()
             if name != "packing":
                 assert out.columns == frame.columns
+
+
+def test_deduplicate_by_exact_jaccard(spark):
+    """Pairs around a Jaccard index of 0.8, of equal size and of unequal size, and sets whose bits are alike by repetition only."""
+    rng = random.Random(12)
+    rows, want = [], set()
+
+    def add(*documents):
+        first = len(rows)
+        rows.extend((first + i, " ".join(x)) for i, x in enumerate(documents))
+        sets = [set(shingle_hashes(x, 5)) for _, x in rows[first:]]
+        want.update(first + i for i in range(len(sets)) if by_links(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))[i] == i)
+
+    for _ in range(12):
+        for away in range(14, 52):  # the first words differ: sets of 200 shingles each that share 200 - away
+            shared, *ends = [f"w{rng.randrange(10**9)}" for _ in range(204 - away)], *([f"w{rng.randrange(10**9)}" for _ in range(away)] for _ in range(2))
+            add(ends[0] + shared, ends[1] + shared)
+    for _ in range(40):
+        text = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        add(text, text[: 4 + rng.randint(70, 90)])
+    line = [f"r{i}" for i in range(10)]
+    for _ in range(5):
+        a, b = ([f"w{rng.randrange(10**9)}" for _ in range(40)] for _ in range(2))
+        add(a + line * 40, b + line * 40)
+        c = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        add(c + line * 2, ["z", *c[1:]] + line * 40)
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == want and len(want) < len(rows)
+
+
+def test_set_links():
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 1 << 40, 30, dtype=np.uint64) for _ in range(8)]
+    sets = [np.unique(np.concatenate([rng.choice(base[i % 8], 30 - i % 7, replace=False), rng.integers(0, 1 << 40, i % 5, dtype=np.uint64)])) for i in range(150)] + [base[0][:0]] * 2
+    forest = simhash.Forest(len(sets))
+    forest.join(*map(np.array, simhash.set_links(sets, (4, 5))))
+    own = [set(x.tolist()) for x in sets]
+    assert forest.up.tolist() == by_links(own, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+
+
+def test_parts_of_a_group_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "EACH", 1 << 20)
+    rng = random.Random(3)
+    text = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(text))]
+    for i in range(1, 25):  # a chain of changes: each like the one before, the first and last not alike
+        text[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+
+
+def test_near_duplicate_stage_by_exact_jaccard(spark, small):
+    source = table(spark, small, "documents")
+    texts = {r["doc_id"]: r["text"] or "" for r in source.collect()}
+    ids = sorted(texts)
+    roots = by_links([set(shingle_hashes(texts[i], 5)) for i in ids], lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    kept = corpus_pipeline.near_duplicates(spark, source, small).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({ids[r] for r in roots})
