@@ -5,9 +5,11 @@ Every block explodes into its distinct n-grams, keyed by 64-bit hashes and count
 within the block; the sorted keys go to ranges of the hash space. A range adds up the
 counts of its share of the corpus' n-gram table and joins them back to the keys that
 each block sent, and the answers return to the blocks. First go the words and pairs;
-a longer n-gram can only occur ``SEEN`` times if both n-grams of one word less in it
-do, so each further round sends only those. Then each word's score is the relative
-frequency of the longest n-gram seen ``SEEN`` times or more in the corpus, discounted by
+a longer n-gram can only occur twice if both n-grams of one word less in it do, so each
+further round sends only those, and all others occur exactly once, here. Then each
+word's score is the relative frequency of the longest n-gram seen ``seen`` times or more
+in the corpus, the document itself included (the query: once; ``SEEN`` is the default
+of ``lm_scores``), discounted by
 ``ALPHA`` for each order given up, and a document's score is the sum of its words'
 logarithms. A frequent n-gram reaches its range once per block, not once per
 occurrence, so no key is hot; texts stay where their bucket is.
@@ -34,7 +36,7 @@ from .common import blocks, materialize, partitions, shared_folder, texts
 
 ORDER = 3
 ALPHA = 0.4
-#: Occurrences in the corpus from which an n-gram of two words or more is believed.
+#: Occurrences in the corpus from which an n-gram of two words or more is believed, unless a caller says otherwise.
 SEEN = 2
 #: Bytes of text in a block.
 BLOCK = 6 << 20
@@ -171,7 +173,7 @@ class Block:
         seen[1][pairs] = found[len(self.own) :]
         for order in range(3, ORDER + 1):
             keys, some = self.candidates(seen, order)
-            counts = np.zeros(len(self.own), dtype=np.int64)
+            counts = (self.depth >= order - 1).astype(np.int64)
             if order - 2 in rounds:
                 _, place = np.unique(keys, return_inverse=True)
                 counts[some] = np.concatenate(rounds[order - 2]).astype(np.int64)[place]
@@ -181,12 +183,12 @@ class Block:
         return seen
 
     def candidates(self, seen: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and places of the n-grams of ``order`` words in which both shorter ones are believed."""
+        """Keys and places of the n-grams of ``order`` words in which both shorter ones occur twice or more; those of the other places occur once."""
         if len(self.keys) < order:
             self.keys.append(longer(self.keys[-1], self.own))
-        believed = seen[order - 2] >= SEEN
-        both = believed.copy()
-        both[1:] &= believed[:-1]
+        repeated = seen[order - 2] >= 2
+        both = repeated.copy()
+        both[1:] &= repeated[:-1]
         some = np.nonzero(both & (self.depth >= order - 1))[0]
         return self.keys[order - 1][some], some
 
@@ -209,7 +211,7 @@ def explode(stored: DataFrame, ranges: int) -> DataFrame:
 
 
 def explode_longer(stored: DataFrame, answered: DataFrame, order: int, ranges: int) -> DataFrame:
-    """The distinct n-grams of ``order`` words that can have been seen often enough, by range."""
+    """The distinct n-grams of ``order`` words that can have been seen more than once, by range."""
 
     def run(batches):
         for row in rows_of(batches):
@@ -248,24 +250,24 @@ def gathered(rounds: list[DataFrame]) -> DataFrame:
     return every.groupBy("block").agg(F.collect_list(F.struct("round", "part", "n", "counts")).alias("answers"))
 
 
-def word_scores(seen: list[np.ndarray], inside: np.ndarray, total: int) -> np.ndarray:
-    """Logarithm of each word's score. seen: corpus counts by order; inside: words before it in its text."""
+def word_scores(seen: list[np.ndarray], inside: np.ndarray, total: int, least: int) -> np.ndarray:
+    """Logarithm of each word's score. seen: corpus counts by order; inside: words before it in its text; least: the count that is believed."""
     score = np.log(np.maximum(seen[0], 1) / total)
     for k in range(1, ORDER):
         before = np.concatenate([[1], seen[k - 1][:-1]])
         fits = inside >= k
-        found = fits & (seen[k] >= SEEN)
+        found = fits & (seen[k] >= least)
         score = np.where(found, np.log(np.maximum(seen[k], 1) / np.maximum(before, 1)), score + np.log(ALPHA) * fits)
     return score
 
 
-def score(stored: DataFrame, answered: DataFrame, total: int) -> DataFrame:
+def score(stored: DataFrame, answered: DataFrame, total: int, least: int) -> DataFrame:
     """doc_id, n_words, log_score of every document."""
 
     def run(batches):
         for row in rows_of(batches):
             block = Block(row)
-            words = word_scores(block.learn(row["answers"] or []), block.depth, total) if row["n"] else np.zeros(0)
+            words = word_scores(block.learn(row["answers"] or []), block.depth, total, least) if row["n"] else np.zeros(0)
             sums = np.concatenate([[0.0], np.cumsum(words)])
             ends = np.cumsum(block.counts)
             yield pa.RecordBatch.from_arrays([pa.array(block.ids, pa.int64()), pa.array(block.counts), pa.array(sums[ends] - sums[ends - block.counts])], names=["doc_id", "n_words", "log_score"])
@@ -273,13 +275,13 @@ def score(stored: DataFrame, answered: DataFrame, total: int) -> DataFrame:
     return stored.join(answered, "block", "left").mapInArrow(run, "doc_id long, n_words long, log_score double")
 
 
-def lm_scores(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """doc_id, n_words, log_score and score (mean per word) of every document."""
+def lm_scores(docs: DataFrame, ranges: int | None = None, seen: int = SEEN) -> DataFrame:
+    """doc_id, n_words, log_score and score (mean per word) of every document. seen: occurrences from which an n-gram is believed."""
     stored = by_block(number_texts(docs))
     total = stored.agg(F.sum("n")).first()[0] or 0
     ranges = ranges or max(partitions(docs.sparkSession), -(-total * ORDER // RANGE))
     rounds = [materialize(count(explode(stored, ranges)), "counts")]
     for order in range(3, ORDER + 1):
         rounds.append(materialize(count(explode_longer(stored, gathered(rounds), order, ranges)), "counts"))
-    scored = score(stored, gathered(rounds), total)
+    scored = score(stored, gathered(rounds), total, seen)
     return scored.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

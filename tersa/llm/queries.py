@@ -29,7 +29,7 @@ QUERIES = {
     "op7_quality_classifier": lambda spark, d: knn_quality.report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_token_counts": lambda spark, d: token_counts.token_counts(table(spark, d, "documents"), ranks(), public_tokenizers.PATTERN),
     "op9_chat": lambda spark, d: chat.report(table(spark, d, "conversations")),
-    "op10_lm_scores": lambda spark, d: backoff.lm_scores(table(spark, d, "documents")),
+    "op10_lm_scores": lambda spark, d: backoff.lm_scores(table(spark, d, "documents"), seen=1),
 }
 
 SQL = {"op9_chat": chat.SQL}

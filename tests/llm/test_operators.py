@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tersa.llm import ann, backoff, bpe, chat, knn_quality, licenses, packing, quality_rules, simhash, token_counts
 from tersa.llm.common import table
-from tersa.llm.queries import ranks, words
+from tersa.llm.queries import QUERIES, ranks, words
 
 LONG = " ".join(f"word{i % 977}" for i in range(20_000))
 ODD = [None, "", " ", "\n\n", "x", "two words", "a b c d e f g h i j", "same same same same same same", "É ß İ \x1c tab\tx  y z", "the cat\nthe cat\nthe dog", LONG, LONG, "a" * 3000, "Under the MIT License.", "🙂 émoji 漢字 123"]
@@ -395,3 +395,14 @@ def test_near_duplicate_stage_by_exact_jaccard(spark, small):
     roots = by_links([set(shingle_hashes(texts[i], 5)) for i in ids], lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
     kept = corpus_pipeline.near_duplicates(spark, source, small).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted({ids[r] for r in roots})
+
+
+def test_lm_query_believes_every_ngram(spark, small):
+    split = [(i, re.sub("[A-Z]", lambda m: m[0].lower(), t).encode().split()) for i, t in pairs(table(spark, small, "documents"))]
+    counts = [Counter(tuple(w[k : k + n]) for _, w in split for k in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    total, want = sum(len(w) for _, w in split), {}
+    for i, w in split:
+        grams = [(n, tuple(w[k - n + 1 : k + 1])) for k in range(len(w)) for n in [min(3, k + 1)]]
+        want[i] = sum(math.log(counts[n - 1][g] / (counts[n - 2][g[:-1]] if n > 1 else total)) for n, g in grams)
+    got = {r["doc_id"]: r["log_score"] for r in QUERIES["op10_lm_scores"](spark, small).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 for i in want)
