@@ -96,12 +96,18 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def counts_packed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    """As many byte planes as the largest value needs, after their number."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def counts_unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=max(1, 4 * n)), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:], max_output_size=max(1, width * n)), dtype=np.uint8)
+    values = np.zeros((n, 8), dtype=np.uint8)
+    values[:, :width] = planes.reshape(width, n).T
+    return values.view("<u8").ravel()
 
 
 def in_ranges(keys: np.ndarray, ranges: int):
@@ -237,7 +243,7 @@ def count(exploded: DataFrame) -> DataFrame:
             every, place = np.unique(np.concatenate(keys), return_inverse=True)
             del keys
             total = np.bincount(place, weights=np.concatenate(seen), minlength=len(every)).astype(np.int64)
-            answers = np.split(np.minimum(total, (1 << 32) - 1)[place], np.cumsum([k for _, k in asked])[:-1])
+            answers = np.split(total[place], np.cumsum([k for _, k in asked])[:-1])
             columns = ([part] * len(asked), [b for b, _ in asked], [k for _, k in asked], [counts_packed(a) for a in answers])
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "block", "n", "counts"])
 

@@ -406,3 +406,13 @@ def test_lm_query_believes_every_ngram(spark, small):
         want[i] = sum(math.log(counts[n - 1][g] / (counts[n - 2][g[:-1]] if n > 1 else total)) for n, g in grams)
     got = {r["doc_id"]: r["log_score"] for r in QUERIES["op10_lm_scores"](spark, small).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 for i in want)
+
+
+def test_counts_beyond_32_bits(spark):
+    values = np.array([0, 1, (1 << 32) + 5, 7 << 40], dtype=np.int64)
+    assert backoff.counts_unpacked(backoff.counts_packed(values), 4).tolist() == values.tolist()
+    assert backoff.counts_unpacked(backoff.counts_packed(values[:0]), 0).tolist() == []
+    key, most = np.array([5], dtype=np.uint64), (1 << 32) - 1
+    sent = [(0, b, 1, backoff.packed(key), backoff.counts_packed(np.array([most], dtype=np.int64))) for b in range(2)]
+    answers = backoff.count(spark.createDataFrame(sent, backoff.KEYS)).collect()
+    assert [int(backoff.counts_unpacked(r["counts"], 1)[0]) for r in answers] == [2 * most] * 2
