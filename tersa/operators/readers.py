@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 def lcov(lines: DataFrame, file: str = "doc", pos: str = "pos", line: str = "line") -> DataFrame:
     """source, lines found and hit, and the lines not hit. The source of a line is the last SF: record before it."""
     order = W.partitionBy(file).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    source = F.last(F.when(F.col(line).startswith("SF:"), F.substring(line, 4, 10_000)), ignorenulls=True).over(order)
+    source = F.last(F.when(F.col(line).startswith("SF:"), F.substring(line, 4, F.length(line))), ignorenulls=True).over(order)
     hit = F.regexp_extract(line, "^DA:([0-9]+),([0-9]+)", 2)
     number = F.regexp_extract(line, "^DA:([0-9]+),([0-9]+)", 1)
     rows = lines.withColumn("source", source).withColumn("hit", hit).withColumn("number", number).where("hit <> ''")
@@ -22,14 +22,14 @@ def percent(hit: Column, found: Column) -> Column:
 def added_lines(diff: DataFrame, file: str = "doc", pos: str = "pos", line: str = "line") -> DataFrame:
     """path, new line number and text of the lines that a unified diff adds."""
     order = W.partitionBy(file).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    path = F.last(F.when(F.col(line).startswith("+++ b/"), F.substring(line, 7, 10_000)), ignorenulls=True).over(order)
+    path = F.last(F.when(F.col(line).startswith("+++ b/"), F.substring(line, 7, F.length(line))), ignorenulls=True).over(order)
     start = F.regexp_extract(line, "^@@ -[0-9,]+ [+]([0-9]+)", 1)
     hunk = F.sum((start != "").cast("int")).over(order)
     first = F.last(F.when(start != "", start.cast("int")), ignorenulls=True).over(order)
     body = F.col(line).rlike("^[+ ]") & ~F.col(line).startswith("+++")
     rows = diff.withColumn("path", path).withColumn("hunk", hunk).withColumn("first", first).where(body & F.col("first").isNotNull())
     nth = F.row_number().over(W.partitionBy(file, "hunk").orderBy(pos))
-    return rows.withColumn("number", F.col("first") + nth - 1).where(F.col(line).startswith("+")).select("path", "number", F.substring(line, 2, 10_000).alias("text"))
+    return rows.withColumn("number", F.col("first") + nth - 1).where(F.col(line).startswith("+")).select("path", "number", F.substring(line, 2, F.length(line)).alias("text"))
 
 
 def environment(lines: DataFrame, line: str = "line") -> DataFrame:

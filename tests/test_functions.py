@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tersa.functions import text as X
 from tersa.operators import audit as A, budget as B, classify as C, duplicates as D, graph as G, logs as L, ranking as R, stats as S
+from tersa.operators import readers
 from tersa.operators.tables import materialize
 from tersa.streaming import events as E
 
@@ -151,3 +152,11 @@ def test_containing_function(spark):
     rows = spark.createDataFrame([("f", 1, "a"), ("f", 2, None), ("f", 5, "b"), ("f", 6, None), ("g", 1, None)], "file string, line int, name string")
     found = {(r.file, r.line): r.container for r in G.containing(rows, "file", "line", F.col("name")).collect()}
     assert found == {("f", 1): "a", ("f", 2): "a", ("f", 5): "b", ("f", 6): "b", ("g", 1): None}
+
+
+def test_long_lines_keep_their_end(spark):
+    name, text = "d/" * 6000 + "f", "x" * 12_000 + " secret"
+    diff = spark.createDataFrame([("a", 0, "+++ b/" + name), ("a", 1, "@@ -0,0 +1 @@"), ("a", 2, "+" + text)], "doc string, pos int, line string")
+    assert [tuple(r) for r in readers.added_lines(diff).collect()] == [(name, 1, text)]
+    report = spark.createDataFrame([("a", 0, "SF:" + name), ("a", 1, "DA:3,1")], diff.schema)
+    assert readers.lcov(report).first()["source"] == name
