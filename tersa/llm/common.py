@@ -8,16 +8,22 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one block of rows may hold before a worker handles it.
 BLOCK_BYTES = 2 << 20
 
 
+#: Keys that ``spread_join`` broadcasts at most.
+HOT_KEYS = 10_000
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a session whose driver and executors are one process gets a folder of its own; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tersa-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -37,13 +43,47 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a ``materialize``d table that no later plan reads."""
     path = getattr(df, "_tersa_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        delete(df.sparkSession, path)
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carry(docs: DataFrame, keep: list[str] | None = None, **own: Column) -> DataFrame:
+    """``docs`` as one struct column ``row`` of the kept columns (default: all) beside ``own`` ones, so that no names can clash."""
+    keep = docs.columns if keep is None else keep
+    row = F.struct(*map(column, keep)) if keep else F.struct(F.lit(True).alias("_"))
+    return docs.select(row.alias("row"), *(c.alias(name) for name, c in own.items()))
+
+
+def carried(keep: list[str]) -> list[Column]:
+    """The columns that ``carry`` packed, by their names."""
+    return [F.col("row").getField(c).alias(c) for c in keep]
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, n: str, total: int, how: str = "inner", least: int = 256) -> DataFrame:
+    """``rows`` joined on ``key`` to ``small``, which holds a row per key and in ``n`` how many of the ``total`` rows have it.
+
+    Keys with more than ``total / HOT_KEYS`` rows (and ``least``) are HOT_KEYS at most: they are broadcast,
+    and their rows stay where they are. Both sides are read twice and should be materialized.
+    """
+    limit = max(least, -(-total // HOT_KEYS))
+    hot, cold = small.where(F.col(n) > limit).drop(n), small.where(F.col(n) <= limit).drop(n)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    names = [c for c in small.columns if c not in (key, n)]
+    return marked.where("_hot").drop("_hot").unionByName(marked.where("_hot is null").drop("_hot", *names).join(cold, key, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

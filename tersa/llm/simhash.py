@@ -15,19 +15,25 @@ query's contract. ``SIMILAR`` links by an estimate of similarity alone, from the
 shingles. ``ALIKE`` is the rule of a filtering stage: texts whose sets of 5-word
 shingles have a Jaccard index of 0.8 or more. 512 bits of the distinct shingles, with a
 wide radius, only propose; the groups that follow from the proposals hold every link, and
-in each of them the sets themselves are compared, by their 64-bit hashes.
+in each of them the sets themselves are compared, by their 64-bit hashes. Since such sets
+have sizes within the same ratio, tiles are also named by size class there, and only
+neighbouring classes meet.
+
+Keys that many rows share (copies of a text, hubs of the link graph) are joined by a
+broadcast of bounded size, so no task gathers their rows.
 
 Defined cases: null or wordless text has fingerprint zero and is linked like any
 other; texts shorter than a shingle are a single shingle; a null doc_id takes part but
 is never a component id (null if a component has no other); repeated rows share
-their component; extra columns pass through ``fingerprints`` and ``deduplicate``; empty
-tables give empty tables.
+their component; extra columns, whatever their names, pass through ``deduplicate`` unchanged
+and through ``fingerprints`` unless named node, bits or weight; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
+from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -35,7 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import blocks, materialize, partitions, ranges, release, texts
+from .common import blocks, carried, carry, materialize, partitions, ranges, release, spread_join, texts
 
 SEED = 42
 #: Visitors that a tile's part meets in one task, in tiles.
@@ -64,6 +70,10 @@ class Rule:
     #: Least Jaccard index, as numerator and denominator; the bits, of distinct shingles then, only propose.
     share: tuple[int, int] | None = None
 
+    def __post_init__(self):
+        if self.share and self.parts != 1:
+            raise ValueError("tiles by size class take the first word whole")
+
 
 #: Jaccard similarity 0.8 of shingle sets is a cosine of about 8/9, so an angle at which 0.15 of the
 #: bits differ: 78 of 512 on average, with a standard deviation of 8, and 10 of 64, with one of 3.
@@ -125,9 +135,9 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
-    """``docs`` without its text, with node (the first word, or a hash of several, or of the set if that decides) and bits (all words)."""
-    kept = [c for c in docs.columns if c not in (text, "node", "bits")]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("node", T.LongType()), T.StructField("bits", T.BinaryType())])
+    """``docs`` without its text, with node (the first word, or a hash of several, or of the set if that decides), bits (all words) and weight (distinct shingles, if their set decides, else 0)."""
+    kept = [c for c in docs.columns if c not in (text, "node", "bits", "weight")]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("node", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("weight", T.LongType())])
 
     def run(batches):
         for block in blocks(batches, text):
@@ -135,10 +145,12 @@ def fingerprints(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> Da
                 sets = [shingle_set(x, rule.shingle) for x in texts(block, text)]
                 values = np.stack([majority(in_parts(x), rule) for x in sets])
                 nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64)
+                weights = [len(x) for x in sets]
             else:
+                weights = [0] * block.num_rows
                 values = np.stack([fingerprint(x, rule) for x in texts(block, text)])
                 nodes = values[:, 0] if rule.words == 1 else np.array([xxhash.xxh64_intdigest(v.tobytes()) for v in values], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([block.column(block.schema.get_field_index(c)) for c in kept] + [pa.array(nodes.view(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([block.column(block.schema.get_field_index(c)) for c in kept] + [pa.array(nodes.view(np.int64)), pa.array([v.tobytes() for v in values], pa.binary()), pa.array(weights, pa.int64())], names=schema.names)
 
     return docs.select(*kept, text).mapInArrow(run, schema)
 
@@ -154,15 +166,31 @@ def signature(first: np.ndarray, parts: int) -> np.ndarray:
     return counts @ (128 ** np.arange(parts, dtype=np.int64))
 
 
+@lru_cache(maxsize=4)
+def class_bounds(share: tuple[int, int]) -> np.ndarray:
+    """Least sizes of the size classes: sets whose sizes have a ratio of ``share`` or more lie in one class or in neighbours."""
+    out = [0, 1]
+    while out[-1] < 1 << 48:
+        out.append(max(out[-1] + 1, -(-out[-1] * share[1] // share[0])))
+    return np.array(out, dtype=np.int64)
+
+
+def tiles_of(words: np.ndarray, weights: np.ndarray, rule: Rule) -> np.ndarray:
+    """The tile of each fingerprint: its population counts and, if sets decide, its size class."""
+    own = signature(words[:, 0], rule.parts)
+    return own + 128 * (np.searchsorted(class_bounds(rule.share), weights, side="right") - 1) if rule.share else own
+
+
 def steps(rule: Rule) -> list[tuple[int, tuple[int, ...]]]:
-    """Signature differences of the tiles that a tile visits: each pair of tiles once."""
+    """Differences of the tiles that a tile visits, and of their population counts: each pair of tiles once."""
     zero = (0,) * rule.parts
-    around = [d for d in itertools.product(range(-rule.radius, rule.radius + 1), repeat=rule.parts) if sum(map(abs, d)) <= rule.radius and d > zero]
-    return [(sum(x * 128**k for k, x in enumerate(d)), d) for d in around]
+    around = [d for d in itertools.product(range(-rule.radius, rule.radius + 1), repeat=rule.parts) if sum(map(abs, d)) <= rule.radius]
+    moves = [(sum(x * 128**k for k, x in enumerate(d)), d) for d in around]
+    return [m for m in moves if m[1] > zero] + [(128 + move, d) for move, d in moves if rule.share]
 
 
 def deal(fps: DataFrame, held: dict[int, int], rule: Rule) -> DataFrame:
-    """(tile, part, visits, node, bits): each fingerprint at home and in every tile that it visits. held: fingerprints by tile."""
+    """(tile, part, visits, node, bits, weight): each fingerprint at home and in every tile that it visits. held: fingerprints by tile."""
     moves, most = steps(rule), 64 // rule.parts
     names = sorted(held)
     split = [-(-held[k] // rule.tile) for k in names]
@@ -177,8 +205,8 @@ def deal(fps: DataFrame, held: dict[int, int], rule: Rule) -> DataFrame:
             node = np.asarray(batch.column(0)).astype(np.int64)
             if not len(node):
                 continue
-            bits = batch.column(1)
-            home = signature(word_matrix(bits, rule.words)[:, 0], rule.parts)
+            bits, weight = batch.column(1), batch.column(2)
+            home = tiles_of(word_matrix(bits, rule.words), np.asarray(weight), rule)
             mine = ((node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
             at = np.searchsorted(tiles, home)
             split, own = parts[at], times[at]
@@ -189,7 +217,7 @@ def deal(fps: DataFrame, held: dict[int, int], rule: Rule) -> DataFrame:
             def rows(tile, part, visits, who):
                 if len(who):
                     who_ = pa.array(who)
-                    yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.full(len(who), visits, dtype=np.int8)), batch.column(0).take(who_), bits.take(who_)], names=["tile", "part", "visits", "node", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.full(len(who), visits, dtype=np.int8)), batch.column(0).take(who_), bits.take(who_), weight.take(who_)], names=["tile", "part", "visits", "node", "bits", "weight"])
 
             for copy in range(int(own.max())):
                 some = every[own > copy]
@@ -207,7 +235,7 @@ def deal(fps: DataFrame, held: dict[int, int], rule: Rule) -> DataFrame:
                     some = parts[slot] > k
                     yield from rows(goal[some], (k * times[slot] + turn[who] % times[slot])[some], 1, who[some])
 
-    return fps.select("node", "bits").mapInArrow(run, "tile int, part int, visits tinyint, node long, bits binary")
+    return fps.select("node", "bits", "weight").mapInArrow(run, "tile int, part int, visits tinyint, node long, bits binary, weight long")
 
 
 class Forest:
@@ -226,12 +254,16 @@ class Forest:
                 self.up = self.up[self.up]
 
 
-def near(left: np.ndarray, right: np.ndarray, rule: Rule):
-    """Index pairs of rows of words that link, stripe by stripe."""
+def near(left: np.ndarray, right: np.ndarray, rule: Rule, sizes: tuple[np.ndarray, np.ndarray] | None = None):
+    """Index pairs of rows of words that link, stripe by stripe. sizes: of the sets on both sides, if those decide."""
     step = max(1, CELLS // max(1, len(right)))
     first, others = np.ascontiguousarray(left[:, 0]), np.ascontiguousarray(right[:, 0])
     for start in range(0, len(left), step):
         a, b = np.nonzero(np.bitwise_count(first[start : start + step, None] ^ others[None, :]) <= rule.radius)
+        if rule.share and sizes and len(a):
+            x, y = sizes[0][a + start], sizes[1][b]
+            fits = rule.share[1] * np.minimum(x, y) >= rule.share[0] * np.maximum(x, y)
+            a, b = a[fits], b[fits]
         if rule.second < 128 and len(a):
             a, b = second(left, right, a, b, start, rule)
         if rule.words > 1 and len(a):
@@ -253,34 +285,34 @@ def compare(dealt: DataFrame, rule: Rule) -> DataFrame:
     sorted_ = dealt.repartition(n, "tile", "part").sortWithinPartitions("tile", "part", "visits")
 
     def runs(batches):
-        """(key, visits, nodes, words) for each run of rows with the same tile, part and visits."""
+        """(key, visits, nodes, words, weights) for each run of rows with the same tile, part and visits."""
         for batch in batches:
-            tile, part, visits, node = (np.asarray(batch.column(i)).astype(np.int64) for i in range(4))
+            tile, part, visits, node, weight = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1, 2, 3, 5))
             key = (tile << 32) | (part << 1) | visits
             cuts = [0, *(np.nonzero(np.diff(key))[0] + 1).tolist(), len(key)]
             words = word_matrix(batch.column(4), rule.words)
             for a, b in itertools.pairwise(cuts):
                 if b > a:
-                    yield int(key[a]) >> 1, int(visits[a]), node[a:b], words[a:b]
+                    yield int(key[a]) >> 1, int(visits[a]), node[a:b], words[a:b], weight[a:b]
 
     def links(batches):
         for _, own in itertools.groupby(runs(batches), key=itemgetter(0)):
             home, forest = [], None
-            for _, visits, nodes, words in own:  # a tile's own fingerprints come first
+            for _, visits, nodes, words, weights in own:  # a tile's own fingerprints come first
                 if not visits:
-                    home.append((nodes, words))
+                    home.append((nodes, words, weights))
                     continue
                 if not home:
                     break
                 if forest is None:
                     home = [tuple(map(np.concatenate, zip(*home, strict=True)))]
-                    forest = tile_links(home[0][1], rule)
-                for a, b in near(home[0][1], words, rule):  # one edge for each guest and component that it links to
+                    forest = tile_links(*home[0][1:], rule)
+                for a, b in near(home[0][1], words, rule, (home[0][2], weights)):  # one edge for each guest and component that it links to
                     pairs = np.unique(forest.up[a] * len(words) + b)
                     yield home[0][0][pairs // len(words)], nodes[pairs % len(words)]
             if home:
                 home = [tuple(map(np.concatenate, zip(*home, strict=True)))]
-                forest = forest or tile_links(home[0][1], rule)
+                forest = forest or tile_links(*home[0][1:], rule)
                 inner = np.nonzero(forest.up != np.arange(len(forest.up)))[0]
                 yield home[0][0][inner], home[0][0][forest.up[inner]]
 
@@ -299,10 +331,10 @@ def compare(dealt: DataFrame, rule: Rule) -> DataFrame:
     return sorted_.mapInArrow(run, "u long, v long")
 
 
-def tile_links(words: np.ndarray, rule: Rule) -> Forest:
+def tile_links(words: np.ndarray, weights: np.ndarray, rule: Rule) -> Forest:
     """The components of one tile by its own links."""
     forest = Forest(len(words))
-    for a, b in near(words, words, rule):
+    for a, b in near(words, words, rule, (weights, weights)):
         forest.join(a, b)
     return forest
 
@@ -314,12 +346,14 @@ def components(edges: DataFrame) -> DataFrame:
     before = now.agg(state).first()[0]
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        next_ = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = materialize(spread_join(both, least, "u", "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        small = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small")
+        joined = spread_join(large, small, "u", "n", before[0])
+        next_ = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         next_ = materialize(next_, "edges")
-        release(now)
+        for done in (now, least, large, small):
+            release(done)
         now, after = next_, next_.agg(state).first()[0]
         if after == before:
             break
@@ -328,17 +362,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(node, root) of every node that links to another. rows: node and bits, repeated as they come."""
-    fps = materialize(rows.groupBy("node").agg(F.min("bits").alias("bits")), "distinct")
+    """(node, root) of every node that links to another. rows: node, bits and weight, repeated as they come."""
+    fps = materialize(rows.groupBy("node").agg(F.min("bits").alias("bits"), F.min("weight").alias("weight")), "distinct")
 
     def tiles(batches):
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(signature(word_matrix(batch.column(0), rule.words)[:, 0], rule.parts).astype(np.int32))], names=["tile"])
+                yield pa.RecordBatch.from_arrays([pa.array(tiles_of(word_matrix(batch.column(0), rule.words), np.asarray(batch.column(1)), rule).astype(np.int32))], names=["tile"])
 
-    cells = fps.select("bits").mapInArrow(tiles, "tile int").groupBy("tile").count()  # as many as there are signatures, 17 ** 4 at most
+    # as many as there are tiles: 17 ** 4 at most, or 65 in each of some 150 size classes
+    cells = fps.select("bits", "weight").mapInArrow(tiles, "tile int").groupBy("tile").count()
     held = {r["tile"]: r["count"] for r in cells.collect()}
-    return materialize(components(compare(deal(fps, held, rule), rule) if held else fps.select(F.col("node").alias("u"), F.col("node").alias("v"))), "links")
+    links = materialize(components(compare(deal(fps, held, rule), rule) if held else fps.select(F.col("node").alias("u"), F.col("node").alias("v"))), "links")
+    release(fps)
+    return links
 
 
 def set_links(sets: list[np.ndarray], share: tuple[int, int]) -> tuple[list[int], list[int]]:
@@ -369,19 +406,24 @@ def set_links(sets: list[np.ndarray], share: tuple[int, int]) -> tuple[list[int]
     return up, down
 
 
+def filtered(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` with asked: whether their key may be one of ``members``, by a broadcast bitmap of FILTER bits at most (never false for a member)."""
+    bits = min(FILTER, 1 << max(15, (16 * members.count()).bit_length()))
+    place = F.pmod(F.col("key"), F.lit(bits))
+    slots = members.groupBy(F.floor(place / 32768).alias("slot")).agg(F.bitmap_construct_agg(place % 32768).alias("bitmap"))
+    byte = F.conv(F.hex(F.substring("bitmap", ((place % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    asked = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("slot", F.floor(place / 32768)).join(F.broadcast(slots), "slot", "left").withColumn("asked", asked).drop("slot", "bitmap")
+
+
 def verified(docs: DataFrame, firsts: DataFrame, proposed: DataFrame, rule: Rule) -> DataFrame:
     """(node, root) of every node that links to another by its set. firsts: node and a text of it (doc_id, key, size); proposed: (node, root) of groups that hold all links; docs with their key.
 
     A group's texts are dealt into parts of bounded size and each part meets every part.
     """
     members = materialize(firsts.join(proposed, "node"), "members")
-    # texts that no link is proposed for are left where they are: a filter of bounded size finds them
-    bits = min(FILTER, 1 << max(15, (16 * members.count()).bit_length()))
-    place = F.pmod(F.col("key"), F.lit(bits))
-    slots = members.groupBy(F.floor(place / 32768).alias("slot")).agg(F.bitmap_construct_agg(place % 32768).alias("bitmap"))
-    flagged = docs.select("doc_id", "key", "text").withColumn("slot", F.floor(place / 32768)).join(F.broadcast(slots), "slot")
-    byte = F.conv(F.hex(F.substring("bitmap", ((place % 32768) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    asked = flagged.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("doc_id", "key", "text")
+    # texts that no link is proposed for are left where they are
+    asked = filtered(docs.select("doc_id", "key", "text"), members).where("asked").drop("asked")
     times = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") + EACH) / GROUP).cast("int").alias("times"))
     dealt = members.join(times, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("times")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
@@ -405,32 +447,51 @@ def verified(docs: DataFrame, firsts: DataFrame, proposed: DataFrame, rule: Rule
                 nodes = np.array(nodes, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[up]), pa.array(nodes[down])], names=["u", "v"])
 
-    return materialize(components(met.mapInArrow(run, "u long, v long")), "links")
+    links = materialize(components(met.mapInArrow(run, "u long, v long")), "links")
+    release(members)
+    return links
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, fingerprint (16 hex digits; for several words, of their hash) and component_id of every row of ``docs``."""
     rows = materialize(fingerprints(docs.select("doc_id", "text"), rule), "fingerprints")
     links = linked(rows, rule)
-    firsts = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "firsts")
+    firsts = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "firsts")
     of_root = links.join(firsts, "node").groupBy("root").agg(F.min("first_id").alias("least_id"))
     of_node = links.join(of_root, "root").select("node", "least_id")
-    named = materialize(firsts.join(of_node, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id")), "components")
-    return rows.join(named, "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
+    named = materialize(firsts.join(of_node, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id"), "n"), "components")
+    for done in (links, firsts):
+        release(done)
+    whole = spread_join(rows.drop("bits", "weight"), named, "node", "n", rows.count())
+    return whole.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, rule: Rule = ALIKE) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, then smallest text hash (null ids last)."""
-    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    rows = materialize(fingerprints(docs.select("doc_id", "text", text_key.alias("key"), size.alias("size")), rule), "fingerprints")
+    """``docs`` with one row of each component: that of the smallest doc_id, then smallest text hash (null ids last).
+
+    Rows that no other repeats and none links to stay where they are; only the others move.
+    """
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    own = docs.select("doc_id", "text", F.xxhash64(whole).alias("key"), F.octet_length(whole).cast("long").alias("size"))
+    rows = materialize(fingerprints(own, rule), "fingerprints")
     links = linked(rows, rule)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"), F.col("size").alias("size"))
-    firsts = rows.groupBy("node").agg(F.min(order).alias("first"))
+    total = rows.count()
+    copies = materialize(rows.groupBy("node", "key").agg(F.min(order).alias("first"), F.count("*").alias("n")), "copies")
+    nodes = copies.groupBy("node").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("texts"))
     if rule.share:
-        links = verified(docs.withColumn("key", text_key), firsts.select("node", "first.doc_id", "first.key", "first.size"), links, rule)
-    named = firsts.join(links, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    chosen = materialize(named.select("first.doc_id", "first.key").distinct(), "chosen")
-    whole = docs.withColumn("_key", text_key)
-    kept = whole.join(chosen.withColumnRenamed("doc_id", "_id"), whole["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
+        proposed, links = links, verified(own, nodes.select("node", "first.doc_id", "first.key", "first.size"), links, rule)
+        release(proposed)
+    # a node is contested if it has several rows or links to another
+    contested = materialize(nodes.join(links, "node", "left").where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first", "texts"), "contested")
+    texts_ = spread_join(copies.select("node", "key", F.col("n").alias("rows")), contested.select("node", "texts"), "node", "texts", copies.count())
+    asked = texts_.groupBy("key").agg(F.sum("rows").alias("n"))
+    # the one row that stays of a group has one text; of the group's other texts none stays
+    chosen = contested.groupBy("root").agg(F.min("first").alias("first")).select("first.key", F.col("first.doc_id").alias("stays"), F.lit(True).alias("chosen")).dropDuplicates(["key"])
+    verdicts = materialize(asked.join(chosen, "key", "left").withColumn("known", F.lit(True)), "verdicts")
+    marked = filtered(carry(docs, doc_id=F.col("doc_id"), key=F.xxhash64(whole)), verdicts)
+    judged = spread_join(marked.where("asked").drop("asked"), verdicts, "key", "n", total, "left")
+    stay = judged.where(F.col("known").isNull() | (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("stays")))).dropDuplicates(["doc_id", "key"])
+    for done in (rows, copies, contested):
+        release(done)
+    return marked.where("not asked").select(*carried(docs.columns)).unionByName(stay.select(*carried(docs.columns)))
