@@ -4,19 +4,19 @@ Every distinct piece (match of the split pattern) of a block becomes a row of by
 tokens in a padded matrix; rows are bucketed by length. Each round, every row of a
 matrix merges its leftmost pair of minimum rank: pairs are looked up in an
 open-addressing hash table, the row closes up behind the merge, and rows without
-a mergeable pair leave the matrix. Pieces of more than ``MATRIX_BYTES`` bytes, for
-which a round per merge would be quadratic, go through a heap that performs the
-same merges in the same order.
+a mergeable pair leave the matrix. Pieces of more than ``MATRIX_BYTES`` bytes are
+matrices of one row, where a round performs, from the left, all merges of the minimum
+rank up to the first that makes a pair of smaller rank: those that would follow each other
+in rounds of one merge.
 
 Defined cases: null text encodes as empty; empty text gives no ids; repeated rows
-are encoded each; other columns, whatever their names, pass through; an empty table
-gives an empty table.
+are encoded each; other columns pass through, but an input column that has the name of
+an output (``ids``, ``decoded``) gives way to it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import blocks, ragged, ranges, texts
 
-#: Pieces longer than this are merged with a heap.
+#: Pieces longer than this have a matrix of their own.
 MATRIX_BYTES = 256
 #: Elements of one matrix at most.
 MATRIX_CELLS = 1 << 20
@@ -99,8 +99,6 @@ class Codec:
         self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         parts = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self.pairs = PairTable(*np.array(parts, dtype=np.int64).reshape(-1, 3).T)
-        self.pair_ids = {(a, b): r for a, b, r in parts}
-        self.whole = ranks
         self.forget()
 
     def forget(self) -> None:
@@ -147,35 +145,34 @@ class Codec:
                 rows, pairs = np.ascontiguousarray(rows[:, :width]), np.ascontiguousarray(pairs[:, : width - 1])
         return out
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one long piece, in n log n."""
-        ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = self.pair_ids.get
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (s := rank((r, ids[k]))) is not None:
-                    heapq.heappush(heap, (s, i, r, ids[k]))
-            if (h := before[i]) >= 0 and (s := rank((ids[h], r))) is not None:
-                heapq.heappush(heap, (s, h, ids[h], r))
-        return np.array([x for x in ids if x >= 0], dtype=np.int32)
+    def merge_long(self, row: np.ndarray) -> np.ndarray:
+        """Ids of one long row of byte tokens."""
+        pairs = np.append(self.pairs(row[:-1], row[1:]), NO_RANK)
+        while (best := pairs.min()) != NO_RANK:
+            at = np.nonzero(pairs == best)[0]
+            _, run = np.unique(np.cumsum(np.diff(at, prepend=-2) != 1), return_index=True)  # of neighbours, which share a token, the first, third, ... merge
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0]
+            around = np.concatenate([[-1], row, [-1]])
+            before, after = around[at], np.append(around, -1)[at + 3]
+            before[1:][at[1:] == at[:-1] + 2] = best
+            joined = np.full(len(at), best, dtype=row.dtype)
+            smaller = np.minimum(self.pairs(before, joined), self.pairs(joined, after)) < best
+            at = at[: int(smaller.argmax()) + 1] if smaller.any() else at
+            row[at] = best
+            kept = np.ones(len(row), dtype=bool)
+            kept[at + 1] = False
+            row, pairs, at = row[kept], pairs[kept], at - np.arange(len(at))
+            pairs[-1] = NO_RANK
+            for near in (at[at < len(row) - 1], at[at > 0] - 1):
+                pairs[near] = self.pairs(row[near], row[near + 1])
+        return row
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece."""
         out: list = [None] * len(pieces)
         lengths = np.array([len(p) for p in pieces], dtype=np.int64)
         for i in np.nonzero(lengths > MATRIX_BYTES)[0]:
-            out[i] = self.merge_long(pieces[i])
+            out[i] = self.merge_long(self.byte_ids[np.frombuffer(pieces[i], dtype=np.uint8)])
         low = 0
         for width in (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, MATRIX_BYTES):
             names = np.nonzero((lengths > low) & (lengths <= width))[0]
