@@ -1,35 +1,45 @@
 """Operator 3: approximate nearest neighbours by robust-pruned directed graphs.
 
-Vectors are dealt into shards by hash. In each shard a directed graph is grown batch by
-batch: a greedy beam search from the shard's medoid proposes neighbours for every new
-vector, relaxed distance pruning (an edge is dropped if a kept one is ``RELAX`` times
-closer to its end) keeps diverse edges, and back edges are added and pruned the same
-way. Queries, in blocks of bounded size, are beam-searched in every shard's graph; the
-proposals are scored by exact cosine in double precision and merged over shards.
+Equal vectors are one point, which keeps its smallest vec_ids (as many as a result can
+hold and one more, since a query is no answer to itself), so a hot vector neither fills
+beams nor tasks. Points are dealt into shards by hash. In each shard a directed graph is
+grown batch by batch: a greedy beam search from the shard's medoid proposes neighbours
+for every new vector, relaxed distance pruning (an edge is dropped if a kept one is
+``RELAX`` times closer to its end) keeps diverse edges, and back edges are added and
+pruned the same way. Queries travel in blocks of bounded size: every block is sent to
+every group of shards, where it is beam-searched in each graph. The proposals are scored
+by exact cosine in double precision and merged over shards. Nothing but the most common
+length reaches the driver, and nothing is broadcast.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold
 null or non-finite components take no part; repeated rows of one vec_id count once
 (the least vector, if they differ); null vec_id takes no part; equal scores go to the
-smaller vec_id; extra columns are ignored; an empty table gives no rows.
+smaller vec_id; components of any finite size are scaled by powers of two before they
+are multiplied, which changes no other score; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, ranges, release
 
-#: Vectors of one shard, at about.
+#: Points of one shard, at about.
 SHARD = 4096
 DEGREE = 32
 BUILD_BEAM, SEARCH_BEAM = 64, 128
 #: Beam entries that are expanded together.
 STRIDE = 4
 RELAX = 1.2
-#: Queries that are broadcast together.
-QUERY_BLOCK = 4096
+#: Queries of one block at most.
+QUERY_BLOCK = 1024
+#: Shards that one task holds at most, and queries that it takes through them, at about.
+TOGETHER, QUERIES = 8, 1 << 16
 #: Vectors that join a graph together at most.
 BATCH = 256
 
@@ -140,102 +150,151 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def matrix(batch_column) -> np.ndarray:
-    lists = batch_column
+def points_of(rows: DataFrame, k: int) -> DataFrame:
+    """v and ids (the ``k + 1`` smallest vec_ids that have it, ascending). A hot vector's rows are cut down before they are shuffled."""
+    nth = F.row_number().over(W.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id"))
+    few = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+
+
+def matrix(lists: pa.Array) -> np.ndarray:
     return np.asarray(lists.flatten()).reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to 1/2 or more and under 1."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
-    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    rows = scaled(rows)
     return (rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-INDEX = "shard int, width int, start int, ids binary, vectors binary, graph binary"
+#: kind 0: a shard (ids of all points end to end, how many each has, vectors, graph); kind 1: a block of queries (ids, vectors).
+PARCEL = "kind int, number long, width int, start int, ids binary, counts binary, vectors binary, graph binary"
+_KINDS = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+_NAMES = [c.split()[0] for c in PARCEL.split(", ")]
+
 
+def parcel(*row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, _KINDS, strict=True)], names=_NAMES)
 
-def index(rows: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: its ids, vectors (double) and graph."""
-    n = min(shards, partitions(rows.sparkSession) * 4)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition(n, "shard").sortWithinPartitions("shard", "vec_id")
 
-    def close(shard, ids, parts):
-        ids, vectors = np.concatenate(ids), np.concatenate(parts)
+def index(points: DataFrame, shards: int) -> DataFrame:
+    """A parcel per shard: its ids, vectors (double) and graph."""
+    n = min(shards, partitions(points.sparkSession) * 4)
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).repartition(n, "shard").sortWithinPartitions("shard").select("shard", "v", "ids")
+
+    def close(shard, parts):
+        vectors, ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort(vectors.T[::-1])  # whatever order the rows came in
+        firsts = np.cumsum(counts) - counts
+        ids = np.concatenate([ids[firsts[i] : firsts[i] + counts[i]] for i in order])
+        vectors, counts = vectors[order], counts[order]
         graph, start = build(unit(vectors))
-        row = (shard, vectors.shape[1], start, ids.astype("<i8").tobytes(), vectors.astype("<f8").tobytes(), graph.astype("<i4").tobytes())
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["shard", "width", "start", "ids", "vectors", "graph"])
+        return parcel(0, shard, vectors.shape[1], start, ids.astype("<i8").tobytes(), counts.astype("<i4").tobytes(), vectors.astype("<f8").tobytes(), graph.astype("<i4").tobytes())
 
     def run(batches):
-        now, ids, parts = None, [], []
+        now, parts = None, []
         for batch in batches:
-            shard = np.asarray(batch.column(2))
+            shard = np.asarray(batch.column(0))
             cuts = [0, *(np.nonzero(np.diff(shard))[0] + 1).tolist(), len(shard)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
+            for a, b in itertools.pairwise(cuts):
                 if a == b:
                     continue
-                if now is not None and int(shard[a]) != now:
-                    yield close(now, ids, parts)
-                    ids, parts = [], []
+                if parts and int(shard[a]) != now:
+                    yield close(now, parts)
+                    parts = []
                 now = int(shard[a])
-                ids.append(np.asarray(batch.column(0).slice(a, b - a)))
-                parts.append(matrix(batch.column(1).slice(a, b - a)))
-        if ids:
-            yield close(now, ids, parts)
+                lists = batch.column(2).slice(a, b - a)
+                parts.append((matrix(batch.column(1).slice(a, b - a)), np.asarray(lists.flatten()), np.asarray(lists.value_lengths()).astype(np.int64)))
+        if parts:
+            yield close(now, parts)
+
+    return dealt.mapInArrow(run, PARCEL)
 
-    return dealt.mapInArrow(run, INDEX)
+
+def query_blocks(asked: DataFrame) -> DataFrame:
+    """Parcels of QUERY_BLOCK queries at most."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, QUERY_BLOCK):
+                ids, vectors = np.asarray(batch.column(0).slice(a, QUERY_BLOCK)), matrix(batch.column(1).slice(a, QUERY_BLOCK))
+                yield parcel(1, int(ids[0]), vectors.shape[1], 0, ids.astype("<i8").tobytes(), b"", vectors.astype("<f8").tobytes(), b"")
+
+    return asked.select("vec_id", "v").mapInArrow(run, PARCEL)
 
 
 def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Of scaled vectors."""
     return (vectors * query).sum(axis=1) / (np.sqrt((query * query).sum()) * np.sqrt((vectors * vectors).sum(axis=1)))
 
 
-def search(shards: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """query_id, vec_id, score: the best k of each shard for a block of queries."""
-    spread = shards.sparkSession.sparkContext.broadcast((ids, queries))
+class Shard:
+    def __init__(self, row: dict):
+        self.ids, self.start = np.frombuffer(row["ids"], dtype="<i8"), row["start"]
+        self.counts = np.frombuffer(row["counts"], dtype="<i4").astype(np.int64)
+        self.firsts = np.cumsum(self.counts) - self.counts
+        self.vectors = scaled(np.frombuffer(row["vectors"], dtype="<f8").reshape(-1, row["width"]))
+        self.points = unit(self.vectors)
+        self.graph = np.frombuffer(row["graph"], dtype="<i4").reshape(-1, DEGREE).astype(np.int64)
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        """(query ids, vec_ids, scores): the best k of this shard for each query."""
+        near, queries = unit(queries), scaled(queries)
+        for a in range(0, len(ids), BATCH):
+            found, _ = beam_search(self.points, self.graph, near[a : a + BATCH], SEARCH_BEAM, self.start)
+            for q, row in zip(range(a, a + len(found)), found, strict=True):
+                row = row[row >= 0]
+                n = self.counts[row]
+                own = self.ids[ranges(self.firsts[row], n)]
+                scores = np.repeat(cosines(queries[q], self.vectors[row]), n)
+                own, scores = own[own != ids[q]], scores[own != ids[q]]
+                best = np.lexsort((own, -scores))[:k]
+                yield np.full(len(best), ids[q]), own[best], scores[best]
+
+
+def search(shards: DataFrame, blocks: DataFrame, groups: int, shares: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: the best k of each shard for each query. Every block visits every group of shards; a group is copied ``shares`` times, and each copy takes a share of the blocks."""
+    n = partitions(shards.sparkSession)
+    home = shards.withColumn("group", F.pmod("number", F.lit(groups))).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    guests = blocks.withColumn("share", F.pmod(F.xxhash64("number"), F.lit(shares)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    both = home.unionByName(guests).select("group", "share", *_NAMES)
 
     def run(batches):
-        ids, queries = spread.value
-        near = unit(queries)
+        now, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                _, width, start, own, vectors, graph = (batch.column(c)[i].as_py() for c in range(6))
-                own = np.frombuffer(own, dtype="<i8")
-                vectors = np.frombuffer(vectors, dtype="<f8").reshape(-1, width)
-                graph = np.frombuffer(graph, dtype="<i4").reshape(-1, DEGREE).astype(np.int64)
-                points, out = unit(vectors), []
-                for a in range(0, len(ids), BATCH):
-                    found, _ = beam_search(points, graph, near[a : a + BATCH], SEARCH_BEAM, start)
-                    for q, row in zip(range(a, a + len(found)), found, strict=True):
-                        row = row[row >= 0]
-                        row = row[own[row] != ids[q]]
-                        scores = cosines(queries[q], vectors[row])
-                        best = np.lexsort((own[row], -scores))[:k]
-                        out.append((np.full(len(best), ids[q]), own[row][best], scores[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
-    return shards.mapInArrow(run, "query_id long, vec_id long, score double")
+                key, row = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), {c: batch.column(2 + j)[i].as_py() for j, c in enumerate(_NAMES)}
+                if key != now:
+                    now, held = key, []
+                if row["kind"] == 0:  # a group's shards come first
+                    held.append(Shard(row))
+                    continue
+                ids, queries = np.frombuffer(row["ids"], dtype="<i8"), np.frombuffer(row["vectors"], dtype="<f8").reshape(-1, row["width"])
+                out = [x for shard in held for x in shard.search(ids, queries, k)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    return both.repartition(min(n * 4, groups * shares), "group", "share").sortWithinPartitions("group", "share", "kind", "number").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queried, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score for every row that ``queried`` (a condition on vec_id) holds for."""
+    spark = vectors.sparkSession
     rows = materialize(usable(vectors), "vectors")
-    widths = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not widths:
-        return vectors.sparkSession.createDataFrame([], schema)
+    widths = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.count(F.when(queried, True)).alias("asked")).orderBy(F.desc("n"), "width").limit(1).collect()
+    if not widths or not widths[0]["asked"]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == widths[0]["width"])
-    total = widths[0]["count"]
-    shards = materialize(index(rows, max(1, round(total / SHARD))), "shards")
-    asked = rows.where(queried)
-    blocks = max(1, -(-asked.count() // (QUERY_BLOCK * 3 // 4)))
-    found = None
-    for b in range(blocks):  # each block is bounded; every pass reads the shards once
-        some = asked.where(F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        if some:
-            part = search(shards, np.array([r["vec_id"] for r in some], dtype=np.int64), np.array([r["v"] for r in some], dtype=np.float64), k)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+    points = materialize(points_of(rows, k), "points")
+    n = max(1, round(points.count() / SHARD))
+    shards = materialize(index(points, n), "shards")
+    release(points)
+    groups = max(1, min(n, max(4 * partitions(spark), -(-n // TOGETHER))))
+    found = search(shards, query_blocks(rows.where(queried)), groups, max(1, -(-widths[0]["asked"] // QUERIES)), k)
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
