@@ -8,7 +8,7 @@ pattern is a multiset of lengths with the number of sequences that follow it, so
 plan's size depends on the histogram and not on the documents. Pieces then find their
 sequence by rank: the k-th piece of a length takes the k-th place the plan has for it.
 Ranks are built from counts by (length, salt), so that no length is numbered by one
-task.
+task; the salt comes from a number that each piece gets when it is cut, so equal rows spread too.
 
 Defined cases: null text is the single end token; repeated rows (and repeated or null
 doc_id) are packed each; extra columns are dropped; an empty table packs nothing.
@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from .common import blocks, materialize, ragged, ranges
@@ -167,13 +168,13 @@ def tokens(path: str) -> Tokens:
 
 
 def cut(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids."""
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens"))])
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, serial (unique) and, if asked for, ids."""
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens", "serial"))])
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
-        own = tokens(path)
+        own, serial = tokens(path), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for block in blocks(batches, "text", 6 << 20):
             rows, which = [], []
             for i, ids in enumerate(own.encode_block(block.column(block.schema.get_field_index("text")))):
@@ -183,7 +184,8 @@ def cut(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, with_ids: bool
                     which.append(i)
                     rows.append((start, len(part), zlib.crc32(part.tobytes()), len(ids), part))
             columns = [block.column(block.schema.get_field_index("doc_id")).take(pa.array(which))]
-            columns += [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
+            columns += [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)] + [pa.array(np.arange(serial, serial + len(rows)))]
+            serial += len(rows)
             if with_ids:
                 columns.append(ragged(np.concatenate([r[4] for r in rows]).astype(np.int32), np.array([r[1] for r in rows]), pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -248,12 +250,12 @@ def places(patterns: list[tuple[int, dict[int, int]]]) -> np.ndarray:
 def ranked(pieces: DataFrame, rows: int) -> DataFrame:
     """``pieces`` with rank, 0.. within each length."""
     salts = max(1, -(-rows // RANKED_TOGETHER)) * 8
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("serial"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").count()
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    within = W.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    return salted.withColumn("nth", F.row_number().over(within) - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("nth")).drop("salt", "base", "nth")
+    within = W.partitionBy("length", "salt").orderBy("serial")
+    return salted.withColumn("nth", F.row_number().over(within) - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("nth")).drop("salt", "base", "nth", "serial")
 
 
 def place(pieces: DataFrame, table: np.ndarray) -> DataFrame:
