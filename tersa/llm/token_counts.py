@@ -2,13 +2,15 @@
 
 Every document is encoded whole and only its length is kept; documents are aggregated
 by length. Suffix sums over the histogram answer, for a context limit at each occurring
-length, how many documents reach it, how many tokens the corpus has below and from it,
-what remains if every document is truncated to it, and each limit's quantile. The sums
-are taken within blocks of lengths and over blocks, so no task orders the whole
-histogram.
+length and at every limit asked for, how many documents reach it, how many tokens the
+corpus has below and from it, what remains if every document is truncated to it, and each
+limit's quantile. Between two occurring lengths every limit is answered by the next longer
+one (``at``). The sums are taken within blocks of lengths and over blocks, so no task orders
+the whole histogram.
 
 Defined cases: null and empty texts have length 0; repeated rows count each; other
-columns are ignored; an empty table gives an empty histogram.
+columns are ignored; an empty table gives an empty histogram, whatever the limits; a limit
+longer than every document has n_docs and docs_from 0.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .bpe import codec
 from .common import blocks, materialize, texts
 
+#: Usual context lengths, which the query answers as well.
+LIMITS = (512, 1024, 2048, 4096, 8192, 16384, 32768, 131072)
 #: Neighbouring lengths that one window orders.
 BLOCK = 64
 
@@ -65,5 +69,23 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     )
 
 
-def token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    return suffix_sums(materialize(histogram(docs, path, pattern), "histogram"))
+def with_limits(counts: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+    """The histogram with a row for every limit, of no documents where none has that length."""
+    if not limits:
+        return counts
+    rows = counts.sparkSession.createDataFrame([(int(x),) for x in sorted(set(limits))], "n_tokens long")
+    some = counts.limit(1).select(F.lit(0).cast("long").alias("n_docs"))  # no rows without documents
+    return counts.unionByName(rows.join(F.broadcast(some)).join(counts.select("n_tokens"), "n_tokens", "left_anti"))
+
+
+def token_counts(docs: DataFrame, path: str, pattern: str, limits: tuple[int, ...] = LIMITS) -> DataFrame:
+    """The answers at every occurring length and at ``limits``."""
+    return suffix_sums(with_limits(materialize(histogram(docs, path, pattern), "histogram"), limits))
+
+
+def at(answers: DataFrame, limit: int) -> DataFrame:
+    """One row: docs_from, tokens_from, truncated_tokens and quantile for any context limit, from ``token_counts``' answers."""
+    total, docs = F.max("total_tokens"), F.max("docs_from")
+    from_ = [F.coalesce(F.min_by(c, F.when(F.col("n_tokens") >= limit, F.col("n_tokens"))), F.lit(0)) for c in ("docs_from", "tokens_from")]
+    shorter = docs - F.coalesce(F.min_by("docs_from", F.when(F.col("n_tokens") > limit, F.col("n_tokens"))), F.lit(0))
+    return answers.agg(from_[0].alias("docs_from"), from_[1].alias("tokens_from"), (total - from_[1] + limit * from_[0]).alias("truncated_tokens"), (shorter / docs).alias("quantile")).where("truncated_tokens is not null")
