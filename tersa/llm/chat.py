@@ -12,9 +12,15 @@ A control string is one of these markers. In texts a marker is escaped by a back
 after its first character; marker look-alikes that already have backslashes there get
 one more, so unescaping takes exactly one away. Each turn is rendered plain first,
 reparsed, and compared with its source; a turn that differs is rendered again with
-its text escaped, and must then read back identical. Turns are prefix-free, so what
-holds for turns holds for the conversation. Rendering is per row; only digests need a
-conversation's rows in order, and these stream through a running hash.
+its text escaped, and must then read back identical.
+
+A conversation's rendered text is its turns' texts end to end. ``Reader`` parses it as a
+whole, but takes it in pieces of any size: what a piece leaves unfinished waits for the
+next. ``format_conversations`` gives the pieces with their place in the conversation and the
+spans of the loss mask there; ``read_back`` reads the roles and texts from the rendered text,
+and the text under the loss mask from those spans alone. Both stream through a
+conversation in order, so nothing is gathered, however long it is. A digest of a whole
+conversation is one running hash, so a conversation is one task's work.
 
 Defined cases: null text or role is empty (an empty role is a role of its own); turns
 of one conversation are ordered by turn (null first), role, text; repeated rows are
@@ -28,7 +34,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import partitions
 
@@ -62,29 +68,60 @@ class Broken(ValueError):
     """A text that the grammar doesn't generate."""
 
 
+OPENINGS = {pair[0]: role for role, pair in MARKS.items()} | {OTHER[0]: None}
+
+
+def first_turn(rendered: str) -> tuple[str, str, int, int, int] | None:
+    """role, text, start and end of the raw text between its markers, and the turn's end; None if it isn't complete."""
+    mark = _MARK.match(rendered)
+    if not mark or mark[0] not in OPENINGS:
+        if any(m.startswith(rendered) for m in OPENINGS):
+            return None
+        raise Broken(f"no turn opens at {rendered[:20]!r}")
+    role, start = OPENINGS[mark[0]], mark.end()
+    closing = OTHER[1] if role is None else MARKS[role][1]
+    if role is None:
+        end = _MARK.search(rendered, start)
+        if not end:
+            return None
+        if end[0] != ROLE_END:
+            raise Broken("a role doesn't end")
+        role, start = unescape(rendered[start : end.start()]), end.end()
+    end = _MARK.search(rendered, start)
+    if not end:
+        return None
+    if end[0] != closing:
+        raise Broken(f"{end[0]} stands where {closing} should")
+    return role, unescape(rendered[start : end.start()]), start, end.start(), end.end()
+
+
 def parse(rendered: str) -> list[tuple[str, str, int, int]]:
     """(role, text, start, end) of every turn; the span is that of the raw text between its markers."""
-    out, at = [], 0
-    openings = {pair[0]: role for role, pair in MARKS.items()}
-    while at < len(rendered):
-        mark = _MARK.match(rendered, at)
-        if not mark or mark[0] not in openings and mark[0] != OTHER[0]:
-            raise Broken(f"no turn opens at {at}")
-        role, closing = openings.get(mark[0]), MARKS[openings[mark[0]]][1] if mark[0] in openings else OTHER[1]
-        start = mark.end()
-        if role is None:
-            end = _MARK.search(rendered, start)
-            if not end or end[0] != ROLE_END:
-                raise Broken(f"no role ends after {start}")
-            role, start = unescape(rendered[start : end.start()]), end.end()
-        end = _MARK.search(rendered, start)
-        if not end or end[0] != closing:
-            raise Broken(f"no turn closes after {start}")
-        out.append((role, unescape(rendered[start : end.start()]), start, end.start()))
-        at = end.end()
+    reader = Reader()
+    out = list(reader.feed(rendered))
+    reader.close()
     return out
 
 
+class Reader:
+    """Turns of a rendered conversation that arrives in pieces."""
+
+    def __init__(self):
+        self.rest, self.at = "", 0
+
+    def feed(self, piece: str):
+        """(role, text, start, end) of every turn that is complete now; spans count from the conversation's start."""
+        self.rest += piece
+        while found := first_turn(self.rest):
+            role, text, start, end, after = found
+            yield role, text, self.at + start, self.at + end
+            self.rest, self.at = self.rest[after:], self.at + after
+
+    def close(self) -> None:
+        if self.rest:
+            raise Broken(f"no turn opens or closes after {self.at}")
+
+
 def render(role: str, text: str) -> str:
     """The turn, plain if it reads back identical and escaped otherwise."""
     for tried in (text, escape(text)):
@@ -98,64 +135,93 @@ def render(role: str, text: str) -> str:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, formatted, loss_start, loss_end: each turn rendered, with its span of loss in code points (null without loss)."""
+    """conv_id, turn, role, text, formatted: each turn rendered."""
     source = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([*source.schema.fields, T.StructField("formatted", T.StringType())])
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                formatted, starts, ends = [], [], []
-                for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    formatted.append(render(role, text))
-                    span = parse(formatted[-1])[0][2:] if role == LOSS_ROLE else (None, None)
-                    starts.append(span[0])
-                    ends.append(span[1])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(formatted, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=[*batch.schema.names, "formatted", "loss_start", "loss_end"])
+                formatted = list(map(render, batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(formatted, pa.string())], names=schema.names)
 
-    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    return source.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, formatted string, loss_start long, loss_end long")
+    return source.mapInArrow(run, schema)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the rendered text alone."""
-    spark = formatted.sparkSession
-    # a conversation's turns stream past in order; nothing is gathered, however long it is
-    rows = formatted.select("conv_id", "turn", "role", "text", "formatted").repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted")
-    kind = formatted.schema["conv_id"].dataType.simpleString()
+def format_conversations(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, formatted, start, loss_start, loss_end: the rendered text of each conversation, turn by turn in order, with the turn's place in it and its span of loss there, in code points (null without loss)."""
+    rows = format_turns(turns).repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in ("start", "loss_start", "loss_end"))])
 
     def run(batches):
-        done: list[tuple] = []
-        conv, state = None, None
+        conv = started = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            spans = []
+            for own, formatted in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if not started or own != conv:
+                    conv, started, reader = own, True, Reader()
+                start = reader.at
+                [(role, _, a, b)] = reader.feed(formatted)
+                spans.append((start, a, b) if role == LOSS_ROLE else (start, None, None))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in zip(*spans, strict=True))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+class Digest:
+    """What is read back from one conversation."""
+
+    def __init__(self):
+        self.reader, self.turns, self.loss = Reader(), hashlib.sha256(), hashlib.sha256()
+        self.n = self.loss_chars = self.chars = 0
+
+    def add(self, formatted: str, loss_start: int | None, loss_end: int | None) -> None:
+        if loss_start is not None:
+            said = unescape(formatted[loss_start - self.chars : loss_end - self.chars])
+            self.loss_chars += len(said)
+            self.loss.update(said.encode("utf-8", "surrogatepass"))
+        for role, text, _, _ in self.reader.feed(formatted):
+            self.n += 1
+            self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        self.chars += len(formatted)
+
+    def row(self) -> tuple:
+        self.reader.close()
+        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
-        def close():
-            done.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
-        def flush():
+def read_back(formatted: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the rendered text and the loss spans of ``format_conversations``, whose order of rows it needs."""
+    rows = formatted.select("conv_id", "formatted", "loss_start", "loss_end")
+    kinds = {"n_turns": T.LongType(), "turns_sha256": T.StringType(), "loss_chars": T.LongType(), "loss_sha256": T.StringType(), "formatted_chars": T.LongType()}
+    schema = T.StructType([rows.schema["conv_id"], *(T.StructField(c, k) for c, k in kinds.items())])
+
+    def run(batches):
+        done, conv, state = [], None, None
+
+        def flush(kind):
             columns = list(zip(*done, strict=True))
             done.clear()
-            kinds = (pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=schema.names)
 
+        kind = None
         for batch in batches:
-            for own, rendered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            kind = batch.schema.field(0).type
+            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if state is None or own != conv:
                     if state is not None:
-                        close()
-                    conv, state = own, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text, _, _ in parse(rendered):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                    if role == LOSS_ROLE:
-                        state[2] += len(text)
-                        state[3].update(text.encode("utf-8", "surrogatepass"))
-                state[4] += len(rendered)
+                        done.append((conv, *state.row()))
+                    conv, state = own, Digest()
+                state.add(*row)
             if len(done) > 5000:
-                yield flush()
+                yield flush(kind)
         if state is not None:
-            close()
-            yield flush()
+            done.append((conv, *state.row()))
+            yield flush(kind)
 
-    return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(run, schema)
 
 
 #: The conversation that the query adds: control strings as plain text.
@@ -168,7 +234,7 @@ def with_probe(turns: DataFrame) -> DataFrame:
 
 
 def report(turns: DataFrame) -> DataFrame:
-    return read_back(format_turns(with_probe(turns)))
+    return read_back(format_conversations(with_probe(turns)))
 
 
 #: The same rows by DuckDB; markers are counted, not rendered.
