@@ -7,15 +7,16 @@ counts of its share of the corpus' n-gram table and joins them back to the keys
 each block sent, and the answers return to the blocks. First go the words and pairs;
 a longer n-gram can only occur twice if both n-grams of one word less in it do, so each
 further round sends only those, and all others occur exactly once, here. Then each
-word's score is the relative frequency of the longest n-gram seen ``seen`` times or more
-in the corpus, the document itself included (the query: once; ``SEEN`` is the default
-of ``lm_scores``), discounted by
-``ALPHA`` for each order given up, and a document's score is the sum of its words'
-logarithms. A frequent n-gram reaches its range once per block, not once per
+word's score is the relative frequency of the longest n-gram that the rest of the corpus
+holds, discounted by ``ALPHA`` for each order given up, and a document's score is the sum
+of its words' logarithms. The rest of the corpus is all documents but the one that is scored:
+its own n-grams are taken off the counts, since a text is no evidence for itself (``lm_scores``
+can also leave them in). A frequent n-gram reaches its range once per block, not once per
 occurrence, so no key is hot; texts stay where their bucket is.
 
-Defined cases: null and wordless texts score 0 over 0 words; n-grams don't cross
-documents; repeated rows count and score each; extra columns are ignored; an empty
+Defined cases: null and wordless texts score 0 over 0 words (score null); n-grams don't cross
+documents; a word that no other document holds counts as one occurrence; repeated rows are
+documents each, so they are evidence for each other; extra columns are ignored; an empty
 table gives no rows. Two different n-grams with the same 64-bit hash would share a count.
 """
 
@@ -32,12 +33,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, materialize, partitions, shared_folder, texts
+from .common import blocks, delete, materialize, partitions, release, shared_folder, texts
 
 ORDER = 3
 ALPHA = 0.4
-#: Occurrences in the corpus from which an n-gram of two words or more is believed, unless a caller says otherwise.
-SEEN = 2
 #: Bytes of text in a block.
 BLOCK = 6 << 20
 #: n-gram occurrences of one range of the hash space, at about.
@@ -135,9 +134,9 @@ def number_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, TEXTS)
 
 
-def by_block(rows: DataFrame) -> DataFrame:
-    """``rows`` as a table in the shared folder, bucketed by block, so that joining answers to it moves no text."""
-    spark, name = rows.sparkSession, f"tersa_blocks_{uuid.uuid4().hex}"
+def by_block(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table of this name in the shared folder, bucketed by block, so that joining answers to it moves no text."""
+    spark = rows.sparkSession
     rows.write.format("parquet").option("path", f"{shared_folder(spark)}/{name}").bucketBy(partitions(spark), "block").saveAsTable(name)
     return spark.table(name)
 
@@ -188,6 +187,15 @@ class Block:
             seen.append(counts)
         return seen
 
+    def inside_own(self, order: int) -> np.ndarray:
+        """At each word, how often its own document holds the n-gram that ends there (0 if none does)."""
+        where = self.depth >= order - 1
+        own = np.zeros(len(where), dtype=np.int64)
+        documents = np.repeat(np.arange(len(self.counts), dtype=np.uint64), self.counts)
+        _, place, counts = np.unique(mixed(self.keys[order - 1][where] + documents[where] * _MIX), return_inverse=True, return_counts=True)
+        own[where] = counts[place]
+        return own
+
     def candidates(self, seen: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys and places of the n-grams of ``order`` words in which both shorter ones occur twice or more; those of the other places occur once."""
         if len(self.keys) < order:
@@ -256,9 +264,9 @@ def gathered(rounds: list[DataFrame]) -> DataFrame:
     return every.groupBy("block").agg(F.collect_list(F.struct("round", "part", "n", "counts")).alias("answers"))
 
 
-def word_scores(seen: list[np.ndarray], inside: np.ndarray, total: int, least: int) -> np.ndarray:
-    """Logarithm of each word's score. seen: corpus counts by order; inside: words before it in its text; least: the count that is believed."""
-    score = np.log(np.maximum(seen[0], 1) / total)
+def word_scores(seen: list[np.ndarray], inside: np.ndarray, total: np.ndarray, least: int) -> np.ndarray:
+    """Logarithm of each word's score. seen: counts by order; inside: words before it in its text; total: words of the corpus; least: the count that is believed."""
+    score = np.log(np.maximum(seen[0], 1) / np.maximum(total, 1))
     for k in range(1, ORDER):
         before = np.concatenate([[1], seen[k - 1][:-1]])
         fits = inside >= k
@@ -267,27 +275,36 @@ def word_scores(seen: list[np.ndarray], inside: np.ndarray, total: int, least: i
     return score
 
 
-def score(stored: DataFrame, answered: DataFrame, total: int, least: int) -> DataFrame:
+def score(stored: DataFrame, answered: DataFrame, total: int, least: int, own: bool) -> DataFrame:
     """doc_id, n_words, log_score of every document."""
 
     def run(batches):
         for row in rows_of(batches):
             block = Block(row)
-            words = word_scores(block.learn(row["answers"] or []), block.depth, total, least) if row["n"] else np.zeros(0)
-            sums = np.concatenate([[0.0], np.cumsum(words)])
-            ends = np.cumsum(block.counts)
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids, pa.int64()), pa.array(block.counts), pa.array(sums[ends] - sums[ends - block.counts])], names=["doc_id", "n_words", "log_score"])
+            sums, some = np.zeros(len(block.counts)), block.counts > 0
+            if some.any():
+                seen, words = block.learn(row["answers"] or []), np.full(len(block.own), total)
+                if not own:
+                    seen = [every - block.inside_own(k + 1) for k, every in enumerate(seen)]
+                    words -= np.repeat(block.counts, block.counts)
+                sums[some] = np.add.reduceat(word_scores(seen, block.depth, words, least), (np.cumsum(block.counts) - block.counts)[some])
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids, pa.int64()), pa.array(block.counts), pa.array(sums)], names=["doc_id", "n_words", "log_score"])
 
     return stored.join(answered, "block", "left").mapInArrow(run, "doc_id long, n_words long, log_score double")
 
 
-def lm_scores(docs: DataFrame, ranges: int | None = None, seen: int = SEEN) -> DataFrame:
-    """doc_id, n_words, log_score and score (mean per word) of every document. seen: occurrences from which an n-gram is believed."""
-    stored = by_block(number_texts(docs))
+def lm_scores(docs: DataFrame, ranges: int | None = None, seen: int = 1, own: bool = False) -> DataFrame:
+    """doc_id, n_words, log_score and score (mean per word) of every document. seen: occurrences from which an n-gram is believed; own: whether a document's own occurrences count."""
+    spark, name = docs.sparkSession, f"tersa_blocks_{uuid.uuid4().hex}"
+    stored = by_block(number_texts(docs), name)
     total = stored.agg(F.sum("n")).first()[0] or 0
-    ranges = ranges or max(partitions(docs.sparkSession), -(-total * ORDER // RANGE))
+    ranges = ranges or max(partitions(spark), -(-total * ORDER // RANGE))
     rounds = [materialize(count(explode(stored, ranges)), "counts")]
     for order in range(3, ORDER + 1):
         rounds.append(materialize(count(explode_longer(stored, gathered(rounds), order, ranges)), "counts"))
-    scored = score(stored, gathered(rounds), total, seen)
+    scored = materialize(score(stored, gathered(rounds), total, seen, own), "scores")
+    for done in rounds:
+        release(done)
+    spark.sql(f"DROP TABLE {name}")
+    delete(spark, f"{shared_folder(spark)}/{name}")
     return scored.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
