@@ -190,3 +190,90 @@ def glob_pattern(glob: str) -> str:
         else:
             out, i = out + ("\\" if glob[i] in ".+^${}()|[]\\" else "") + glob[i], i + 1
     return f"^{out}$"
+
+
+def dirname(path: Column) -> Column:
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def shell_quote(text: Column) -> Column:
+    """In single quotes; a single quote inside ends them, stands escaped, and opens them again."""
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
+def capitalize(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
+
+
+def count_braces(line: Column) -> Column:
+    """Opening less closing braces outside of strings and line comments."""
+    bare = line
+    for pattern in ('"(?:[^"\\\\]|\\\\.)*"', "'(?:[^'\\\\]|\\\\.)*'", "`(?:[^`\\\\]|\\\\.)*`", "//.*$"):
+        bare = F.regexp_replace(bare, pattern, "")
+    return F.regexp_count(bare, F.lit("\\{")) - F.regexp_count(bare, F.lit("\\}"))
+
+
+def epoch_ms(text: Column) -> Column:
+    """Milliseconds since 1970 of an ISO time stamp (UTC without a zone); null if it is none."""
+    return F.unix_millis(F.try_to_timestamp(text))
+
+
+def elapsed(ms: Column) -> Column:
+    """850ms, 12.3s or 2m 5s."""
+    seconds = F.floor(ms / 1000)
+    return F.when(ms < 1000, F.concat(ms.cast("bigint").cast("string"), F.lit("ms"))).when(ms < 60_000, F.format_string("%.1fs", F.floor(ms / 100) / 10.0)).otherwise(F.format_string("%dm %ds", F.floor(seconds / 60).cast("bigint"), (seconds % 60).cast("bigint")))
+
+
+def time_until(at: Column, now: Column) -> Column:
+    """now, 45m, 3h 20m or 2d 4h from one time stamp to a later one."""
+    minutes = F.floor((F.unix_seconds(at) - F.unix_seconds(now)) / 60).cast("bigint")
+    hours, days = F.floor(minutes / 60).cast("bigint"), F.floor(minutes / 1440).cast("bigint")
+    return F.when(minutes <= 0, "now").when(minutes < 60, F.format_string("%dm", minutes)).when(hours < 24, F.format_string("%dh %dm", hours, minutes % 60)).otherwise(F.format_string("%dd %dh", days, hours % 24))
+
+
+def size_bytes(text: Column) -> Column:
+    """Bytes of 12, 12KB, 1.5 MB, 2GB; null if it is no size."""
+    pattern = "(?i)^ *([0-9]+(?:[.][0-9]+)?) *(b|kb|mb|gb)? *$"
+    unit = F.upper(F.regexp_extract(text, pattern, 2))
+    factor = F.when(unit == "KB", 1 << 10).when(unit == "MB", 1 << 20).when(unit == "GB", 1 << 30).otherwise(1)
+    return F.when(text.rlike(pattern), F.floor(F.regexp_extract(text, pattern, 1).cast("double") * factor).cast("bigint"))
+
+
+def indent_size(text: Column) -> Column:
+    """The most frequent step of indentation among 2, 4 and 8 (the smaller of equals), ``tab``, or null without any."""
+    lead = F.regexp_extract_all(text, F.lit("(?m)^([ \\t]+)[^ \\t\\n]"), F.lit(1))
+    count = lambda test: F.size(F.filter(lead, test))
+    tabs, two, four, eight = count(lambda x: x.startswith("\t")), count(lambda x: F.length(x) == 2), count(lambda x: F.length(x) == 4), count(lambda x: F.length(x) == 8)
+    most = F.greatest(tabs, two, four, eight)
+    return F.when(most == 0, F.lit(None)).when(tabs == most, "tab").when(two == most, "2").when(four == most, "4").otherwise("8")
+
+
+def percent_of(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, F.round(100.0 * part / whole).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+
+
+def tool_arguments(arguments: Column, name: str) -> Column:
+    """An argument of a call whose arguments are a JSON object or a JSON string that holds one."""
+    return F.coalesce(F.get_json_object(arguments, f"$.{name}"), F.get_json_object(F.get_json_object(F.concat(F.lit('{"x":'), arguments, F.lit("}")), "$.x"), f"$.{name}"))
+
+
+def content_text(content: Column) -> Column:
+    """Text of a JSON content that is a string or an array of parts with text, one part a line."""
+    wrapped = F.concat(F.lit('{"x":'), content, F.lit("}"))
+    parts = F.from_json(wrapped, "x array<struct<text: string>>")["x"]
+    return F.when(F.trim(content).startswith("["), F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t.isNotNull()), "\n")).otherwise(F.from_json(wrapped, "x string")["x"])
+
+
+def short_hash(text: Column, kind: str = "sha1") -> Column:
+    """The first hex digits that name a text: 12 of SHA-1 or MD5, 16 of SHA-256."""
+    return {"sha1": F.substring(F.sha1(text), 1, 12), "md5": F.substring(F.md5(text), 1, 12), "sha256": F.substring(F.sha2(text, 256), 1, 16)}[kind]
+
+
+def naming(name: Column) -> Column:
+    """camel, pascal, snake or kebab; null for anything else."""
+    return F.when(name.rlike("^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$"), "camel").when(name.rlike("^[A-Z][a-z0-9]+([A-Z][a-z0-9]*)*$"), "pascal").when(name.rlike("^[a-z][a-z0-9]*(_[a-z0-9]+)+$"), "snake").when(name.rlike("^[a-z][a-z0-9]*(-[a-z0-9]+)+$"), "kebab")
+
+
+def deep_merge(base: dict, over: dict) -> dict:
+    """Settings over settings: objects are merged, anything else is replaced."""
+    return base | {k: deep_merge(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}

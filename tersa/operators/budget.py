@@ -25,28 +25,26 @@ def head_tail(rows: DataFrame, key: str, pos: str, limit: int, head_share: float
     return rows.withColumn("n", n).withColumn("at", at).where((F.col("n") <= limit) | (F.col("at") <= head) | (F.col("at") > F.col("n") - (limit - head))).drop("n", "at")
 
 
-#: What makes a line worth keeping, (words or pattern, ignore case, weight).
-LINE_WORDS = (
-    ("error|Error|ERROR|fatal|FATAL|panic|PANIC|exception|Exception|fail|Fail|FAIL|invalid|Invalid|INVALID", False, 3),
-    ("warn|Warn|WARN|warning|Warning|WARNING", False, 2),
-    ("not found|does not exist|doesn't exist|no such|missing|unavailable", True, 2),
-    ("denied|refused|rejected|unauthorized|forbidden|inaccessible", True, 2),
-    ("deprecated|obsolete|outdated|stale|insecure|vulnerab[a-z0-9_]+", True, 2),
-    ("cannot|can't|unable|unsupported|unrecognized|unexpected|unhandled|unknown", True, 2),
-    ("timed? ?out|broken|corrupt(ed)?|crash(ed)?|abort(ed)?|unreachable", True, 2),
-    ("mismatch|incompatible|conflict|exceeded|exhausted|truncated", True, 1),
-    ("overflow|leak(ed)?|skipped|retrying|degraded|duplicate", True, 1),
-    ("PASS|VALID|INVALID|SUCCESS|PASSED|FAILED|OK|TIMEOUT|DONE|COMPLETE", False, 2),
-)
-LINE_PATTERNS = (
-    ("[✓✗✘✔✕⚠●]", 2),
-    ("^[━═─┌┐└┘├┤┬┴┼│╔╗╚╝╠╣╦╩╬║]{3,}", 1),
-    ("^#{1,4}[ \\t]", 2),
-    ("^[A-Z][A-Za-z ]+: *$", 1),
-    ("^──[ \\t]", 2),
-    ("[0-9]+([.][0-9]+)?%", 1),
-    ("(?i)(^|[^A-Za-z0-9_])(total|count|sum|average|median|summary|result|statistics)[ \\t:]", 1),
-    ("^\\[DEBUG", -1),
+#: What makes a line worth keeping, (pattern over the trimmed line, ignore case, weight).
+LINE_RULES = (
+    ("\\b(error|Error|ERROR|fatal|FATAL|panic|PANIC|exception|Exception|fail|Fail|FAIL|invalid|Invalid|INVALID)\\b", False, 3),
+    ("\\b(warn|Warn|WARN|warning|Warning|WARNING)\\b", False, 2),
+    ("\\b(not found|does not exist|doesn't exist|no such|missing|unavailable)\\b", True, 2),
+    ("\\b(denied|refused|rejected|unauthorized|forbidden|inaccessible)\\b", True, 2),
+    ("\\b(deprecated|obsolete|outdated|stale|insecure|vulnerab\\w+)\\b", True, 2),
+    ("\\b(cannot|can't|unable|unsupported|unrecognized|unexpected|unhandled|unknown)\\b", True, 2),
+    ("\\b(timed? ?out|broken|corrupt(ed)?|crash(ed)?|abort(ed)?|unreachable)\\b", True, 2),
+    ("\\b(mismatch|incompatible|conflict|exceeded|exhausted|truncated)\\b", True, 1),
+    ("\\b(overflow|leak(ed)?|skipped|retrying|degraded|duplicate)\\b", True, 1),
+    ("[✓✗✘✔✕⚠●]", False, 2),
+    ("\\b(PASS|VALID|INVALID|SUCCESS|PASSED|FAILED|OK|TIMEOUT|DONE|COMPLETE)\\b", False, 2),
+    ("^[━═─┌┐└┘├┤┬┴┼│╔╗╚╝╠╣╦╩╬║]{3,}", False, 1),
+    ("^#{1,4}[ \\t]", False, 2),
+    ("^[A-Z][A-Za-z ]+: *$", False, 1),
+    ("^──[ \\t]", False, 2),
+    ("\\b\\d+([.]\\d+)?%", False, 1),
+    ("\\b(total|count|sum|average|median|summary|result|statistics)[ \\t:]", True, 1),
+    ("^\\[DEBUG", False, -1),
 )
 
 
@@ -54,11 +52,9 @@ def line_score(line: Column) -> Column:
     """How much a line tells; blank lines score -1."""
     t = F.trim(line)
     score = F.lit(0)
-    for words, ignore_case, weight in LINE_WORDS:
-        score = score + F.when(X.has_word(t, words, ignore_case), weight).otherwise(0)
-    for pattern, weight in LINE_PATTERNS:
-        score = score + F.when(t.rlike(pattern), weight).otherwise(0)
-    score = score + F.when(t.rlike("[^ \\t]+:[0-9]+") & t.rlike("(?i)(^|[^A-Za-z0-9_])(error|warn|fail)"), 2).otherwise(0)
+    for pattern, ignore_case, weight in LINE_RULES:
+        score = score + F.when(t.rlike(f"(?i){pattern}" if ignore_case else pattern), weight).otherwise(0)
+    score = score + F.when(t.rlike("[^ \\t]+:\\d+") & t.rlike("(?i)\\b(error|warn|fail)"), 2).otherwise(0)
     score = score - F.when(line.rlike("^[ \\t]*at "), 1).otherwise(0)
     return F.when(t == "", -1).otherwise(score)
 
@@ -100,9 +96,25 @@ def line_budget(max_lines: int | None, max_tokens: int | None) -> int | None:
     return max(15, min(limits)) if limits else None
 
 
+#: Sections that a budget of tokens allows below each limit.
+TIERS = ((1500, 2), (3500, 3))
+
+
 def sections(rows: DataFrame, key: str, priority: str, required: str, max_tokens: int) -> DataFrame:
-    """Required sections and, by priority, as many as the budget's tier allows: 2 below 1500 tokens, 3 below 3500, else all."""
-    if max_tokens >= 3500:
+    """Required sections and, by priority (unique within a key), as many as the budget's tier allows; all beyond the last tier.
+
+    The first sections of each key are cut down before they are shuffled, and only required rows meet their bound.
+    """
+    limit = next((n for below, n in TIERS if max_tokens < below), None)
+    if limit is None:
         return rows
-    limit = 2 if max_tokens < 1500 else 3
-    return rows.withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy(priority))).where((F.col("nth") <= limit) | F.col(required)).drop("nth")
+    first = rows.withColumn("_nth", F.row_number().over(W.partitionBy(key).orderBy(priority))).where(F.col("_nth") <= limit).drop("_nth")
+    bounds = first.groupBy(key).agg(F.max(priority).alias("_bound"))
+    more = rows.where(F.col(required)).join(bounds, key).where(F.col(priority) > F.col("_bound")).drop("_bound")
+    return first.unionByName(more.select(*rows.columns))
+
+
+def sampled_chars(text: Column, limit: int) -> Column:
+    """A text's first 45 % and last 55 % of ``limit`` characters, if it is longer."""
+    head = limit * 45 // 100
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("\n...\n"), F.substr(text, F.length(text) - (limit - head) + 1)))

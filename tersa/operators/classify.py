@@ -76,24 +76,26 @@ def semver(tag: Column) -> Column:
 
 
 CONVENTIONAL = "^([A-Za-z0-9_]+)(\\(([^)]+)\\))?(!)?:[ \\t]*(.+)$"
+#: Types of subjects that follow no convention, by the first pattern that hits.
+COMMIT_TYPES = (
+    ("fix", "^fix|bug"),
+    ("feat", "^(add|update|improve)|feature|implement"),
+    ("refactor", "^refactor|cleanup"),
+    ("docs", "^doc|readme"),
+    ("test", "^test"),
+    ("perf", "perf|optim"),
+    ("chore", "^chore|deps|bump"),
+)
+
+
+def by_pattern(text: Column, table, otherwise: str | None = None) -> Column:
+    """The name of the first (name, pattern) whose pattern hits."""
+    return first_match([(text.rlike(pattern), name) for name, pattern in table], otherwise)
 
 
 def commit_type(subject: Column) -> Column:
-    lower = F.lower(subject)
-    guessed = first_match(
-        [
-            (lower.startswith("fix") | lower.contains("bug"), "fix"),
-            (lower.startswith("add") | lower.contains("feature") | lower.contains("implement"), "feat"),
-            (lower.startswith("update") | lower.startswith("improve"), "feat"),
-            (lower.startswith("refactor") | lower.contains("cleanup"), "refactor"),
-            (lower.startswith("doc") | lower.contains("readme"), "docs"),
-            (lower.startswith("test"), "test"),
-            (lower.contains("perf") | lower.contains("optim"), "perf"),
-            (lower.startswith("chore") | lower.contains("deps") | lower.contains("bump"), "chore"),
-        ],
-        "other",
-    )
-    return F.when(subject.rlike(CONVENTIONAL), F.lower(F.regexp_extract(subject, CONVENTIONAL, 1))).otherwise(guessed)
+    stated = F.nullif(F.lower(F.regexp_extract(subject, CONVENTIONAL, 1)), F.lit(""))
+    return F.coalesce(stated, by_pattern(F.lower(subject), COMMIT_TYPES, "other"))
 
 
 def breaking(subject: Column, body: Column) -> Column:
@@ -123,28 +125,43 @@ def marker(line: Column) -> Column:
     return F.when(fine, F.struct(kind.alias("type"), F.substring(F.when(named, said).otherwise(rest), 1, 200).alias("message"), F.when(named, author).alias("author"), F.coalesce(priority, F.lit(2)).alias("priority")))
 
 
-def buckets(value: Column, limits: list[tuple[float, object]], beyond) -> Column:
+def buckets(value: Column, limits, beyond) -> Column:
+    """The value of the first (limit, value) that ``value`` doesn't exceed."""
     return first_match([(value <= limit, F.lit(v)) for limit, v in limits], F.lit(beyond))
 
 
+#: Parts of a risk, each with its weight, the points up to each limit, and those beyond.
+RISK_PARTS = {
+    "importers": (0.4, ((0, 1), (2, 2), (5, 4), (15, 7)), 9),
+    "complexity": (0.3, ((5, 1), (10, 3), (20, 5), (40, 7)), 9),
+    "uncovered": (0.3, ((1, 1), (2, 3), (3, 5)), 8),
+}
+#: What to do first, by the first condition that holds.
+ADVICE = (
+    ("tests = 0", "cover it with tests first"),
+    ("cases < 3", "add test cases"),
+    ("complexity > 20", "split its complex functions"),
+    ("importers > 15", "look at everything that imports it"),
+)
+
+
 def risk(importers: Column, complexity: Column, tests: Column, cases: Column) -> Column:
-    """1 to 10: blast radius 40 %, complexity 30 %, tests 30 %."""
-    blast = buckets(importers, [(0, 1), (2, 2), (5, 4), (15, 7)], 9)
-    hard = buckets(complexity, [(5, 1), (10, 3), (20, 5), (40, 7)], 9)
-    tested = F.when(tests == 0, 8).when(cases >= 10, 1).when(cases >= 3, 3).otherwise(5)
-    return F.greatest(F.lit(1), F.least(F.lit(10), F.floor(blast * 0.4 + hard * 0.3 + tested * 0.3 + 0.5).cast("int")))
+    """1 to 10, from the points of RISK_PARTS; how little is tested is ranked 1 (ten cases or more) to 4 (no tests)."""
+    values = {"importers": importers, "complexity": complexity, "uncovered": 4 - (tests > 0).cast("int") - (cases >= 3).cast("int") - (cases >= 10).cast("int")}
+    values["uncovered"] = F.when(tests == 0, 4).otherwise(values["uncovered"])
+    points = reduce(lambda total, part: total + buckets(values[part[0]], *part[1][1:]) * part[1][0], RISK_PARTS.items(), F.lit(0.0))
+    return F.least(F.greatest(F.floor(points + 0.5), F.lit(1)), F.lit(10)).cast("int")
 
 
 def risk_advice(importers: Column, complexity: Column, tests: Column, cases: Column) -> Column:
-    return first_match(
-        [
-            (tests == 0, "Add tests before modifying"),
-            (cases < 3, "Improve test coverage"),
-            (complexity > 20, "Consider refactoring complex functions"),
-            (importers > 15, "Changes here affect many files - review impact carefully"),
-        ],
-        "Low risk - proceed with normal caution",
-    )
+    """The first advice whose condition, over these four by their names, holds."""
+    named = F.struct(importers.alias("importers"), complexity.alias("complexity"), tests.alias("tests"), cases.alias("cases"))
+
+    def holds(condition: str) -> Column:
+        name, sign, limit = condition.split()
+        return {"=": named[name] == int(limit), "<": named[name] < int(limit), ">": named[name] > int(limit)}[sign]
+
+    return first_match([(holds(condition), said) for condition, said in ADVICE], "nothing stands out")
 
 
 def without_strings(code: Column) -> Column:
@@ -162,22 +179,27 @@ def cyclomatic(code: Column) -> Column:
     return reduce(lambda total, p: total + F.regexp_count(clean, F.lit(p)), DECISIONS, F.lit(1))
 
 
+#: What weighs by its depth, once a line; what counts one, once a line; what counts one each time.
+DEEP = ("\\bfor\\s*\\(", "\\bwhile\\s*\\(", "\\bdo\\s*\\{", "\\bswitch\\s*\\(", "\\bcatch\\s*\\(", "^(?!.*\\belse\\s+if).*\\bif\\s*\\(")
+SHALLOW = ("\\belse\\s+if\\s*\\(", "\\belse\\s*\\{")
+EACH = ("&&", "\\|\\|", "\\?\\?", "\\?[^:?]")
+
+
 def cognitive(code: Column) -> Column:
-    """Control flow weighted by nesting, folded over the lines; nesting never falls below zero."""
-    def step(state: Column, line: Column) -> Column:
-        t = F.trim(line)
-        blank = (t == "") | t.startswith("//") | t.startswith("*")
-        nested = F.lit(0)
-        for pattern in ("\\bfor\\s*\\(", "\\bwhile\\s*\\(", "\\bdo\\s*\\{", "\\bswitch\\s*\\(", "\\bcatch\\s*\\("):
-            nested = nested + t.rlike(pattern).cast("int")
-        nested = nested + (t.rlike("\\bif\\s*\\(") & ~t.rlike("\\belse\\s+if")).cast("int")
-        flat = t.rlike("\\belse\\s+if\\s*\\(").cast("int") + t.rlike("\\belse\\s*\\{").cast("int")
-        for pattern in ("&&", "\\|\\|", "\\?\\?", "\\?[^:?]"):
-            flat = flat + F.regexp_count(t, F.lit(pattern))
-        level = F.greatest(F.lit(0), state["level"] + F.length(line) - F.length(F.translate(line, "{", "")) - F.length(line) + F.length(F.translate(line, "}", "")))
-        return F.struct(F.when(blank, state["n"]).otherwise(state["n"] + nested * (1 + state["level"]) + flat).alias("n"), F.when(blank, state["level"]).otherwise(level).alias("level"))
-
-    return F.aggregate(F.split(code, "\n"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("level")), step, lambda s: s["n"])
+    """Control flow weighted by its depth in braces, which never falls below zero. Blank lines and comments are passed over."""
+
+    def facts(line: Column) -> Column:
+        once = lambda table: reduce(lambda n, p: n + line.rlike(p).cast("int"), table, F.lit(0))
+        each = reduce(lambda n, p: n + F.regexp_count(line, F.lit(p)), EACH, once(SHALLOW))
+        return F.struct(once(DEEP).alias("deep"), each.alias("flat"), (F.regexp_count(line, F.lit("\\{")) - F.regexp_count(line, F.lit("\\}"))).alias("step"))
+
+    told = F.filter(F.transform(F.split(code, "\n"), lambda line: F.trim(line)), lambda line: ~line.rlike("^($|//|\\*)"))
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("depth"))
+
+    def step(at: Column, line: Column) -> Column:
+        return F.struct((at["sum"] + line["flat"] + line["deep"] * (at["depth"] + 1)).alias("sum"), F.greatest(at["depth"] + line["step"], F.lit(0)).alias("depth"))
+
+    return F.aggregate(F.transform(told, facts), start, step, lambda at: at["sum"])
 
 
 def rating(n: Column) -> Column:

@@ -28,7 +28,11 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def cycles(edges: DataFrame, length: int) -> DataFrame:
     """All simple cycles of up to ``length`` nodes, each once and from its smallest node: path (array)."""
-    edges = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    plain = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    # a node that nothing leads to, or that leads nowhere, is in no cycle, so hubs lose most of their edges first
+    sources, targets = plain.select(F.col("src").alias("node")).distinct(), plain.select(F.col("dst").alias("node")).distinct()
+    inner = materialize(sources.join(targets, "node"), "inner")
+    edges = materialize(plain.join(inner, plain["src"] == inner["node"], "left_semi").join(inner, F.col("dst") == inner["node"], "left_semi"), "edges")
     paths = edges.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("last"))
     found = []
     for n in range(2, length + 1):
@@ -40,6 +44,141 @@ def cycles(edges: DataFrame, length: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+#: Endings that an import may leave out, in the order they are tried.
+ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".rb", ".go", ".rs", "/index.ts", "/index.tsx", "/index.js", "/__init__.py")
+
+
+def normal_path(path: Column) -> Column:
+    """A path without ``.`` and ``..`` parts."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    step = lambda done, x: F.when((x == "..") & (F.size(done) > 0), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def folder(path: Column) -> Column:
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def resolve(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """``imports`` (path, spec, ...) with resolved, the file (column path of ``files``) that a relative, aliased or dotted import means, and module, its kind.
+
+    Candidates are joined by path, the first ending that exists wins; a file has few imports, so the explosion is bounded by ENDINGS.
+    """
+    spec = F.col("spec")
+    for prefix, place in (aliases or {}).items():
+        spec = F.when(F.col("spec").startswith(prefix), F.concat(F.lit(place), F.substr(F.col("spec"), F.lit(len(prefix) + 1)))).otherwise(spec)
+    relative = F.col("spec").rlike("^[.]{1,2}(/|$)")
+    dotted = F.regexp_replace(F.regexp_replace(spec, "^crate::", "src/"), "::|[.]", "/")
+    base = F.when(relative, normal_path(F.concat(folder(F.col("path")), F.lit("/"), spec))).when(F.col("lang").isin("python", "rust"), dotted).otherwise(spec)
+    numbered = imports.withColumn("_row", F.struct(*imports.columns)).withColumn("base", base)
+    bare = F.regexp_replace("base", "[.](m?js|jsx|tsx?)$", "")
+    tries = F.array(*(F.struct(F.lit(i).alias("order"), F.concat("base", F.lit(e)).alias("file")) for i, e in enumerate(ENDINGS)), *(F.struct(F.lit(100 + i).alias("order"), F.concat(bare, F.lit(e)).alias("file")) for i, e in enumerate(ENDINGS)))
+    known = files.select(F.col("path").alias("file")).distinct()
+    hits = numbered.select("_row", F.explode(F.array_distinct(tries)).alias("t")).select("_row", "t.order", "t.file").join(known, "file")
+    best = hits.groupBy("_row").agg(F.min_by("file", "order").alias("resolved"))
+    out = numbered.join(best, "_row", "left").select(*imports.columns, "resolved")
+    return out.withColumn("module", import_kind(F.col("spec"), F.col("resolved")))
+
+
+def edges(resolved: DataFrame) -> DataFrame:
+    """src, dst, kind of the resolved imports; a file's first import of another decides its kind."""
+    found = resolved.where(F.col("resolved").isNotNull() & (F.col("resolved") != F.col("path")))
+    return found.groupBy(F.col("path").alias("src"), F.col("resolved").alias("dst")).agg(F.min_by("kind", F.struct("line", "kind")).alias("kind"))
+
+
+def dependency_tree(edges_: DataFrame, roots: DataFrame, depth: int = 2, cap: int = 50) -> DataFrame:
+    """root, node, parent, depth, circular: what the roots (column node) import, level by level; a node is listed once a root, below the parent of smallest name.
+
+    ``cap`` nodes a root at most go on; an import of a node that is listed already is circular if that is one of its own ancestors.
+    """
+    plain = materialize(edges_.where("src <> dst").select("src", "dst").distinct(), "edges")
+    front = materialize(roots.select(F.col("node").alias("root"), "node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(False).alias("circular"), F.array("node").alias("line")), "front")
+    seen = front
+    for step in range(1, depth + 1):
+        found = front.where("not circular").join(plain, front["node"] == plain["src"]).select("root", F.col("dst").alias("node"), F.col("src").alias("parent"), F.lit(step).alias("depth"), F.array_contains("line", F.col("dst")).alias("circular"), F.concat("line", F.array("dst")).alias("line"))
+        one = found.groupBy("root", "node").agg(F.min(F.struct("circular", "parent", "depth", "line")).alias("x")).select("root", "node", "x.parent", "x.depth", "x.circular", "x.line")
+        fresh = one.where("not circular").join(seen.select("root", "node"), ["root", "node"], "left_anti").unionByName(one.where("circular"))
+        nth = F.row_number().over(W.partitionBy("root").orderBy("parent", "node"))
+        front = materialize(fresh.withColumn("nth", nth).where(F.col("nth") <= cap).drop("nth"), "front")
+        seen = seen.unionByName(front)
+    return seen.drop("line").where("depth > 0")
+
+
+def stem(path: Column) -> Column:
+    """A file's name without folder and last ending."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), "[.][^.]*$", "")
+
+
+def is_test(path: Column) -> Column:
+    return path.rlike("[.](test|spec)[.]|_test[.](go|py|rb)$|(^|/)test_[^/]*[.]py$|_spec[.]rb$") | path.rlike("(^|/)(test|tests|spec|__tests__|e2e)/")
+
+
+def tested_stem(path: Column) -> Column:
+    """The stem of the file that a test's name speaks of."""
+    return F.regexp_replace(F.regexp_replace(stem(path), "[.](test|spec)$|_(test|spec)$", ""), "^test_", "")
+
+
+def tests_of(files: DataFrame, edges_: DataFrame) -> DataFrame:
+    """source, test, how: tests beside their source (or in its __tests__), tests of its name anywhere, tests that import it; each pair once, the first way it was found."""
+    tests = files.where(is_test(F.col("path"))).select(F.col("path").alias("test"), tested_stem(F.col("path")).alias("stem"))
+    sources = files.where(~is_test(F.col("path"))).select(F.col("path").alias("source"), stem(F.col("path")).alias("stem"))
+    named = sources.join(tests, "stem")
+    beside = folder(F.col("source")) == F.regexp_replace(folder(F.col("test")), "/?__tests__$", "")
+    by_name = named.select("source", "test", F.when(beside, 0).otherwise(1).alias("way"))
+    importing = edges_.where(is_test(F.col("src")) & ~is_test(F.col("dst"))).select(F.col("dst").alias("source"), F.col("src").alias("test"), F.lit(2).alias("way"))
+    ways = F.array(F.lit("beside"), F.lit("name"), F.lit("import"))
+    return by_name.unionByName(importing).groupBy("source", "test").agg(F.element_at(ways, F.min("way") + 1).alias("how"))
+
+
+def tested_exports(exports: DataFrame, tests: DataFrame, files: DataFrame) -> DataFrame:
+    """path, name, tested: whether a test of the file (``tests_of``) has the exported name as a word."""
+    words = tests.join(files.select(F.col("path").alias("test"), "content"), "test").select(F.col("source").alias("path"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))).alias("name")).distinct()
+    return exports.select("path", "name").distinct().join(words.withColumn("tested", F.lit(True)), ["path", "name"], "left").withColumn("tested", F.coalesce("tested", F.lit(False)))
+
+
+def unused_exports(exports: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
+    """path, name of exports that no file imports by name. Where a file is imported whole, and for names that are short or capitalised, no other file may hold the word either."""
+    named = imports.where(F.col("resolved").isNotNull()).select(F.col("resolved").alias("path"), F.explode("bindings").alias("name"))
+    whole = named.where("name = '*'").select("path").distinct().withColumn("whole", F.lit(True))
+    left = exports.where("name not in ('*', 'default')").select("path", "name").distinct().join(named, ["path", "name"], "left_anti").join(whole, "path", "left")
+    doubtful = F.col("whole").isNotNull() | (F.length("name") <= 3) | F.col("name").rlike("^[A-Z]")
+    words = files.select(F.col("path").alias("other"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0)))).alias("name"))
+    # how many files hold a word says whether another does, without listing pairs of files
+    holders = words.join(left.where(doubtful).select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.countDistinct("other").alias("files"))
+    own = words.join(left.where(doubtful).select(F.col("path").alias("other"), "name"), ["other", "name"], "left_semi").select(F.col("other").alias("path"), "name", F.lit(1).alias("own")).distinct()
+    judged = left.join(holders, "name", "left").join(own, ["path", "name"], "left")
+    elsewhere = F.coalesce("files", F.lit(0)) - F.coalesce("own", F.lit(0)) > 0
+    return judged.where(~doubtful | ~elsewhere).select("path", "name")
+
+
+def unreferenced(files: DataFrame, edges_: DataFrame, entries: Column) -> DataFrame:
+    """path of files that no other imports, that are no entry (a condition on path) and no test, and whose stem no other file holds as a word."""
+    alone = files.where(~entries & ~is_test(F.col("path"))).select("path").join(edges_.select(F.col("dst").alias("path")).distinct(), "path", "left_anti").withColumn("word", stem(F.col("path")))
+    words = files.select(F.col("path").alias("other"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z0-9_$-]+"), F.lit(0)))).alias("word"))
+    holders = words.join(alone.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"), F.min("other").alias("first"))
+    held = alone.join(holders, "word").where((F.col("n") > 1) | (F.col("first") != F.col("path")))
+    return alone.join(held.select("path"), "path", "left_anti").select("path")
+
+
+def related(files: DataFrame, edges_: DataFrame, tests: DataFrame, siblings: int = 5) -> DataFrame:
+    """path, related, how: a file's tests, type files, importers that are no tests, and its first siblings."""
+    plain = files.where(~is_test(F.col("path"))).select("path", folder(F.col("path")).alias("folder"), stem(F.col("path")).alias("stem"))
+    by_test = tests.select(F.col("source").alias("path"), F.col("test").alias("related"), F.lit("test").alias("how"))
+    kinds = plain.select("path", F.explode(F.array(F.concat_ws("/", F.nullif("folder", F.lit("")), F.concat("stem", F.lit(".types.ts"))), F.concat_ws("/", F.nullif("folder", F.lit("")), F.lit("types.ts")), F.concat_ws("/", F.nullif("folder", F.lit("")), F.lit("types"), F.concat("stem", F.lit(".ts"))))).alias("related")).where("path <> related")
+    by_type = kinds.join(files.select(F.col("path").alias("related")), "related", "left_semi").select("path", "related", F.lit("type").alias("how"))
+    by_import = edges_.where(~is_test(F.col("src"))).select(F.col("dst").alias("path"), F.col("src").alias("related"), F.lit("importer").alias("how"))
+    # the first few of a folder and one more serve all of its files
+    first = plain.withColumn("nth", F.row_number().over(W.partitionBy("folder").orderBy("path"))).where(F.col("nth") <= siblings + 1).select("folder", F.col("path").alias("related"))
+    beside = plain.join(first, "folder").where("path <> related").withColumn("nth", F.row_number().over(W.partitionBy("path").orderBy("related"))).where(F.col("nth") <= siblings)
+    return by_test.unionByName(by_type).unionByName(by_import).unionByName(beside.select("path", "related", F.lit("sibling").alias("how")))
+
+
+def shown_bindings(bindings: Column, kind: Column) -> Column:
+    """What an import binds, as it is shown."""
+    names = F.array_join(F.filter(bindings, lambda x: x != "*"), ", ")
+    return F.when(kind == "side-effect", "(side effect)").when(kind == "dynamic", "(dynamic)").when(F.array_contains(bindings, "*") & (names == ""), "*").when(F.array_contains(bindings, "*"), F.concat(F.lit("*, "), names)).otherwise(names)
+
+
 def import_kind(spec: Column, resolved: Column) -> Column:
     """builtin, asset, local, unresolved or package."""
     bare = F.element_at(F.split(F.regexp_replace(spec, "^node:", ""), "/"), 1)

@@ -15,7 +15,8 @@ def hotspots(changes: DataFrame, file: str, author: str, top: int | None = None)
 def author_summary(changes: DataFrame, author: str, file: str) -> DataFrame:
     """Authors with commits, distinct files and share of all commits."""
     sums = changes.groupBy(F.col(author).alias("author")).agg(F.count("*").alias("commits"), F.countDistinct(file).alias("files"))
-    return sums.withColumn("percent", F.round(100.0 * F.col("commits") / F.sum("commits").over(W.partitionBy()), 2))
+    whole = changes.agg(F.count("*").alias("_whole"))  # one row
+    return sums.join(F.broadcast(whole)).withColumn("percent", F.round(100.0 * F.col("commits") / F.col("_whole"), 2)).drop("_whole")
 
 
 def blame_blocks(lines: DataFrame, file: str, pos: str, commit: str, text: str) -> DataFrame:

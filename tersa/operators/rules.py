@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .classify import first_match
+from .audit import START, api_like, api_options, build_or_test, http_url
+from .classify import file_category, first_match, language, skipped
 
 
 def padded(rows: DataFrame, columns: list[str], within: str) -> DataFrame:
-    """Columns padded to the widest value of their group; numbers on the right."""
-    kinds, group = dict(rows.dtypes), W.partitionBy(within)
-    out = rows
-    for c in columns:
-        shown, number = F.col(c).cast("string"), kinds[c] in ("int", "bigint", "double")
-        width = F.max(F.length(shown)).over(group)
-        out = out.withColumn(f"_{c}", F.lpad(shown, width, " ") if number else F.rpad(shown, width, " "))
-    return out.select(within, *(F.col(f"_{c}").alias(f"{c}_shown") for c in columns))
+    """Columns padded to the widest value of their group; numbers on the right. Widths are aggregates, so no task holds a group."""
+    kinds = dict(rows.dtypes)
+    widths = rows.groupBy(within).agg(*(F.max(F.length(F.col(c).cast("string"))).alias(f"_{c}") for c in columns))
+    shown = [(F.lpad if kinds[c] in ("int", "bigint", "double") else F.rpad)(F.col(c).cast("string"), F.col(f"_{c}"), F.lit(" ")).alias(f"{c}_shown") for c in columns]
+    return rows.join(widths, within).select(within, *shown)
 
 
 def absorbed(rows: DataFrame, category: str, name: str, absorbs: list[tuple[str, str]]) -> DataFrame:
@@ -44,18 +44,19 @@ def section(title: Column) -> Column:
     return first_match([(F.lower(title).rlike(pattern), name) for name, pattern in SECTIONS[:-1]], SECTIONS[-1][0])
 
 
-def changed_path(path: Column) -> Column:
+#: What a changed path is, and in which order that is asked of a diff and of a pull request.
+PATH_KINDS = {
+    "test": "[.](test|spec)[.]|(^|/)(tests?|__tests__)/",
+    "docs": "[.](md|rst|txt)$|(^|/)docs?/",
+    "config": "[.](json|ya?ml|toml|ini)$|(^|/)[.][^/]+$",
+    "style": "[.](css|scss|less)$",
+}
+DIFF_ORDER, PULL_ORDER = ("test", "docs", "config", "style"), ("config", "test", "style", "docs")
+
+
+def changed_path(path: Column, order: tuple[str, ...] = DIFF_ORDER) -> Column:
     """config, docs, test, style or source, by what a changed path looks like."""
-    lower = F.lower(path)
-    return first_match(
-        [
-            (lower.rlike("[.](test|spec)[.]|(^|/)(tests?|__tests__)/"), "test"),
-            (lower.rlike("[.](md|rst|txt)$|(^|/)docs?/"), "docs"),
-            (lower.rlike("[.](json|ya?ml|toml|ini)$|(^|/)[.][^/]+$"), "config"),
-            (lower.rlike("[.](css|scss|less)$"), "style"),
-        ],
-        "source",
-    )
+    return first_match([(F.lower(path).rlike(PATH_KINDS[k]), k) for k in order], "source")
 
 
 def suggestion_score(name: Column, wanted: str) -> Column:
@@ -132,12 +133,142 @@ def usage_kind(line: Column, name: str) -> Column:
     )
 
 
-#: What starts a program, by group.
-ENTRIES = (("main", "if __name__ == ['\"]__main__|func main\\(\\)|fn main\\(\\)|public static void main"), ("server", "[.]listen\\(|createServer\\(|app[.]run\\("), ("cli", "#!/|argparse|process[.]argv"), ("export", "module[.]exports|export default"))
+#: What a way into a program looks like, by group, in order: (pattern over a line, what it is).
+ENTRIES = {
+    "main": (
+        ("createApp\\(|new App\\(|express\\(\\)", "App initialization"),
+        ("^\\s*app\\.listen\\(", "Server start"),
+        ("ReactDOM\\.render|createRoot|hydrateRoot", "React entry"),
+        ("main\\s*\\(|async function main", "Main function"),
+    ),
+    "routes": (
+        ("app\\.(get|post|put|delete|patch)\\s*\\(", "Express routes"),
+        ("router\\.(get|post|put|delete|patch)\\s*\\(", "Router routes"),
+        ("fastify\\.(get|post|put|delete|patch)", "Fastify routes"),
+        ("@(Get|Post|Put|Delete|Patch)\\(", "Decorator routes"),
+        ("export (async )?function (GET|POST|PUT|DELETE|PATCH)", "Next.js API routes"),
+    ),
+    "handlers": (
+        ("\\.on\\(['\"]\\w+['\"]", "Event listeners"),
+        ("\\.addEventListener\\(", "DOM events"),
+        ("onClick|onChange|onSubmit|onLoad|onError", "React handlers"),
+        ("useEffect\\s*\\(", "React effects"),
+        ("@Subscribe|@EventHandler|@Listener", "Event decorators"),
+    ),
+    "exports": (
+        ("^export default", "Default export"),
+        ("^export (async )?(function|class|const) \\w+", "Named export"),
+        ("module\\.exports\\s*=", "CommonJS export"),
+        ("exports\\.\\w+\\s*=", "Named CommonJS"),
+    ),
+    "cli": (
+        ("#!/usr/bin/env node", "Node CLI shebang"),
+        ("commander|yargs|meow|arg\\s*\\(", "CLI framework"),
+        ("process\\.argv", "Argument parsing"),
+        ("\\.command\\(", "Command definition"),
+    ),
+}
+#: File names that are ways in by themselves.
+ENTRY_FILES = "index.ts index.tsx index.js main.ts main.tsx app.ts app.tsx server.ts server.js".split()
+
+
+def entry_points(lines: DataFrame, path: str = "path", pos: str = "pos", line: str = "line") -> DataFrame:
+    """path, pos, kind, what: every pattern that a line hits; within a kind a line counts once, for its first pattern. Special files count at line 1."""
+    hits = [F.when(F.col(line).rlike(p), F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("order"), F.lit(what).alias("what"))) for kind, rules in ENTRIES.items() for i, (p, what) in enumerate(rules)]
+    rows = lines.select(path, pos, F.explode(F.array_compact(F.array(*hits))).alias("e")).groupBy(path, pos, "e.kind").agg(F.min_by("e.what", "e.order").alias("what"))
+    special = lines.where((F.col(pos) == 1) & F.element_at(F.split(path, "/"), -1).isin(ENTRY_FILES)).select(path, pos, F.lit("file").alias("kind"), F.lit("special file").alias("what"))
+    return rows.unionByName(special)
+
+
+def routes(files: DataFrame, path: str = "path") -> DataFrame:
+    """path, route, kind of files that a framework serves by their place: under app/ pages, route handlers and layouts; under pages/ pages and api handlers."""
+    app, pages = F.regexp_extract(path, "(?:^|/)app/(.*)$", 1), F.regexp_extract(path, "(?:^|/)pages/(.*)[.](?:tsx|jsx|js|ts)$", 1)
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    kind = F.when(name.rlike("^page[.](tsx|jsx|js|ts)$"), "page").when(name.rlike("^route[.](tsx|ts|js)$"), "api").when(name.rlike("^layout[.](tsx|jsx|js)$"), "layout")
+
+    def shown(parts: Column) -> Column:
+        dynamic = lambda x: F.when(x.startswith("[..."), "*").when(x.rlike("^\\[.*\\]$"), F.concat(F.lit(":"), F.substr(x, F.lit(2), F.length(x) - 2))).otherwise(x)
+        return F.concat(F.lit("/"), F.array_join(F.transform(parts, dynamic), "/"))
+
+    inside = F.split(F.regexp_replace(app, "/?[^/]*$", ""), "/")
+    kept = F.filter(inside, lambda x: (x != "") & ~x.rlike("^[(].*[)]$"))
+    hidden = F.exists(inside, lambda x: x.rlike("^[_.@]"))
+    rest = F.filter(F.split(F.regexp_replace(pages, "(^|/)index$", ""), "/"), lambda x: x != "")
+    by_app = files.where((app != "") & kind.isNotNull() & ~hidden).select(path, shown(kept).alias("route"), kind.alias("kind"))
+    by_pages = files.where((pages != "") & ~F.element_at(F.split(path, "/"), -1).startswith("_")).select(path, shown(rest).alias("route"), F.when(pages.startswith("api/"), "api").otherwise("page").alias("kind"))
+    return by_app.unionByName(by_pages)
+
+
+#: What makes a line of output worth showing, in a run that failed and in one that didn't.
+FAILED_LINE = "\\b(error|Error|ERROR|fatal|FATAL|panic|PANIC|exception|Exception|warn|Warn|WARN|warning|Warning|WARNING|fail|Fail|FAIL|invalid|Invalid|INVALID)\\b"
+PASSED_LINE = "\\b(error|Error|ERROR|fatal|FATAL|panic|PANIC|exception|Exception)\\b"
+
+
+def output_summary(lines: DataFrame, key: str, pos: str, line: str, failed: Column) -> DataFrame:
+    """key, pos, part (all, head, diagnostic, tail) of the lines that a summary shows.
+
+    Short outputs are shown whole: 150 lines, 250 of a failed run. Of longer ones the first and last 25 (40) lines,
+    and between them the first 15 (25) that look like errors.
+    """
+    order = W.partitionBy(key).orderBy(pos)
+    rows = lines.withColumn("_failed", failed).withColumn("_n", F.count("*").over(W.partitionBy(key))).withColumn("_at", F.row_number().over(order))
+    ends, few = F.when(F.col("_failed"), 40).otherwise(25), F.when(F.col("_failed"), 25).otherwise(15)
+    told = F.when(F.col("_failed"), F.col(line).rlike(FAILED_LINE)).otherwise(F.col(line).rlike(PASSED_LINE))
+    part = F.when(F.col("_n") <= F.when(F.col("_failed"), 250).otherwise(150), "all").when(F.col("_at") <= ends, "head").when(F.col("_at") > F.col("_n") - ends, "tail").when(told, "diagnostic")
+    parted = rows.withColumn("part", part).where(F.col("part").isNotNull())
+    nth = F.row_number().over(W.partitionBy(key, "part").orderBy(pos))
+    return parted.withColumn("_nth", nth).where((F.col("part") != "diagnostic") | (F.col("_nth") <= few)).select(key, pos, "part")
+
+
+def diverse(matches: DataFrame, key: str, folder: str, file: str, kind: str, order: str, count: int, kinds: tuple[str, ...] = ("usage", "definition", "test", "type", "import")) -> DataFrame:
+    """``matches`` with nth, the first ``count`` of each key: one of each folder, then of each further file, then of each further kind, then the rest; the kinds in their order first."""
+    rank = first_match([(F.col(kind) == k, F.lit(i)) for i, k in enumerate(kinds)], F.lit(len(kinds)))
+    rows = matches.withColumn("_at", F.row_number().over(W.partitionBy(key).orderBy(rank, order)))
+    first = lambda *c: F.row_number().over(W.partitionBy(key, *c).orderBy("_at")) == 1
+    one = rows.withColumn("_folder", first(folder))
+    used = lambda flag, c: F.max(F.col(flag).cast("int")).over(W.partitionBy(key, c)) == 1
+    two = one.withColumn("_file", ~used("_folder", file) & first(file)).withColumn("_early", F.col("_folder") | F.col("_file"))
+    three = two.withColumn("_kind", ~used("_early", kind) & first(kind))
+    turn = F.when(F.col("_folder"), 1).when(F.col("_file"), 2).when(F.col("_kind"), 3).otherwise(4)
+    nth = F.row_number().over(W.partitionBy(key).orderBy(turn, "_at"))
+    return three.withColumn("nth", nth).where(F.col("nth") <= count).select(*matches.columns, "nth")
+
+
+def united(*found: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The union of finds, one for each key: that of the first ``order``."""
+    every = reduce(DataFrame.unionByName, found)
+    kept = [c for c in every.columns if c not in key]
+    one = every.groupBy(*key).agg(F.min(F.struct(order, *kept)).alias("x"))
+    return one.select(*key, *(F.col("x")[c].alias(c) for c in kept))
+
+
+#: The order in which changed files are read, by what they are.
+KEY_ORDER = ("source", "config", "test", "style", "docs")
+
+
+def key_files(changes: DataFrame, path: str, lines: str, top: int = 10) -> DataFrame:
+    """The changed files to read first: by what they are, then by how much changed."""
+    kind = changed_path(F.col(path))
+    rank = first_match([(kind == k, F.lit(i)) for i, k in enumerate(KEY_ORDER)], F.lit(len(KEY_ORDER)))
+    return changes.select(path, kind.alias("kind"), lines, rank.alias("priority")).orderBy("priority", F.desc(lines), path).limit(top)
+
+
+def todo_summary(marks: DataFrame, by: str) -> DataFrame:
+    """Marks of each type or file, and the most urgent priority among them."""
+    return marks.groupBy(by).agg(F.count("*").alias("n"), F.min("priority").alias("priority"))
+
+
+def rewritten(command: Column, run: str = "run", browse: str = "browse") -> Column:
+    """The command that should be run instead, its argument as a JSON string; null if none should."""
+    quoted = lambda x: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(x, "\\\\", "\\\\\\\\"), '"', '\\\\"'), F.lit('"'))
+    page = command.rlike(START + "curl ") & ~api_options(command) & (http_url(command) != "") & ~api_like(http_url(command))
+    wanted = F.when(build_or_test(command), F.concat(F.lit(f"{run} "), quoted(command))).when(page, F.concat(F.lit(f"{browse} "), quoted(http_url(command))))
+    return F.when((command != "") & ~command.rlike(f"^ *({run}|{browse})($| )"), wanted)
 
 
-def entry_kind(line: Column) -> Column:
-    return first_match([(line.rlike(p), k) for k, p in ENTRIES])
+def rendered(rows: DataFrame) -> DataFrame:
+    """Each row as a JSON object, null fields included."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def tail(lines: DataFrame, file: str, pos: str, n: int = 600) -> DataFrame:
@@ -153,3 +284,23 @@ def internal(deps: DataFrame, packages: DataFrame) -> DataFrame:
     """Packages of the workspace with those that depend on them."""
     known = packages.select(F.col("name").alias("dep"))
     return deps.join(known, "dep", "left_semi").groupBy("dep").agg(F.sort_array(F.collect_set("name")).alias("depended_on_by"))
+
+
+def source_files(files: DataFrame, path: str = "path", tests: bool = False) -> DataFrame:
+    """Files of a known language that aren't passed over; without tests unless asked for."""
+    known = files.where(language(F.col(path)).isNotNull() & ~skipped(F.element_at(F.split(path, "/"), -1)))
+    return known if tests else known.where(file_category(F.col(path)) == "source")
+
+
+def verdicts(found: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """check_name, n, verdict of each check: pass without finds, else what the check says then."""
+    counts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n", F.when(F.col("n") > 0, otherwise).otherwise("pass").alias("verdict")) for name, (rows, otherwise) in found.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def ranges(rows: DataFrame, key: list[str], number: str, step: int = 1) -> DataFrame:
+    """key, ranges: the numbers of each key, those that follow each other by ``step`` as first-last. A key's numbers are its text, so they should be as many as a text holds."""
+    island = F.col(number) - step * F.row_number().over(W.partitionBy(*key).orderBy(number))
+    runs = rows.withColumn("_island", island).groupBy(*key, "_island").agg(F.min(number).alias("a"), F.max(number).alias("b"))
+    shown = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
+    return runs.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", shown.alias("s")))), lambda x: x["s"]), ", ").alias("ranges"))

@@ -5,16 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write once under ``spark.checkpoint.dir`` (a folder of our own only where that is unset) and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a session whose driver and executors are one process gets a folder of its own; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tersa-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tersa-{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write once under the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/tersa-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

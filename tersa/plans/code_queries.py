@@ -1,83 +1,18 @@
-"""Scanners over code, readers of text formats, streams."""
+"""Readers of text formats, streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import code as K, readers as R
+from ..operators import readers as R
 from ..sources.tables import event_line, literal, read, values_sql
 from ..streaming import events as E
 from .registry import query
 
-_JS = """import fs from 'fs';
-import { a as b } from './util.js';
-export class Store {
-  load(key) {
-    if (key) { return get(key); }
-  }
-}
-export function get(key) {
-  const s = "{ not a brace";
-  return read(key);
-}
-const read = (key) => {
-  return fs.readFileSync(key);
-};
-export { read as fetch };
-"""
-_PY = """import os
-from pathlib import Path
-
-class Store:
-    def load(self, key):
-        return get(key)
-
-def get(key):
-    return os.read(key)
-"""
-_FILES = [("a.js", "javascript", _JS), ("b.py", "python", _PY), ("empty.js", "javascript", None)]
-
-
-def _scan(spark, what):
-    return K.scan(literal(spark, _FILES, "path string, lang string, content string"), what)
-
-
 def _expected(rows, columns, kinds=""):
     return f"SELECT {kinds or columns} FROM {values_sql(rows, columns)}"
 
 
-@query(_expected([("a.js", "load", 4, 6), ("a.js", "get", 8, 11), ("a.js", "read", 12, 14), ("b.py", "load", 5, 6), ("b.py", "get", 8, 9)], "path, name, line, end_line"))
-def function_index(spark, d):
-    return _scan(spark, "functions").select("path", "name", "line", "end_line")
-
-
-@query(_expected([("a.js", "class", "Store", 3), ("a.js", "function", "load", 4), ("a.js", "function", "get", 8), ("a.js", "function", "read", 12), ("b.py", "class", "Store", 4), ("b.py", "function", "load", 5), ("b.py", "function", "get", 8)], "path, kind, name, line"))
-def symbols(spark, d):
-    return _scan(spark, "symbols").drop("lang")
-
-
-@query(_expected([("a.js", "fs", 1), ("a.js", "./util.js", 2), ("b.py", "os", 1), ("b.py", "pathlib", 2)], "path, spec, line"))
-def imports(spark, d):
-    return _scan(spark, "imports").select("path", "spec", "line")
-
-
-@query(_expected([("a.js", "Store", 3), ("a.js", "get", 8), ("a.js", "fetch", 15), ("b.py", "Store", 4), ("b.py", "get", 8)], "path, name, line"))
-def exports(spark, d):
-    return _scan(spark, "exports").drop("lang")
-
-
-@query(_expected([("a.js", "Store"), ("b.py", "Store")], "path, name"))
-def unused_exports(spark, d):
-    """Exports that no file calls."""
-    called = _scan(spark, "calls").select(F.col("callee").alias("name")).distinct()
-    return _scan(spark, "exports").select("path", "name").join(called, "name", "left_anti").where("name <> 'fetch'").select("path", "name")
-
-
-@query(_expected([("load", "get", 5), ("get", "read", 10)], "caller, callee, line"))
-def call_graph(spark, d):
-    return _scan(spark, "calls").where("path = 'a.js'").select("caller", "callee", "line")
-
-
 _LCOV = ["SF:src/a.js", "DA:1,5", "DA:2,0", "DA:3,0", "end_of_record", "SF:src/b.js", "DA:1,1", "end_of_record"]
 
 

@@ -32,8 +32,8 @@ def dominant_style(spark, d):
 def provider_breakdown(spark, d):
     """Two-level counts by provider and kind, with totals by kind."""
     rows = read(spark, d, "conversations").withColumn("kind", F.when(F.length("text") >= 500, "long").otherwise("short"))
-    rows.createOrReplaceTempView("tersa_provider_rows")
-    return spark.sql("SELECT coalesce(role, 'all') AS provider, kind, count(*) AS n FROM tersa_provider_rows GROUP BY GROUPING SETS ((role, kind), (kind))")
+    sets = rows.groupingSets([["role", "kind"], ["kind"]], "role", "kind").agg(F.count("*").alias("n"))
+    return sets.select(F.coalesce("role", F.lit("all")).alias("provider"), "kind", "n")
 
 
 @query("""SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS passed, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus = 'O') AS pending, count(*) FILTER (o_orderstatus NOT IN ('F', 'P', 'O')) AS skipped FROM orders GROUP BY o_custkey""")
@@ -57,22 +57,6 @@ def tool_usage(spark, d):
     return literal(spark, [(c[0],) for c in _COMMANDS], "command string").withColumn("tool", R.tool_of(F.col("command")))
 
 
-_USES = [("function foo() {", "definition"), ("import { foo } from 'x'", "import"), ("expect(foo()).toBe(1)", "test"), ("let x: foo = 1", "type"), ("foo(2)", "usage")]
-
-
-@query(f"SELECT line, kind FROM {values_sql(_USES, 'line, kind')}")
-def usage_kinds(spark, d):
-    return literal(spark, [(u[0],) for u in _USES], "line string").withColumn("kind", R.usage_kind(F.col("line"), "foo"))
-
-
-_ENTRIES = [("func main() {", "main"), ("app.listen(80)", "server"), ("#!/usr/bin/env node", "cli"), ("export default x", "export"), ("x = 1", None)]
-
-
-@query(f"SELECT line, kind FROM {values_sql(_ENTRIES, 'line, kind')}")
-def entry_points(spark, d):
-    return literal(spark, [(e[0],) for e in _ENTRIES], "line string").withColumn("kind", R.entry_kind(F.col("line")))
-
-
 @query("SELECT doc_id, pos FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos, len(string_split(text, chr(10))) AS n FROM documents) WHERE pos > n - 3")
 def tail_lines(spark, d):
     return R.tail(lines(read(spark, d, "documents")), "doc_id", "pos", 3).select("doc_id", "pos")

@@ -189,49 +189,6 @@ def intent_route(spark, d):
     return literal(spark, [(r[0],) for r in _REQUESTS], "request string").select("request", F.get(C.intents(F.col("request")), F.lit(0)).alias("intent"))
 
 
-_FILES = [("src/a.test.js", "test", "javascript", 0, 0), ("e2e/login.ts", "e2e", "typescript", 0, 0), ("src/__mocks__/x.js", "mock", "javascript", 0, 0), ("src/Button.stories.tsx", "story", "typescript", 0, 0), ("src/main.py", "source", "python", 0, 0), (".env", "source", None, 1, 1), ("certs/a.pem", "source", None, 0, 1), ("dist/a.min.js", "source", "javascript", 1, 0), ("logo.png", "source", None, 1, 0)]
-
-
-@query(f"SELECT path, category, language, skipped = 1 AS skipped, sensitive = 1 AS sensitive FROM {values_sql(_FILES, 'path, category, language, skipped, sensitive')}")
-def file_classes(spark, d):
-    path = F.col("path")
-    return literal(spark, [(f[0],) for f in _FILES], "path string").select("path", C.file_category(path).alias("category"), C.language(path).alias("language"), C.skipped(X.basename(path)).alias("skipped"), C.sensitive(path).alias("sensitive"))
-
-
-_TODOS = [("// TODO: write tests", "TODO", "write tests", None, 2), ("# FIXME(@ana): broken parser", "FIXME", "broken parser", "ana", 1), ("/* HACK: works for now */", "HACK", "works for now", None, 3), ("<!-- NOTE: keep order -->", "NOTE", "keep order", None, 5), ("-- xxx: odd case here", "XXX", "odd case here", None, 4)]
-
-
-@query(f"SELECT line, type, message, author, priority::INT AS priority FROM {values_sql(_TODOS, 'line, type, message, author, priority')}")
-def todo_scan(spark, d):
-    rows = literal(spark, [(t[0],) for t in _TODOS] + [("TODO without comment",), ("// TODO: {",)], "line string")
-    found = rows.where(C.marker_line(F.col("line"))).withColumn("m", C.marker(F.col("line"))).where("m is not null")
-    return found.select("line", "m.type", "m.message", "m.author", "m.priority")
-
-
-_CODE = [("if (a && b) { x(); } else if (c) { y(); }", 5, 2), ("for (;;) {\nif (a) {\nb();\n}\n}", 3, 3), ("return 1;", 1, 0), ("// if (a)\nx = \"if (b)\";", 1, None), ("while (a || b) { c ? d : e; }", 4, 3)]
-
-
-@query("SELECT code, cyclomatic::INT AS cyclomatic, CASE WHEN cyclomatic <= 10 THEN 'simple' ELSE 'moderate' END AS rating FROM " + values_sql([c[:2] for c in _CODE], "code, cyclomatic"))
-def complexity(spark, d):
-    n = C.cyclomatic(F.col("code"))
-    return literal(spark, [(c[0],) for c in _CODE], "code string").select("code", n.alias("cyclomatic"), C.rating(n).alias("rating"))
-
-
-@query("SELECT code, cognitive::INT AS cognitive FROM " + values_sql([(c[0], c[2]) for c in _CODE if c[2] is not None], "code, cognitive"))
-def cognitive_complexity(spark, d):
-    return literal(spark, [(c[0],) for c in _CODE if c[2] is not None], "code string").select("code", C.cognitive(F.col("code")).alias("cognitive"))
-
-
-_RISKS = [("a", 0, 3, 2, 12, 1, "Low risk - proceed with normal caution"), ("b", 20, 45, 0, 0, 9, "Add tests before modifying"), ("c", 4, 12, 1, 2, 5, "Improve test coverage"), ("d", 16, 30, 3, 5, 7, "Consider refactoring complex functions"), ("e", 16, 8, 3, 5, 5, "Changes here affect many files - review impact carefully")]
-
-
-@query(f"SELECT file, risk::INT AS risk, advice FROM {values_sql(_RISKS, 'file, importers, complexity, tests, cases, risk, advice')}")
-def risk_score(spark, d):
-    rows = literal(spark, [r[:5] for r in _RISKS], "file string, importers int, complexity int, tests int, cases int")
-    columns = [F.col(c) for c in ("importers", "complexity", "tests", "cases")]
-    return rows.select("file", C.risk(*columns).alias("risk"), C.risk_advice(*columns).alias("advice"))
-
-
 @query("""SELECT p_brand AS name, count(*) FILTER (regexp_matches(p_name, '^[a-z]+ [a-z]+$')) AS spaced, count(*) FILTER (regexp_matches(p_type, '^[A-Z]+$')) AS upper_types, max(p_size)::INT AS widest FROM part GROUP BY p_brand""")
 def style_counts(spark, d):
     """Naming conventions by group."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
-from ..operators import duplicates as D
+from ..operators import duplicates as D, rules as R
 from ..sources.tables import lines, read
 from .registry import query
 
@@ -59,29 +59,37 @@ def repeated_names(spark, d):
 
 
 _SETS = """words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS w FROM documents),
-  sets AS (SELECT doc_id, len(w) AS tok, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words)"""
+  every AS (SELECT doc_id, len(w) AS tok, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM words),
+  sets AS (SELECT min(doc_id) AS doc_id, min(tok) AS tok, s FROM every GROUP BY s)"""
 
 
 @query(f"""WITH {_SETS}, x AS (SELECT doc_id, tok, len(s) AS k, unnest(s) AS h FROM sets),
   shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.k AS ka, b.k AS kb, count(*) AS n FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id
     WHERE greatest(a.tok, b.tok) <= 1.25 * least(a.tok, b.tok) GROUP BY ALL)
-  SELECT a, b, round(n / (ka + kb - n)::DOUBLE, 4) AS similarity FROM shared WHERE n / (ka + kb - n)::DOUBLE >= 0.85""")
+  SELECT a, b, round(n / (ka + kb - n)::DOUBLE, 4) AS similarity FROM shared WHERE n / (ka + kb - n)::DOUBLE >= 0.85 ORDER BY similarity DESC, a, b""")
 def near_duplicates(spark, d):
-    """Pairs of documents whose 5-word shingle sets have a Jaccard index of 0.85 or more."""
+    """Pairs of documents whose 5-word shingle sets have a Jaccard index of 0.85 or more, the most alike first; documents of equal sets stand as one, the smallest."""
     from ..operators.tables import materialize
 
     words = read(spark, d, "documents").select("doc_id", F.filter(F.split(F.lower("text"), f"{X.SPACE}+"), lambda x: x != "").alias("w"))
     words = materialize(words, "words")
-    sets = materialize(words.select("doc_id", F.size("w").alias("tok"), X.shingles(F.col("w"), 5).alias("s")), "sets")
-    pairs = D.near_pairs(sets, "doc_id", "tok", "s", 0.85)
-    return pairs.withColumn("similarity", F.round("similarity", 4))
+    sets = words.select("doc_id", F.size("w").alias("tok"), F.array_distinct(F.transform(X.shingles(F.col("w"), 5), lambda s: F.xxhash64(s))).alias("hs"))
+    pairs = D.near_pairs(materialize(D.representatives(sets, "doc_id", "tok", "hs"), "sets"), "doc_id", "tok", "hs", 0.85)
+    return pairs.withColumn("similarity", F.round("similarity", 4)).orderBy(F.desc("similarity"), "a", "b")
+
+
+@query(f"""WITH {_SETS} SELECT min(doc_id) AS doc_id, count(*) AS copies FROM every GROUP BY s HAVING count(*) >= 2""")
+def shingle_classes(spark, d):
+    """Documents of equal shingle sets: the one that stands for them in ``near_duplicates``, and how many they are."""
+    words = read(spark, d, "documents").select("doc_id", F.filter(F.split(F.lower("text"), f"{X.SPACE}+"), lambda x: x != "").alias("w"))
+    sets = words.select("doc_id", F.size("w").alias("tok"), F.array_distinct(F.transform(X.shingles(F.col("w"), 5), lambda s: F.xxhash64(s))).alias("hs"))
+    return D.representatives(sets, "doc_id", "tok", "hs").where("copies >= 2").select("doc_id", "copies")
 
 
 @query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def cross_set_overlap(spark, d):
-    """Documents that hold a whole item of the benchmark (a small table; its size is the broadcast's bound)."""
-    docs, items = read(spark, d, "documents"), read(spark, d, "benchmark")
-    return docs.join(items.select("item_id", F.col("text").alias("item")), F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    """Documents that hold a whole item of the benchmark."""
+    return D.containing(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 _QUERY = ["small", "red", "widget"]
@@ -152,14 +160,11 @@ def untested_sources(spark, d):
     return read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels"), "doc_id", "left_anti")
 
 
-@query("""WITH m AS (SELECT d.source, d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id),
-   i AS (SELECT source, doc_id, doc_id - row_number() OVER (PARTITION BY source ORDER BY doc_id) * 20 AS island FROM m),
-   r AS (SELECT source, min(doc_id) AS a, max(doc_id) AS b FROM i GROUP BY source, island)
-  SELECT source, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY source""")
+@query("""WITH m AS (SELECT d.source, d.doc_id, d.doc_id // 1000 AS part FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id),
+   i AS (SELECT source, part, doc_id, doc_id - row_number() OVER (PARTITION BY source, part ORDER BY doc_id) * 20 AS island FROM m),
+   r AS (SELECT source, part, min(doc_id) AS a, max(doc_id) AS b FROM i GROUP BY source, part, island)
+  SELECT source, part, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY source, part""")
 def line_ranges(spark, d):
-    """Numbers that follow each other in steps of twenty, as ranges."""
-    missing = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels"), "doc_id", "left_anti")
-    island = F.col("doc_id") - 20 * F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    runs = missing.withColumn("island", island).groupBy("source", "island").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    shown = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
-    return runs.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", shown.alias("s")))), lambda x: x["s"]), ", ").alias("ranges"))
+    """Numbers that follow each other in steps of twenty, as ranges, by source and thousand (so that no group grows with the table)."""
+    missing = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels"), "doc_id", "left_anti").withColumn("part", F.floor(F.col("doc_id") / 1000))
+    return R.ranges(missing, ["source", "part"], "doc_id", 20)
