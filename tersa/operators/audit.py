@@ -88,9 +88,10 @@ def price(judged: DataFrame, tokens: Column) -> DataFrame:
     return out.withColumn("estimated_tokens", F.col("actual_tokens") - F.col("saved_tokens"))
 
 
-def by_category(found: DataFrame) -> DataFrame:
-    """Count and tokens by category, with a grand total (category null)."""
-    return found.rollup("category").agg(F.count("*").alias("n"), F.sum("actual_tokens").alias("actual_tokens"), F.sum("saved_tokens").alias("saved_tokens"))
+def by_category(found: DataFrame, order: str) -> DataFrame:
+    """Count, tokens and the first suggestion by category, with a grand total (category null)."""
+    said = F.element_at(F.create_map(*(F.lit(x) for kv in SUGGESTION.items() for x in kv)), F.col("category"))
+    return found.withColumn("suggestion", said).rollup("category").agg(F.count("*").alias("n"), F.sum("actual_tokens").alias("actual_tokens"), F.sum("saved_tokens").alias("saved_tokens"), F.min_by("suggestion", order).alias("suggestion"))
 
 
 def capture_rate(saved: Column, saveable: Column) -> Column:

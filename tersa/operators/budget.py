@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
@@ -48,13 +50,19 @@ LINE_RULES = (
 )
 
 
+def edged(pattern: str, ignore_case: bool = False) -> str:
+    """The pattern with word boundaries at its ends spelled out as ASCII classes, so that every engine agrees."""
+    pattern = re.sub(r"^\\b", "(^|[^A-Za-z0-9_])", pattern)
+    return ("(?i)" if ignore_case else "") + re.sub(r"\\b$", "($|[^A-Za-z0-9_])", pattern)
+
+
 def line_score(line: Column) -> Column:
     """How much a line tells; blank lines score -1."""
     t = F.trim(line)
     score = F.lit(0)
     for pattern, ignore_case, weight in LINE_RULES:
-        score = score + F.when(t.rlike(f"(?i){pattern}" if ignore_case else pattern), weight).otherwise(0)
-    score = score + F.when(t.rlike("[^ \\t]+:\\d+") & t.rlike("(?i)\\b(error|warn|fail)"), 2).otherwise(0)
+        score = score + F.when(t.rlike(edged(pattern, ignore_case)), weight).otherwise(0)
+    score = score + F.when(t.rlike("[^ \\t]+:[0-9]+") & t.rlike(edged("\\b(error|warn|fail)", True)), 2).otherwise(0)
     score = score - F.when(line.rlike("^[ \\t]*at "), 1).otherwise(0)
     return F.when(t == "", -1).otherwise(score)
 

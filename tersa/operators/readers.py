@@ -49,7 +49,7 @@ def test_counts(output: Column) -> Column:
     return F.struct(
         number("([0-9]+) passed", "(?m)^# pass ([0-9]+)", "([0-9]+) passing").alias("passed"),
         number("([0-9]+) failed", "(?m)^# fail ([0-9]+)", "([0-9]+) failing").alias("failed"),
-        number("([0-9]+) skipped", "(?m)^# skipped ([0-9]+)", "([0-9]+) pending").alias("skipped"),
+        number("([0-9]+) skipped", "(?m)^# skipped ([0-9]+)", "([0-9]+) pending", "([0-9]+) ignored").alias("skipped"),
     )
 
 

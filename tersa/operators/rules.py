@@ -237,8 +237,8 @@ def diverse(matches: DataFrame, key: str, folder: str, file: str, kind: str, ord
 def united(*found: DataFrame, key: list[str], order: str) -> DataFrame:
     """The union of finds, one for each key: that of the first ``order``."""
     every = reduce(DataFrame.unionByName, found)
-    kept = [c for c in every.columns if c not in key]
-    one = every.groupBy(*key).agg(F.min(F.struct(order, *kept)).alias("x"))
+    kept = [order, *(c for c in every.columns if c not in key and c != order)]
+    one = every.groupBy(*key).agg(F.min(F.struct(*kept)).alias("x"))
     return one.select(*key, *(F.col("x")[c].alias(c) for c in kept))
 
 
@@ -304,3 +304,24 @@ def ranges(rows: DataFrame, key: list[str], number: str, step: int = 1) -> DataF
     runs = rows.withColumn("_island", island).groupBy(*key, "_island").agg(F.min(number).alias("a"), F.max(number).alias("b"))
     shown = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
     return runs.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", shown.alias("s")))), lambda x: x["s"]), ", ").alias("ranges"))
+
+
+def tool_usage(commands: DataFrame, command: str, samples: int = 3) -> DataFrame:
+    """tool, n, samples: tools by how often they run, with their first commands in order; samples are cut down before they are gathered."""
+    rows = commands.select(F.col(command).alias("_c"), tool_of(F.col(command)).alias("tool"))
+    counts = rows.groupBy("tool").agg(F.count("*").alias("n"))
+    first = rows.distinct().withColumn("_nth", F.row_number().over(W.partitionBy("tool").orderBy("_c"))).where(F.col("_nth") <= samples)
+    shown = first.groupBy("tool").agg(F.sort_array(F.collect_list("_c")).alias("samples"))
+    return counts.join(shown, "tool").orderBy(F.desc("n"), "tool")
+
+
+def compact_command(command: Column, limit: int = 180) -> Column:
+    """A command on one line, cut to ``limit`` characters."""
+    flat = F.trim(F.regexp_replace(command, "[ \\t\\n\\r\\f]+", " "))
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, limit - 3), F.lit("...")))
+
+
+def release_sections(changes: DataFrame, title: str, since_cutoff: Column) -> DataFrame:
+    """section, n, place: changes since the cutoff, by section of release notes, in the sections' order."""
+    rows = changes.where(since_cutoff).groupBy(section(F.col(title)).alias("section")).agg(F.count("*").alias("n"))
+    return rows.withColumn("place", F.array_position(F.array(*(F.lit(name) for name, _ in SECTIONS)), F.col("section")).cast("int"))

@@ -1,48 +1,13 @@
-"""Readers of text formats, streams."""
+"""Streams, and what a stream leaves behind."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import readers as R
-from ..sources.tables import event_line, literal, read, values_sql
+from ..sources.tables import EVENT_LINE_SQL, event_line, read
 from ..streaming import events as E
 from .registry import query
 
-def _expected(rows, columns, kinds=""):
-    return f"SELECT {kinds or columns} FROM {values_sql(rows, columns)}"
-
-
-_LCOV = ["SF:src/a.js", "DA:1,5", "DA:2,0", "DA:3,0", "end_of_record", "SF:src/b.js", "DA:1,1", "end_of_record"]
-
-
-@query("SELECT * FROM (VALUES ('src/a.js', 3::BIGINT, 1::BIGINT, [2, 3], 33.33::DOUBLE), ('src/b.js', 1, 1, []::INT[], 100.0)) v(source, found, hit, missed, percent)")
-def lcov_coverage(spark, d):
-    rows = literal(spark, [("x", i, line) for i, line in enumerate(_LCOV)], "doc string, pos int, line string")
-    return R.lcov(rows).withColumn("percent", R.percent(F.col("hit"), F.col("found")))
-
-
-_DIFF = ["+++ b/src/a.js", "@@ -1,2 +1,3 @@", " one", "+two", "-gone", " three", "@@ -10,1 +11,2 @@", "+ten", " eleven"]
-
-
-@query(_expected([("src/a.js", 2, "two"), ("src/a.js", 11, "ten")], "path, number, text"))
-def staged_lines(spark, d):
-    return R.added_lines(literal(spark, [("x", i, line) for i, line in enumerate(_DIFF)], "doc string, pos int, line string"))
-
-
-@query(_expected([("A", "1"), ("B", "x y"), ("C", "")], "key, value"))
-def env_file(spark, d):
-    return R.environment(literal(spark, [("A=1",), ("# no",), ("export B='x y'",), ("C=",), ("not a line",)], "line string"))
-
-
-_RUNS = [("12 passed, 2 failed, 1 skipped in 3s", 12, 2, 1), ("# pass 5\n# fail 0\n# skipped 2", 5, 0, 2), ("7 passing\n1 failing", 7, 1, 0)]
-
-
-@query(_expected(_RUNS, "output, passed, failed, skipped"))
-def test_counts(spark, d):
-    return literal(spark, [(r[0],) for r in _RUNS], "output string").withColumn("c", R.test_counts(F.col("output"))).select("output", "c.passed", "c.failed", "c.skipped")
-
-
 def _stream(spark, d):
     return E.source(spark, f"{d}/events.parque[t]", read(spark, d, "events").schema)
 
@@ -53,18 +18,35 @@ def tumbling_windows(spark, d):
     return E.finished(E.tumbling(_stream(spark, d), "1 day", "1 hour"))
 
 
+@query("""WITH w AS (SELECT unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS start, event_type FROM events) SELECT start, event_type, count(*) AS n FROM w GROUP BY ALL""")
+def sliding_windows(spark, d):
+    """Extension: days that begin every twelve hours, over the stream."""
+    return E.finished(E.sliding(_stream(spark, d), "1 day", "12 hours", "1 hour"))
+
+
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL '6 hours' THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def session_windows(spark, d):
-    """Extension: sessions by user without a pause of six hours."""
-    return E.sessions(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "6 hours")
+    """Extension: sessions by user without a pause of six hours, over the stream."""
+    return E.finished(E.sessions(_stream(spark, d).withWatermark("ts", "1 hour"), "6 hours"))
+
+
+_TEMPLATE = "regexp_replace(regexp_replace(regexp_replace(line, '[0-9]{4}-[0-9]{2}-[0-9]{2}', '<date>', 'g'), '[0-9]{2}:[0-9]{2}:[0-9]{2}', '<time>', 'g'), '=[0-9]+', '=<n>', 'g')"
 
 
-@query("""SELECT 'x' AS key, 0 AS n WHERE false UNION ALL SELECT event_type, count(*) FROM events GROUP BY event_type""")
+@query(f"""WITH l AS (SELECT event_id, event_type, {EVENT_LINE_SQL} AS line FROM events)
+  SELECT {_TEMPLATE} AS key, count(*) AS n, CASE WHEN event_type = 'error' THEN 2 ELSE 0 END AS rank, arg_min(line, event_id) AS sample, min(event_id) AS first_seen, max(event_id) AS last_seen FROM l GROUP BY key, event_type""")
 def tail_stream(spark, d):
-    """A followed log, reduced: lines by kind."""
-    rows = _stream(spark, d).withColumn("line", F.upper("event_type"))
-    return E.finished(E.reduce_log(rows, F.col("line"), "event_id")).select(F.lower("key").alias("key"), "n")
+    """A followed log, reduced: each template's lines, worst severity with its first line, first and last place."""
+    rows = _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("line", event_line())
+    return E.finished(E.reduce_log(rows, F.col("line"), "event_id"))
+
+
+@query("""WITH x AS (SELECT event_id, (SELECT max(ts) FROM events) - ts AS age FROM events) SELECT event_id, CASE WHEN age <= INTERVAL 60 SECONDS THEN 'fresh' WHEN age <= INTERVAL 300 SECONDS THEN 'stale' ELSE 'expired' END AS state FROM x""")
+def cache_freshness(spark, d):
+    """What may still be used of cached rows, by their age before the newest."""
+    rows = read(spark, d, "events")
+    return rows.join(F.broadcast(rows.agg(F.max("ts").alias("now")))).select("event_id", E.freshness(F.col("ts"), F.col("now")).alias("state"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),

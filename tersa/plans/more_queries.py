@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rules as R
-from ..sources.tables import lines, literal, read, values_sql
+from ..sources.tables import lines, read
 from .registry import query
 
-_KINDS = [("npm test", "", "test"), ("tsc -p .", "", "build"), ("eslint src", "", "lint"), ("./run", "3 passed, 1 failed", "test"), ("./run", "passed", "generic"), ("ls", "a b", "generic")]
-
-
-@query(f"SELECT command, output, kind FROM {values_sql(_KINDS, 'command, output, kind')}")
-def command_kinds(spark, d):
-    return literal(spark, [k[:2] for k in _KINDS], "command string, output string").withColumn("kind", R.command_kind(F.col("command"), F.col("output")))
-
-
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY event_type")
 def recent_events(spark, d):
     """Events of the last week before the newest."""
@@ -49,35 +41,15 @@ def binding_usage(spark, d):
     return read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("binding")).agg(F.count("*").alias("uses")).orderBy(F.desc("uses"), "binding").limit(50)
 
 
-_COMMANDS = [("npm run test", "npm"), ("CI=1 A=b /usr/bin/node x.js", "node"), ("git status", "git"), ("  ls -l", "ls")]
-
-
-@query(f"SELECT command, tool FROM {values_sql(_COMMANDS, 'command, tool')}")
-def tool_usage(spark, d):
-    return literal(spark, [(c[0],) for c in _COMMANDS], "command string").withColumn("tool", R.tool_of(F.col("command")))
-
-
 @query("SELECT doc_id, pos FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos, len(string_split(text, chr(10))) AS n FROM documents) WHERE pos > n - 3")
 def tail_lines(spark, d):
     return R.tail(lines(read(spark, d, "documents")), "doc_id", "pos", 3).select("doc_id", "pos")
 
 
-@query("SELECT * FROM (VALUES ('core', ['app', 'ui']), ('ui', ['app'])) v(dep, depended_on_by)")
-def internal_dependencies(spark, d):
-    deps = literal(spark, [("app", "core"), ("app", "ui"), ("ui", "core"), ("ui", "lodash")], "name string, dep string")
-    return R.internal(deps, literal(spark, [("app",), ("core",), ("ui",)], "name string"))
-
-
-@query("""SELECT o_orderpriority, bool_or(o_orderstatus = 'F') AS fixes, bool_or(o_orderstatus = 'X') AS features, bool_or(o_orderstatus = 'P') AS refactors, false AS documents FROM orders GROUP BY o_orderpriority""")
-def change_flags(spark, d):
-    title = F.create_map(F.lit("F"), F.lit("Fix it"), F.lit("P"), F.lit("refactor it"), F.lit("O"), F.lit("other"))
-    return R.change_flags(read(spark, d, "orders"), "o_orderpriority", F.element_at(title, F.col("o_orderstatus")))
-
-
-@query("""SELECT a.l_orderkey, count(*) AS pairs FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_shipdate <= b.l_shipdate + INTERVAL 30 DAYS AND b.l_shipdate <= a.l_shipdate + INTERVAL 30 DAYS GROUP BY a.l_orderkey""")
+@query("""SELECT a.l_orderkey, count(*) FILTER (NOT (a.l_shipdate <= b.l_shipdate + INTERVAL 30 DAYS AND b.l_shipdate <= a.l_shipdate + INTERVAL 30 DAYS)) AS apart, count(*) AS pairs FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY a.l_orderkey""")
 def overlapping_ranges(spark, d):
-    """Lines of one order whose 30 days from shipping overlap (an order holds a few lines)."""
+    """Of the pairs of lines of one order, those whose 30 days from shipping do not overlap (an order holds a few lines)."""
     rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", (F.col("l_shipdate") + F.expr("INTERVAL 30 DAYS")).alias("until"))
     a, b = (rows.select("l_orderkey", *(F.col(c).alias(f"{x}_{c}") for c in ("l_linenumber", "l_shipdate", "until"))) for x in "ab")
     near = R.overlaps(F.col("a_l_shipdate"), F.col("a_until"), F.col("b_l_shipdate"), F.col("b_until"))
-    return a.join(b, "l_orderkey").where((F.col("a_l_linenumber") < F.col("b_l_linenumber")) & near).groupBy("l_orderkey").agg(F.count("*").alias("pairs"))
+    return a.join(b, "l_orderkey").where(F.col("a_l_linenumber") < F.col("b_l_linenumber")).groupBy("l_orderkey").agg(F.count(F.when(~near, 1)).alias("apart"), F.count("*").alias("pairs"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
-from ..operators import audit as A, classify as C, graph as G, history as H, stats as S
-from ..sources.tables import literal, read, values_sql
+from ..operators import audit as A, graph as G, history as H, stats as S
+from ..sources.tables import read
 from .registry import query
 
 
@@ -45,40 +45,6 @@ def cache_eviction(spark, d):
     return H.evict(rows, "user_id", "event_id", "bytes", 200).select("user_id", "event_id")
 
 
-_COMMITS = [
-    ("feat(core): add parser", "feat", "core", 0), ("fix!: drop old api", "fix", None, 1), ("Fix crash on load", "fix", None, 0), ("Add feature flags", "feat", None, 0), ("refactor things", "refactor", None, 0), ("Update README", "feat", None, 0), ("docs: typo", "docs", None, 0), ("bump deps", "chore", None, 0),
-    ("misc", "other", None, 0), ("BREAKING: remove x", "breaking", None, 1), ("optimise loop", "perf", None, 0), ("test more", "test", None, 0),
-]
-
-
-@query(f"SELECT subject, type, scope, breaking = 1 AS breaking FROM {values_sql(_COMMITS, 'subject, type, scope, breaking')}")
-def commit_parse(spark, d):
-    subject = F.col("subject")
-    scope = F.regexp_extract(subject, C.CONVENTIONAL, 3)
-    return literal(spark, [(c[0],) for c in _COMMITS], "subject string").select("subject", C.commit_type(subject).alias("type"), F.when(scope != "", scope).alias("scope"), C.breaking(subject, F.lit(None).cast("string")).alias("breaking"))
-
-
-@query("SELECT 'major' AS bump")
-def version_bump(spark, d):
-    return H.bump(commit_parse(spark, d))
-
-
-_TAGS = [("0.9.0", 1), ("0.10.0-alpha", 2), ("0.10.0-alpha.1", 3), ("0.10.0-beta.2", 4), ("v0.10.0-beta.11", 5), ("0.10.0-rc.1", 6), ("0.10.0", 7), ("1.0.0", 8)]
-
-
-@query(f"SELECT tag, rank::INT AS rank FROM {values_sql(_TAGS, 'tag, rank')}")
-def semver_order(spark, d):
-    tags = literal(spark, [(t,) for t, _ in reversed(_TAGS)] + [("latest",)], "tag string").withColumn("key", C.semver(F.col("tag"))).where("key is not null")
-    return tags.withColumn("rank", F.row_number().over(W.orderBy("key"))).select("tag", "rank")
-
-
-@query("SELECT '0.10.0-rc.1' AS previous")
-def previous_tag(spark, d):
-    """The highest tag strictly below 0.10.0."""
-    key = C.semver(F.col("tag"))
-    return literal(spark, [(t,) for t, _ in _TAGS], "tag string").where(key < C.semver(F.lit("0.10.0"))).agg(F.max_by("tag", key).alias("previous"))
-
-
 _PARTS = "e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"
 
 
@@ -181,27 +147,7 @@ def url_policy(spark, d):
     return read(spark, d, "pages").select("page_id", F.lower(F.regexp_extract(url, "^https?://([^/:?#]+)", 1)).alias("host"), A.api_like(url).alias("api_like"), F.regexp_replace(url, "[?#].*$", "").alias("canonical"))
 
 
-_REQUESTS = [("review the pr", "pr-review"), ("fix the failing test", "debug"), ("close issue 12", "github-issue"), ("rename a function", "refactor"), ("understand the codebase", "onboard"), ("add a button", "feature"), ("where is the parser", "search"), ("triage and review issues", "github-issue"), ("hello", None)]
-
-
-@query(f"SELECT request, intent FROM {values_sql(_REQUESTS, 'request, intent')}")
-def intent_route(spark, d):
-    return literal(spark, [(r[0],) for r in _REQUESTS], "request string").select("request", F.get(C.intents(F.col("request")), F.lit(0)).alias("intent"))
-
-
-@query("""SELECT p_brand AS name, count(*) FILTER (regexp_matches(p_name, '^[a-z]+ [a-z]+$')) AS spaced, count(*) FILTER (regexp_matches(p_type, '^[A-Z]+$')) AS upper_types, max(p_size)::INT AS widest FROM part GROUP BY p_brand""")
-def style_counts(spark, d):
-    """Naming conventions by group."""
-    return read(spark, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.sum(F.col("p_name").rlike("^[a-z]+ [a-z]+$").cast("bigint")).alias("spaced"), F.sum(F.col("p_type").rlike("^[A-Z]+$").cast("bigint")).alias("upper_types"), F.max("p_size").alias("widest"))
-
-
 @query("""SELECT event_type AS name, count(*) AS n, sum((props->>'k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type""")
 def json_usage(spark, d):
     """Records parsed from JSON, by kind."""
     return read(spark, d, "events").select(F.col("event_type").alias("name"), F.from_json("props", "k bigint").alias("p")).groupBy("name").agg(F.count("*").alias("n"), F.sum("p.k").alias("k"))
-
-
-@query("""SELECT l_suppkey AS name, list_sort(list(DISTINCT l_returnflag)) AS files, bool_or(l_linestatus = 'O') AS required FROM lineitem GROUP BY l_suppkey""")
-def env_usage(spark, d):
-    """Where each variable is used, and whether it is required."""
-    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("name")).agg(F.sort_array(F.collect_set("l_returnflag")).alias("files"), F.bool_or(F.col("l_linestatus") == "O").alias("required"))

@@ -5,33 +5,71 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import audit as A, budget as B, logs as L
-from ..sources.tables import EVENT_LINE_SQL, event_line, lines, literal, read, values_sql
+from ..operators import audit as A, budget as B, code as K, logs as L, rules as R
+from ..sources.tables import EVENT_LINE_SQL, event_line, lines, read
+from . import project as P
 from .registry import query
 
-# conversations stand in for a session: a turn's number says which tool it was
-_TOOL = "CASE WHEN turn % 4 = 0 THEN 'read-large-file' WHEN turn % 4 = 2 THEN 'build-test-output' ELSE 'webfetch' END"
-_PAIRS = """SELECT * FROM (SELECT conv_id, turn, role, text AS call, lead(role) OVER w AS result_role, lead(text) OVER w AS result
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND result_role = 'assistant'"""
-_SHARE = "CASE category WHEN 'read-large-file' THEN 0.20::DOUBLE WHEN 'build-test-output' THEN 0.35::DOUBLE ELSE 0.30::DOUBLE END"
-_FOUND = f"""found AS (SELECT *, round(actual_tokens * (1 - {_SHARE}))::BIGINT AS saved_tokens FROM
-  (SELECT conv_id, turn, {_TOOL} AS category, ceil(length(result) / 4.0)::BIGINT AS actual_tokens FROM ({_PAIRS}) WHERE length(result) >= 500))"""
+# documents stand in for calls: a document's length says which tool was called with what, and its text, twice, is the result
+_NON_CODE = ", ".join(f"'{x}'" for x in A.NON_CODE)
+_ARGUMENTS = {
+    0: ["src/~k~.py", "docs/~k~.md", "src/~k~.go", "a/~k~.json", "b/~k~.rs", "Makefile"],
+    1: ["npm run test", "tail -n 5 a.log", "cat src/~k~.py", "cat README.md", "head -5 ~k~.c", "curl https://example.com/~k~"],
+    2: ["cd x && pytest -q", "ls; tail x", "cat -n ~k~.go", "curl https://api.example.com/v1", "curl -X POST https://example.com", "tl-diff ~k~"],
+    3: ["https://example.com/~k~"] * 6,
+    4: ["cat a ~k~", "npm test", "tail x", "x", "y", "z"],
+}
+_TOOLS = ("Read", "Bash", "Shell", "WebFetch", "Other")
+_CALLS = f"""calls AS (SELECT doc_id AS k, lang AS provider, ['{"', '".join(_TOOLS)}'][n_chars % 5 + 1] AS tool,
+  CASE {" ".join(f"WHEN n_chars % 5 = {t} AND (n_chars // 5) % 6 = {i} THEN {P.fill_sql(x).replace(' k ', ' doc_id ').replace('|| k', '|| doc_id')}" for t, own in _ARGUMENTS.items() for i, x in enumerate(own))} END AS argument, text || chr(10) || text AS result FROM documents)"""
+_EXT = "CASE WHEN contains({0}, '.') THEN lower(string_split({0}, '.')[-1]) ELSE '' END"
+_LARGE = "len(string_split(result, chr(10))) > 150"
+_FOUND = f"""{_CALLS}, judged AS (SELECT *, CASE
+    WHEN tool = 'Read' THEN CASE WHEN {_LARGE} AND {_EXT.format('argument')} NOT IN ({_NON_CODE}) THEN 'read-large-file' END
+    WHEN tool IN ('Bash', 'Shell') THEN CASE
+      WHEN regexp_matches(argument, '(^|[^a-z])(npm (run )?test|pytest)($| )') THEN 'build-test-output'
+      WHEN regexp_matches(argument, '(^|; )tail ') THEN 'tail-command'
+      WHEN regexp_matches(argument, '^cat [^|]') THEN CASE WHEN {_LARGE} AND {_EXT.format("regexp_extract(argument, '[^ ]+$')")} NOT IN ({_NON_CODE}) THEN 'cat-large-file' END
+      WHEN starts_with(argument, 'head ') THEN 'head-command'
+      WHEN starts_with(argument, 'curl https://example.com/') THEN 'curl-command' END
+    WHEN tool = 'WebFetch' THEN 'webfetch' END AS category, ceil(length(result) / 4.0)::BIGINT AS actual_tokens FROM calls WHERE length(result) >= 500),
+  found AS (SELECT *, round(actual_tokens * (1 - CASE category WHEN 'read-large-file' THEN 0.20::DOUBLE WHEN 'cat-large-file' THEN 0.20 WHEN 'build-test-output' THEN 0.35 WHEN 'head-command' THEN 0.80 ELSE 0.30 END))::BIGINT AS saved_tokens FROM judged WHERE category IS NOT NULL)"""
+_SUGGEST = "CASE category WHEN 'read-large-file' THEN 'symbols + snippet' WHEN 'cat-large-file' THEN 'symbols + snippet' WHEN 'build-test-output' THEN 'run' WHEN 'tail-command' THEN 'tail' WHEN 'head-command' THEN 'bounded read' ELSE 'browse' END"
+
+
+def _calls(spark, d):
+    """k, provider, tool, argument, result of every document."""
+    rows = read(spark, d, "documents").withColumn("k", F.col("doc_id"))
+    tool, command = F.col("n_chars") % 5, F.floor(F.col("n_chars") / 5) % 6
+    argument = F.coalesce(*(F.when((tool == t) & (command == i), P.fill(x)) for t, own in _ARGUMENTS.items() for i, x in enumerate(own)))
+    return rows.select("k", F.col("lang").alias("provider"), F.element_at(F.array(*map(F.lit, _TOOLS)), (tool + 1).cast("int")).alias("tool"), argument.alias("argument"), F.concat("text", F.lit("\n"), "text").alias("result"))
 
 
 def _found(spark, d):
-    calls = A.pair(read(spark, d, "conversations")).where(F.length("result") >= A.SIGNIFICANT)
-    tool = F.when(F.col("turn") % 4 == 0, "read-large-file").when(F.col("turn") % 4 == 2, "build-test-output").otherwise("webfetch")
-    return A.price(calls.withColumn("category", tool), X.token_estimate(F.col("result")))
+    return A.findings(_calls(spark, d), F.col("tool"), F.col("argument"), F.col("result"))
 
 
-@query(f"WITH {_FOUND} SELECT conv_id, turn, category, actual_tokens, saved_tokens, actual_tokens - saved_tokens AS estimated_tokens FROM found")
+@query(f"WITH {_FOUND} SELECT k, tool, category, actual_tokens, saved_tokens, actual_tokens - saved_tokens AS estimated_tokens FROM found")
 def audit_findings(spark, d):
-    return _found(spark, d).select("conv_id", "turn", "category", "actual_tokens", "saved_tokens", "estimated_tokens")
+    """Calls that a better tool would have made smaller, by the first rule that each breaks."""
+    return _found(spark, d).select("k", "tool", "category", "actual_tokens", "saved_tokens", "estimated_tokens")
 
 
-@query(f"WITH {_FOUND} SELECT coalesce(category, 'total') AS category, count(*) AS n, sum(actual_tokens)::BIGINT AS actual_tokens, sum(saved_tokens)::BIGINT AS saved_tokens FROM found GROUP BY ROLLUP (category)")
+@query(f"WITH {_FOUND} SELECT coalesce(category, 'total') AS category, count(*) AS n, sum(actual_tokens)::BIGINT AS actual_tokens, sum(saved_tokens)::BIGINT AS saved_tokens, arg_min({_SUGGEST}, k) AS suggestion FROM found GROUP BY ROLLUP (category)")
 def audit_by_category(spark, d):
-    return A.by_category(_found(spark, d)).withColumn("category", F.coalesce("category", F.lit("total")))
+    return A.by_category(_found(spark, d), "k").withColumn("category", F.coalesce("category", F.lit("total")))
+
+
+@query(f"WITH {_FOUND} SELECT coalesce(provider, 'all') AS provider, category, count(*) AS n, sum(saved_tokens)::BIGINT AS saved_tokens FROM found GROUP BY GROUPING SETS ((provider, category), (category))")
+def audit_by_provider(spark, d):
+    sets = _found(spark, d).groupingSets([["provider", "category"], ["category"]], "provider", "category").agg(F.count("*").alias("n"), F.sum("saved_tokens").alias("saved_tokens"))
+    return sets.select(F.coalesce("provider", F.lit("all")).alias("provider"), "category", "n", "saved_tokens")
+
+
+@query("""SELECT conv_id, turn, sha1(result) AS digest FROM (SELECT conv_id, turn, role, lead(role) OVER w AS result_role, lead(text) OVER w AS result FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND result_role = 'assistant'""")
+def call_pairs(spark, d):
+    """Turns of users with the answer that follows them."""
+    return A.pair(read(spark, d, "conversations")).select("conv_id", "turn", F.sha1("result").alias("digest"))
 
 
 @query("""SELECT role, count(*) AS n, sum(ceil(length(text) / 4.0)::BIGINT)::BIGINT AS tokens, round(avg(length(text)), 4)::DOUBLE AS mean_chars FROM conversations GROUP BY role""")
@@ -53,26 +91,33 @@ def capture_rate(spark, d):
     return _found(spark, d).agg(F.sum("saved_tokens").alias("saveable")).withColumn("capture_rate", A.capture_rate(F.lit(10000), F.col("saveable")))
 
 
-_CALLS = [
-    ("Bash", "npm run test", 900, "bash-test"), ("Bash", "cd a && pytest -x", 10, "bash-test"), ("Bash", "tail -f log", 10, "bash-tail"), ("Bash", "cat src/a.py", 10, "bash-cat"), ("Bash", "cat README.md", 10, "bash-cat-non-code"),
-    ("Bash", "head -5 a.c", 10, "bash-head"), ("Bash", "curl https://example.com/page", 10, "bash-curl"), ("Bash", "curl -X POST https://example.com/page", 10, None), ("Bash", "curl https://api.example.com/v1", 10, None),
-    ("Bash", "tl run x", 10, None), ("Bash", "ls", 10, None), ("Read", "src/big.py", 90000, "read-large"), ("Read", "notes.md", 90000, None), ("Read", "src/small.py", 100, None), ("WebFetch", "https://example.com", 0, "webfetch"), ("Other", "x", 0, None),
-]
+@query(f"""WITH {_CALLS} SELECT k, CASE WHEN tool = 'Read' THEN CASE WHEN {_EXT.format('argument')} NOT IN ({_NON_CODE}) AND length(result) > 20000 THEN 'read-large' END
+    WHEN tool IN ('Bash', 'Shell') THEN CASE WHEN regexp_matches(argument, '^ *tl[ -]') THEN NULL WHEN regexp_matches(argument, '(^|[^a-z])(npm (run )?test|pytest)($| )') THEN 'bash-test' WHEN regexp_matches(argument, '(^|; )tail ') THEN 'bash-tail'
+      WHEN argument = 'cat README.md' THEN 'bash-cat-non-code' WHEN starts_with(argument, 'cat ') THEN 'bash-cat' WHEN starts_with(argument, 'head ') THEN 'bash-head' WHEN starts_with(argument, 'curl https://example.com/') THEN 'bash-curl' END
+    WHEN tool = 'WebFetch' THEN 'webfetch' END AS decision FROM calls""")
+def policy_decision(spark, d):
+    """The nudge before each call."""
+    return _calls(spark, d).select("k", A.policy(F.col("tool"), F.col("argument"), F.length("result")).alias("decision"))
 
 
-@query(f"SELECT tool, argument, decision FROM {values_sql(_CALLS, 'tool, argument, size, decision')}")
-def policy_decision(spark, d):
-    calls = literal(spark, [c[:3] for c in _CALLS], "tool string, argument string, size long")
-    return calls.select("tool", "argument", A.policy(F.col("tool"), F.col("argument"), F.col("size")).alias("decision"))
+@query(f"""WITH {_CALLS} SELECT k, CASE WHEN regexp_matches(argument, '(^|[^a-z])(npm (run )?test|pytest)($| )') THEN 'run "' || argument || '"' WHEN starts_with(argument, 'curl https://example.com/') THEN 'browse "' || substr(argument, 6) || '"' END AS rewritten FROM calls WHERE tool IN ('Bash', 'Shell')""")
+def rewritten_commands(spark, d):
+    """What should be run instead."""
+    return _calls(spark, d).where("tool in ('Bash', 'Shell')").select("k", R.rewritten(F.col("argument")).alias("rewritten"))
 
 
-_SAVED = [("tl-run npm test", 350, "tl-run", 1000, 650), ("tl-symbols a.js", 20, "tl-symbols", 100, 80), ("x && tl-diff", 40, "tl-diff", 100, 60)]
+@query(f"""WITH {_CALLS} SELECT k, unnest([0, 1])::INT AS nth, unnest(['', CASE WHEN contains(argument, '&&') THEN '&&' ELSE ';' END]) AS op, unnest(CASE WHEN contains(argument, '&&') THEN ['cd x', 'pytest -q'] ELSE ['ls', 'tail x'] END) AS segment FROM calls WHERE argument IN ('cd x && pytest -q', 'ls; tail x')""")
+def command_chains(spark, d):
+    """The segments of commands that are chains."""
+    calls = _calls(spark, d).withColumn("lang", F.lit("shell"))
+    return K.scan(calls, "chains", "k", "argument").select(F.col("path").cast("bigint").alias("k"), "nth", "op", "segment")
 
 
-@query(f"SELECT tool, actual_tokens::BIGINT AS actual_tokens, raw_tokens::BIGINT AS raw_tokens, saved_tokens::BIGINT AS saved_tokens FROM {values_sql(_SAVED, 'command, actual_tokens, tool, raw_tokens, saved_tokens')}")
+@query(f"""WITH {_CALLS}, s AS (SELECT ceil(length(result) / 4.0)::BIGINT AS t FROM calls WHERE starts_with(argument, 'tl-diff ') AND tool = 'Shell') SELECT 'tl-diff' AS tool, count(*) AS n, sum(t)::BIGINT AS actual_tokens, sum(round(t / 0.40::DOUBLE)::BIGINT)::BIGINT AS raw_tokens, sum(round(t / 0.40::DOUBLE)::BIGINT - t)::BIGINT AS saved_tokens FROM s HAVING count(*) > 0""")
 def savings_by_tool(spark, d):
-    calls = literal(spark, [c[:2] for c in _SAVED] + [("tl-unknown x", 5), ("ls", 5)], "command string, tokens long")
-    return A.savings(calls, F.col("command"), F.col("tokens")).select("tool", "actual_tokens", "raw_tokens", "saved_tokens")
+    """What calls of reducing tools already saved."""
+    saved = A.savings(_calls(spark, d), F.col("argument"), X.token_estimate(F.col("result")))
+    return saved.groupBy("tool").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("actual_tokens", "raw_tokens", "saved_tokens")))
 
 
 _TEMPLATE = """regexp_replace(regexp_replace(regexp_replace(line, '[0-9]{4}-[0-9]{2}-[0-9]{2}', '<date>', 'g'), '[0-9]{2}:[0-9]{2}:[0-9]{2}', '<time>', 'g'), '=[0-9]+', '=<n>', 'g')"""
@@ -121,23 +166,47 @@ def head_tail(spark, d):
     return B.head_tail(lines(read(spark, d, "documents")), "doc_id", "pos", 6).select("doc_id", "pos")
 
 
-@query(f"""WITH {_LINES}, s AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id) AS n, length(line) % 7 AS score FROM l),
+_SCORE = "CASE WHEN trim(line) = '' THEN -1 ELSE " + " + ".join(f"(CASE WHEN regexp_matches(trim(line), '{B.edged(p, i).replace(chr(39), chr(39) * 2)}') THEN {w} ELSE 0 END)" for p, i, w in B.LINE_RULES) + f" + (CASE WHEN regexp_matches(trim(line), '[^ \\t]+:[0-9]+') AND regexp_matches(trim(line), '{B.edged(chr(92) + 'b(error|warn|fail)', True)}') THEN 2 ELSE 0 END) - (CASE WHEN regexp_matches(line, '^[ \\t]*at ') THEN 1 ELSE 0 END) END"
+
+
+@query(f"WITH {_LINES} SELECT ({_SCORE})::INT AS score, count(*) AS n FROM l GROUP BY 1")
+def line_scores(spark, d):
+    """How many lines tell how much."""
+    return lines(read(spark, d, "documents")).groupBy(B.line_score(F.col("line")).alias("score")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_LINES}, s AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id) AS n, {_SCORE} AS score FROM l),
    p AS (SELECT *, CASE WHEN pos <= 5 THEN 'head' WHEN pos > n - 5 THEN 'tail' ELSE 'middle' END AS part FROM s),
    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY score DESC, pos) AS best FROM p)
   SELECT doc_id, pos, part FROM r WHERE n <= 16 OR part <> 'middle' OR best <= 3""")
 def smart_budget(spark, d):
-    """Head, tail and the best of the middle within 16 lines (a line's length stands in for its score)."""
-    return B.smart(lines(read(spark, d, "documents")), "doc_id", "pos", F.length("line") % 7, 16).select("doc_id", "pos", "part")
+    """Head, tail and the lines of the middle that tell most, within 16 lines."""
+    return B.smart(lines(read(spark, d, "documents")), "doc_id", "pos", B.line_score(F.col("line")), 16).select("doc_id", "pos", "part")
 
 
-_SCORED = [
-    ("Error: no such file", 5), ("warning: deprecated call", 4), ("all good", 0), ("", -1), ("PASS 12 of 12", 2), ("## Summary", 2), ("Total: 5", 1), ("src/a.js:10 error here", 5), ("[DEBUG x", -1), ("    at foo (x)", -1), ("✓ works", 2), ("42% done", 1), ("connection refused", 2), ("Result:", 2),
-]
+@query(f"""WITH {_LINES}, n AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id) AS n FROM l) SELECT doc_id, pos FROM n WHERE n <= 10 OR pos <= 6 OR pos > n - 4""")
+def truncated_output(spark, d):
+    """The first 60 % and the last 40 % of ten lines."""
+    return B.head_tail(lines(read(spark, d, "documents")), "doc_id", "pos", 10, 0.6).select("doc_id", "pos")
 
 
-@query(f"SELECT line, score::INT AS score FROM {values_sql(_SCORED, 'line, score')}")
-def line_scores(spark, d):
-    return literal(spark, [(x[0],) for x in _SCORED], "line string").withColumn("score", B.line_score(F.col("line")))
+@query("SELECT doc_id, sha1(CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 90) || chr(10) || '...' || chr(10) || right(text, 110) END) AS digest FROM documents")
+def sampled_text(spark, d):
+    """The first 45 % and the last 55 % of 200 characters."""
+    return read(spark, d, "documents").select("doc_id", F.sha1(B.sampled_chars(F.col("text"), 200)).alias("digest"))
+
+
+_OUTPUT = "o AS (SELECT doc_id // 10 AS run, doc_id * 100000 + pos AS place, line FROM l)"
+
+
+@query(f"""WITH {_LINES}, {_OUTPUT}, n AS (SELECT *, run % 2 = 0 AS failed, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY place) AS k FROM o),
+   p AS (SELECT *, CASE WHEN n <= CASE WHEN failed THEN 250 ELSE 150 END THEN 'all' WHEN k <= CASE WHEN failed THEN 40 ELSE 25 END THEN 'head' WHEN k > n - CASE WHEN failed THEN 40 ELSE 25 END THEN 'tail'
+     WHEN regexp_matches(line, CASE WHEN failed THEN '{R.FAILED_LINE}' ELSE '{R.PASSED_LINE}' END) THEN 'diagnostic' END AS part FROM n),
+   r AS (SELECT *, row_number() OVER (PARTITION BY run, part ORDER BY place) AS nth FROM p WHERE part IS NOT NULL) SELECT run, place, part FROM r WHERE part <> 'diagnostic' OR nth <= CASE WHEN failed THEN 25 ELSE 15 END""")
+def output_summary(spark, d):
+    """What is shown of long outputs (ten documents each; every other run failed)."""
+    rows = lines(read(spark, d, "documents")).select(F.floor(F.col("doc_id") / 10).alias("run"), (F.col("doc_id") * 100000 + F.col("pos")).alias("place"), "line")
+    return R.output_summary(rows, "run", "place", "line", F.col("run") % 2 == 0)
 
 
 _REGIONS = """e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS last FROM events),

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
@@ -25,6 +28,12 @@ def tumbling(rows: DataFrame, width: str, late: str) -> DataFrame:
     return sums.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
+def sliding(rows: DataFrame, width: str, step: str, late: str) -> DataFrame:
+    """start, event_type, n of each window that begins every ``step``."""
+    sums = rows.withWatermark("ts", late).groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n"))
+    return sums.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 def sessions(rows: DataFrame, gap: str) -> DataFrame:
     """user_id, start, end, n of events without a pause of ``gap``."""
     sums = rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
@@ -32,8 +41,24 @@ def sessions(rows: DataFrame, gap: str) -> DataFrame:
 
 
 def reduce_log(rows: DataFrame, line, pos: str) -> DataFrame:
-    """key, n, worst severity rank, first and last position of each template."""
-    return rows.groupBy(X.log_template(line).alias("key")).agg(F.count("*").alias("n"), F.max(X.severity_rank(X.severity(line))).alias("rank"), F.min(pos).alias("first_seen"), F.max(pos).alias("last_seen"))
+    """key, n, worst severity rank, the first line of that severity, first and last position of each template."""
+    rank = X.severity_rank(X.severity(line))
+    sums = rows.groupBy(X.log_template(line).alias("key")).agg(F.count("*").alias("n"), F.max(rank).alias("rank"), F.min(F.struct(-rank, F.col(pos), X.shorten(line).alias("line"))).alias("s"), F.min(pos).alias("first_seen"), F.max(pos).alias("last_seen"))
+    return sums.select("key", "n", "rank", F.col("s.line").alias("sample"), "first_seen", "last_seen")
+
+
+#: Seconds for which a cached row is fresh, and for which it may be used.
+FRESH, USABLE = 60, 300
+
+
+def freshness(made, now):
+    """fresh, stale or expired."""
+    return F.when(now - made <= F.expr(f"INTERVAL {FRESH} SECONDS"), "fresh").when(now - made <= F.expr(f"INTERVAL {USABLE} SECONDS"), "stale").otherwise("expired")
+
+
+def still_valid(kept_head, head, kept_files, files, age):
+    """Whether a cached result still holds: same commit and same changed files or, without a commit, an age of USABLE seconds at most."""
+    return F.when(head.isNotNull(), kept_head.eqNullSafe(head) & kept_files.eqNullSafe(files)).otherwise(age <= USABLE)
 
 
 def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
@@ -49,17 +74,28 @@ def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def _expiring(ttl: float) -> Callable:
+    """Each key's rows come in order; from one that is let through the next is searched, not awaited."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        key, emitted = None, None
+        key, free, started = None, None, False
         for batch in batches:
-            keep = []
-            for k, ts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if k != key:
-                    key, emitted = k, None
-                keep.append(emitted is None or (ts - emitted).total_seconds() >= ttl)
-                if keep[-1]:
-                    emitted = ts
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            times = np.asarray(pc.cast(batch.column(1), pa.timestamp("us"))).astype("datetime64[us]").astype(np.int64)
+            codes = batch.column(0).dictionary_encode()
+            cuts = [0, *(np.nonzero(np.diff(np.asarray(codes.indices.fill_null(-1))))[0] + 1).tolist(), batch.num_rows]
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for a, b in itertools.pairwise(cuts):
+                own = batch.column(0)[a].as_py()
+                if started and own != key:
+                    free = None
+                key, started = own, True
+                at = a if free is None else a + int(np.searchsorted(times[a:b], free))
+                while at < b:
+                    keep[at] = True
+                    free = times[at] + int(ttl * 1_000_000)
+                    at = a + int(np.searchsorted(times[a:b], free))
+            yield batch.filter(pa.array(keep))
 
     return run
 
