@@ -35,6 +35,33 @@ def skipped(name: Column) -> Column:
     return name.startswith(".") | X.extension(name).isin(SKIPPED_EXTENSIONS) | name.rlike("[.]min[.](js|css)$")
 
 
+#: Names that matter in a listing, and endings of files that hold no text.
+IMPORTANT = "README.md package.json tsconfig.json Cargo.toml go.mod pyproject.toml Makefile Dockerfile index.js index.ts main.py main.go".split()
+BINARY_EXTENSIONS = "png jpg jpeg gif bmp ico webp mp3 wav mp4 mov zip gz tgz bz2 xz 7z tar woff woff2 ttf otf eot pdf wasm exe dll so bin dat db sqlite class o a pyc".split()
+#: Control characters are binary from this many and this share of a text; larger files are passed over.
+CONTROL_LEAST, CONTROL_SHARE, CONTROL_BYTES = 5, 0.02, 5 << 20
+CONTROL_CLASS = "[\\x00-\\x08\\x0e-\\x1f]"
+
+
+def important(name: Column) -> Column:
+    return name.isin(IMPORTANT)
+
+
+def binary(path: Column) -> Column:
+    return X.extension(path).isin(BINARY_EXTENSIONS)
+
+
+def control_mark(path: Column, content: Column) -> Column:
+    """offset and name of the first control character of a text that is none of a binary; null without one."""
+    n = F.regexp_count(content, F.lit(CONTROL_CLASS))
+    size = F.octet_length(content)
+    offset = F.octet_length(F.regexp_extract(content, f"(?s)^(.*?){CONTROL_CLASS}", 1))
+    code = F.ascii(F.regexp_extract(content, f"({CONTROL_CLASS})", 1))
+    name = F.when(code == 0, "NUL").when(code == 27, "ESC").otherwise(F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(code.cast("bigint"))), 2, "0")))
+    told = (n > 0) & ~((n >= CONTROL_LEAST) & (n / size > CONTROL_SHARE)) & (size <= CONTROL_BYTES) & ~binary(path)
+    return F.when(told, F.struct(offset.alias("offset"), name.alias("name")))
+
+
 def sensitive(path: Column) -> Column:
     return path.rlike("(^|/)([.]env([.][^/]*)?|id_rsa[^/]*|credentials[^/]*)$|[.](pem|key|p12|pfx)$")
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .audit import START, api_like, api_options, build_or_test, http_url
-from .classify import file_category, first_match, language, skipped
+from .classify import file_category, first_match, language, semver, skipped
 
 
 def padded(rows: DataFrame, columns: list[str], within: str) -> DataFrame:
@@ -325,3 +325,30 @@ def release_sections(changes: DataFrame, title: str, since_cutoff: Column) -> Da
     """section, n, place: changes since the cutoff, by section of release notes, in the sections' order."""
     rows = changes.where(since_cutoff).groupBy(section(F.col(title)).alias("section")).agg(F.count("*").alias("n"))
     return rows.withColumn("place", F.array_position(F.array(*(F.lit(name) for name, _ in SECTIONS)), F.col("section")).cast("int"))
+
+
+def folder_tree(files: DataFrame, path: str, size: str) -> DataFrame:
+    """folder, depth, files, size, tokens: subtotals of every folder of a listing, the root as an empty name; each file counts in all folders above it."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    rows = files.select(F.explode(above).alias("folder"), F.col(size).alias("_size"))
+    sums = rows.groupBy("folder").agg(F.count("*").alias("files"), F.sum("_size").alias("size"))
+    depth = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
+    return sums.select("folder", depth.alias("depth"), "files", "size", F.ceil(F.col("size") / 4).cast("bigint").alias("tokens"))
+
+
+def workspace_packages(files: DataFrame, patterns: list[str], path: str = "path", content: str = "content") -> DataFrame:
+    """path, name of the packages of a workspace: manifests in folders that a pattern (a glob) matches."""
+    from ..functions.text import glob_pattern
+
+    folder = F.regexp_replace(path, "/?package[.]json$", "")
+    inside = reduce(lambda a, b: a | b, (folder.rlike(glob_pattern(p.rstrip("/"))) for p in patterns))
+    return files.where(F.col(path).rlike("(^|/)package[.]json$") & inside).select(folder.alias("path"), F.get_json_object(content, "$.name").alias("name")).where("name is not null")
+
+
+def notes_since(tags: DataFrame, changes: DataFrame, target: str, tag: str = "tag", at: str = "at", title: str = "title") -> DataFrame:
+    """section, n, place: release notes of a tag: changes later than the highest version below it, by section."""
+    key = semver(F.col(tag))
+    before = tags.where(key < semver(F.lit(target))).agg(F.max_by(at, key).alias("_cutoff"))
+    rows = changes.join(F.broadcast(before)).where(F.col("_cutoff").isNull() | (F.col(at) > F.col("_cutoff")))  # one row
+    return release_sections(rows, title, F.lit(True))
