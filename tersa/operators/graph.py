@@ -89,7 +89,7 @@ def edges(resolved: DataFrame) -> DataFrame:
 def dependency_tree(edges_: DataFrame, roots: DataFrame, depth: int = 2, cap: int = 50) -> DataFrame:
     """root, node, parent, depth, circular: what the roots (column node) import, level by level; a node is listed once a root, below the parent of smallest name.
 
-    ``cap`` nodes a root at most go on; an import of a node that is listed already is circular if that is one of its own ancestors.
+    ``cap`` nodes a root at most are listed; an import of a node that is listed already is circular if that is one of its own ancestors.
     """
     plain = materialize(edges_.where("src <> dst").select("src", "dst").distinct(), "edges")
     front = materialize(roots.select(F.col("node").alias("root"), "node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(False).alias("circular"), F.array("node").alias("line")), "front")
@@ -99,7 +99,8 @@ def dependency_tree(edges_: DataFrame, roots: DataFrame, depth: int = 2, cap: in
         one = found.groupBy("root", "node").agg(F.min(F.struct("circular", "parent", "depth", "line")).alias("x")).select("root", "node", "x.parent", "x.depth", "x.circular", "x.line")
         fresh = one.where("not circular").join(seen.select("root", "node"), ["root", "node"], "left_anti").unionByName(one.where("circular"))
         nth = F.row_number().over(W.partitionBy("root").orderBy("parent", "node"))
-        front = materialize(fresh.withColumn("nth", nth).where(F.col("nth") <= cap).drop("nth"), "front")
+        listed = seen.groupBy("root").agg(F.sum((F.col("depth") > 0).cast("int")).alias("listed"))
+        front = materialize(fresh.withColumn("nth", nth).join(listed, "root").where(F.col("nth") + F.col("listed") <= cap).drop("nth", "listed"), "front")
         seen = seen.unionByName(front)
     return seen.drop("line").where("depth > 0")
 
