@@ -108,23 +108,45 @@ def startup_share(spark, d):
     return both.select(F.round(share, 4).alias("share"), F.when(share >= 0.30, "startup-first").when((share <= 0.15) & (F.col("work") >= 250), "workload-first").otherwise("mixed").alias("advice"))
 
 
-_STRIP = "html"
-for _pattern, _plain in X.TAG_RULES:
-    _STRIP = f"regexp_replace({_STRIP}, '{_pattern}', E'{_plain.replace(chr(10), chr(92) + 'n')}', 'g')"
+def _sql(text: str) -> str:
+    """A replacement as an SQL literal."""
+    return "E'" + text.replace("\\", "\\\\").replace(chr(10), "\\n").replace("'", "''") + "'"
+
+
+def _stripped_sql(html: str) -> str:
+    for pattern, plain in X.TAG_RULES:
+        html = f"regexp_replace({html}, '{pattern}', {_sql(plain)}, 'g')"
+    return f"regexp_replace({html}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
+
+
 _ENTITIES = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&#32;', ' '), '&#39;', ''''), '&#x27;', ''''), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' ')"
+_MAIN = "coalesce(nullif(regexp_extract(html, '(?is)<main[^>]*>(.*)</main>', 1), ''), nullif(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), ''), html)"
+
+
+def _markdown_sql() -> str:
+    out = _MAIN
+    for tag in X.DROPPED:
+        out = f"regexp_replace({out}, '(?is)<{tag}(?: [^>]*)?>.*?</{tag}>', '', 'g')"
+    out = f"regexp_replace({out}, '(?s)<!--.*?-->', '', 'g')"
+    for level in range(1, 7):
+        mark = _sql("\n" + "#" * level + " \\1\n\n")
+        out = f"regexp_replace({out}, '(?is)<h{level}[^>]*>(.*?)</h{level}>', {mark}, 'g')"
+    out = f"""regexp_replace({out}, '(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', '[\\2](\\1)', 'g')"""
+    out = f"regexp_replace({out}, '(?is)<(?:b|strong)>(.*?)</(?:b|strong)>', '**\\1**', 'g')"
+    return _ENTITIES.format(_stripped_sql(out))
 
 
-@query(f"SELECT page_id, sha1({_ENTITIES.format(f'''regexp_replace({_STRIP}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')''')}) AS digest FROM pages")
+@query(f"SELECT page_id, sha1({_ENTITIES.format(_stripped_sql('html'))}) AS digest FROM pages")
 def html_strip(spark, d):
     return read(spark, d, "pages").select("page_id", F.sha1(X.decode_entities(X.strip_tags(F.col("html")))).alias("digest"))
 
 
-@query("""SELECT page_id, sha1(coalesce(nullif(regexp_extract(html, '(?is)<main[^>]*>(.*)</main>', 1), ''), nullif(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), ''), html)) AS digest FROM pages""")
+@query(f"SELECT page_id, sha1({_MAIN}) AS digest FROM pages")
 def html_main(spark, d):
     return read(spark, d, "pages").select("page_id", F.sha1(X.main_content(F.col("html"))).alias("digest"))
 
 
-@query()
+@query(f"SELECT page_id, ceil(length(html) / 4.0)::BIGINT AS raw_tokens, markdown, ceil(length(markdown) / 4.0)::BIGINT AS tokens FROM (SELECT *, {_markdown_sql()} AS markdown FROM pages)")
 def html_markdown(spark, d):
     """Pages as Markdown, with the tokens that this saves."""
     pages = read(spark, d, "pages").select("page_id", X.token_estimate(F.col("html")).alias("raw_tokens"), X.markdown(F.col("html")).alias("markdown"))

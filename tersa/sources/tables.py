@@ -1,4 +1,4 @@
-"""Readers: Parquet tables, text lines, JSON lines, file listings, literal rows."""
+"""Readers: Parquet tables, text lines, JSON lines, file listings."""
 
 from __future__ import annotations
 
@@ -51,18 +51,3 @@ def event_line() -> Column:
 
 #: The same line by DuckDB.
 EVENT_LINE_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || upper(event_type) || ' user=' || user_id || ' took ' || floor(value)::BIGINT || 'ms'"
-
-
-def _quoted(value) -> str:
-    if value is None:
-        return "NULL"
-    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
-
-
-def values_sql(rows: list[tuple], columns: str) -> str:
-    """Literal rows as DuckDB SQL."""
-    return f"(VALUES {', '.join('(' + ', '.join(map(_quoted, r)) + ')' for r in rows)}) v({columns})"
-
-
-def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
