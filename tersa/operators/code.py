@@ -482,41 +482,26 @@ def manifest_of(source: Source) -> Iterator[tuple]:
             yield "image", m[1], m[2] or "latest"
 
 
+#: Pieces of a shell command: what is taken whole, what nests, what joins segments on the top level, what no chain holds there, what is left open.
+_SHELL = re.compile(r"""(?P<whole>\\.|'[^']*'|"(?:[^"\\]|\\.)*"|`[^`]*`)|(?P<opens>\$?\()|(?P<closes>\))|(?P<joins>&&|\|\||;)|(?P<refused><<|&|\{(?=\s|$))|(?P<broken>['"`\\])|(?P<plain>[^\\'"`$();&|<{]+|.)""", re.S)
+
+
 def chains_of(source: Source) -> Iterator[tuple]:
     """nth, operator before, segment of a shell command that is a chain of && || and ; on its top level; nothing for any other."""
-    text, segments, ops, now, quote, depth, at = source.text, [], [], "", None, 0, 0
-    while at < len(text):
-        c, two = text[at], text[at : at + 2]
-        take = 1
-        if c == "\\" and quote != "'":
-            take = 2
-            if at + 1 >= len(text):
-                return
-        elif quote:
-            quote = None if c == quote else quote
-        elif c in "'\"`":
-            quote = c
-        elif two == "$(":
-            depth, take = depth + 1, 2
-        elif c == "(":
-            depth += 1
-        elif c == ")":
-            depth = max(0, depth - 1)
-        elif not depth:
-            if two == "<<" or (c == "{" and (at + 1 == len(text) or text[at + 1].isspace())):
-                return
-            if two in ("&&", "||") or c == ";":
-                ops.append(two if two in ("&&", "||") else ";")
-                segments.append(now.strip())
-                now, at = "", at + len(ops[-1])
-                continue
-            if c == "&":
-                return
-        now += text[at : at + take]
-        at += take
-    segments.append(now.strip())
-    if not quote and not depth and len(segments) > 1 and all(segments):
-        yield from ((i, op, s) for i, (op, s) in enumerate(zip(["", *ops], segments, strict=True)))
+    depth, ops, segments = 0, [""], [[]]
+    for piece in _SHELL.finditer(source.text):
+        kind = piece.lastgroup
+        if kind == "broken" or (kind == "refused" and not depth):
+            return
+        if kind == "joins" and not depth:
+            ops.append(piece[0])
+            segments.append([])
+            continue
+        depth = depth + 1 if kind == "opens" else max(0, depth - 1) if kind == "closes" else depth
+        segments[-1].append(piece[0])
+    said = ["".join(x).strip() for x in segments]
+    if len(said) > 1 and all(said) and not depth:
+        yield from zip(range(len(said)), ops, said, strict=True)
 
 
 SCANS: dict[str, tuple[Callable[[Source], Iterator[tuple]], str]] = {
