@@ -172,8 +172,9 @@ def judge(docs: DataFrame, keep: list[str] | None = None, threshold: float = 0.5
 def select(docs: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps. Features are counted once for the model and once more where rows are judged, so that no text is written or moved."""
     model = fit(materialize(features(docs, [], text).drop("row"), "features"))
-    judged = features(docs, docs.columns, text).where(~base_failed() & (posterior(model) >= threshold))
-    return judged.select(*carried(docs.columns))
+    counted = features(docs, docs.columns, text).withColumn("_nth", F.monotonically_increasing_id())
+    # a condition that needs _nth stays above it; below, every mention of a count would count anew
+    return counted.where(~base_failed() & (posterior(model) >= threshold) & (F.col("_nth") >= 0)).select(*carried(docs.columns))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
