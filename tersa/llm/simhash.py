@@ -63,6 +63,8 @@ class Rule:
     limit: int = 2
     #: Equal parts of the first word whose population counts name a tile.
     parts: int = 4
+    #: Neighbouring population counts that name one tile together.
+    band: int = 1
     #: Distinct fingerprints of one tile that are compared as one matrix side.
     tile: int = 8192
     #: Differing bits of the first two words, at most.
@@ -71,8 +73,8 @@ class Rule:
     share: tuple[int, int] | None = None
 
     def __post_init__(self):
-        if self.share and self.parts != 1:
-            raise ValueError("tiles by size class take the first word whole")
+        if (self.share or self.band > 1) and self.parts != 1:
+            raise ValueError("tiles by size class or by bands of counts take the first word whole")
 
 
 #: Jaccard similarity 0.8 of shingle sets is a cosine of about 8/9, so an angle at which 0.15 of the
@@ -81,9 +83,9 @@ SIMILAR = Rule(shingle=5, words=8, radius=16, limit=88, parts=1, tile=1 << 15)
 #: Jaccard index 0.8 of shingle sets is a cosine of 8/9 or more, so an angle at which 0.15 of the bits differ
 #: at most: 78 of 512 on average, with a standard deviation of 8, 19 of 128, with one of 4, and 10 of 64, with
 #: one of 3. The bounds lie five deviations and more above these means.
-ALIKE = Rule(shingle=5, words=8, radius=24, limit=136, parts=1, tile=1 << 15, second=44, share=(4, 5))
-#: Bytes of text, and of a text's other costs, that one side of a comparison of sets holds, at about.
-GROUP, EACH = 4 << 20, 1000
+ALIKE = Rule(shingle=5, words=8, radius=24, limit=136, parts=1, band=8, tile=1 << 15, second=44, share=(4, 5))
+#: Bytes of text that one side of a comparison of sets holds at about (most, least), and what a text counts besides.
+GROUP, LITTLE, EACH = 4 << 20, 1 << 18, 1000
 #: Bits of the filter that finds proposed texts, at most.
 FILTER = 1 << 27
 
@@ -177,21 +179,21 @@ def class_bounds(share: tuple[int, int]) -> np.ndarray:
 
 def tiles_of(words: np.ndarray, weights: np.ndarray, rule: Rule) -> np.ndarray:
     """The tile of each fingerprint: its population counts and, if sets decide, its size class."""
-    own = signature(words[:, 0], rule.parts)
+    own = signature(words[:, 0], rule.parts) // rule.band
     return own + 128 * (np.searchsorted(class_bounds(rule.share), weights, side="right") - 1) if rule.share else own
 
 
 def steps(rule: Rule) -> list[tuple[int, tuple[int, ...]]]:
     """Differences of the tiles that a tile visits, and of their population counts: each pair of tiles once."""
-    zero = (0,) * rule.parts
-    around = [d for d in itertools.product(range(-rule.radius, rule.radius + 1), repeat=rule.parts) if sum(map(abs, d)) <= rule.radius]
+    zero, reach = (0,) * rule.parts, -(-rule.radius // rule.band)
+    around = [d for d in itertools.product(range(-reach, reach + 1), repeat=rule.parts) if sum(map(abs, d)) <= reach]
     moves = [(sum(x * 128**k for k, x in enumerate(d)), d) for d in around]
     return [m for m in moves if m[1] > zero] + [(128 + move, d) for move, d in moves if rule.share]
 
 
 def deal(fps: DataFrame, held: dict[int, int], rule: Rule) -> DataFrame:
     """(tile, part, visits, node, bits, weight): each fingerprint at home and in every tile that it visits. held: fingerprints by tile."""
-    moves, most = steps(rule), 64 // rule.parts
+    moves, most = steps(rule), 64 // rule.parts // rule.band
     names = sorted(held)
     split = [-(-held[k] // rule.tile) for k in names]
     # a part with many visitors is copied, and each copy meets a share of them
@@ -424,7 +426,9 @@ def verified(docs: DataFrame, firsts: DataFrame, proposed: DataFrame, rule: Rule
     members = materialize(firsts.join(proposed, "node"), "members")
     # texts that no link is proposed for are left where they are
     asked = filtered(docs.select("doc_id", "key", "text"), members).where("asked").drop("asked")
-    times = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") + EACH) / GROUP).cast("int").alias("times"))
+    whole = members.agg(F.sum(F.col("size") + EACH)).first()[0] or 0
+    side = min(GROUP, max(LITTLE, whole // (2 * partitions(docs.sparkSession))))
+    times = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") + EACH) / side).cast("int").alias("times"))
     dealt = members.join(times, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("times")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
