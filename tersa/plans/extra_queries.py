@@ -55,15 +55,15 @@ _WORDS = """words AS (SELECT doc_id, list_filter(string_split_regex(lower(text),
 
 @query(f"""WITH {_WORDS}, x AS (SELECT doc_id, tok, len(s) AS k, unnest(s) AS h FROM sets),
   shared AS (SELECT a.doc_id AS a, b.doc_id AS b, a.k AS ka, b.k AS kb, count(*) AS n FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id WHERE greatest(a.tok, b.tok) <= 1.25 * least(a.tok, b.tok) GROUP BY ALL)
-  SELECT a, b, round(n / (ka + kb - n)::DOUBLE, 2) AS similarity FROM shared WHERE n / (ka + kb - n)::DOUBLE >= 0.85""")
+  SELECT a, b, round(n / (ka + kb - n)::DOUBLE, 2) AS similarity FROM shared WHERE n / (ka + kb - n)::DOUBLE >= 0.3""")
 def near_only(spark, d):
-    """Near duplicates among documents that have no exact one."""
+    """Documents of which three tenths are alike, among those that have no exact copy."""
     from ..operators.tables import materialize
 
     words = materialize(read(spark, d, "documents").select("doc_id", F.filter(F.split(F.lower("text"), f"{X.SPACE}+"), lambda x: x != "").alias("w")), "words")
     sets = words.select("doc_id", F.size("w").alias("tok"), F.array_distinct(F.transform(X.shingles(F.col("w"), 5), lambda s: F.xxhash64(s))).alias("hs"))
     classes = materialize(D.representatives(sets, "doc_id", "tok", "hs"), "classes")
-    pairs = D.near_pairs(classes, "doc_id", "tok", "hs", 0.85, skip=classes.where("copies > 1").select("doc_id"))
+    pairs = D.near_pairs(classes, "doc_id", "tok", "hs", 0.3, skip=classes.where("copies > 1").select("doc_id"))
     return pairs.withColumn("similarity", F.round("similarity", 2))
 
 
@@ -133,12 +133,12 @@ def required_variables(spark, d):
     return named.groupBy("name").agg(F.bool_or("required").alias("required"), F.countDistinct("path").alias("files"))
 
 
-@query(f"""WITH t AS (SELECT k, k % 7 AS minor FROM {P._ROWS}), c AS (SELECT max(minor) AS m FROM t WHERE minor < 5), cut AS (SELECT max(k) AS at FROM t, c WHERE minor = m)
+@query(f"""WITH t AS (SELECT k, k % 7 AS minor FROM {P._ROWS}), c AS (SELECT max(minor) AS m FROM t WHERE minor < 5), cut AS (SELECT min(k) AS at FROM t, c WHERE minor = m)
   SELECT section, count(*) AS n, list_position(['Features', 'Fixes', 'Docs', 'Other'], section)::INT AS place FROM (SELECT ['Features', 'Fixes', 'Docs', 'Other'][k % 4 + 1] AS section, k FROM {P._ROWS}), cut WHERE k > cut.at GROUP BY section""")
 def notes_since_tag(spark, d):
-    """Release notes of 1.5.0: what changed after the last tag of the highest version below it."""
+    """Release notes of 1.5.0: what changed after the highest version below it."""
     rows = P.rows(spark, d)
-    tags = rows.groupBy((F.col("k") % 7).alias("minor")).agg(F.max("k").alias("at")).select(F.concat(F.lit("v1."), F.col("minor").cast("string"), F.lit(".0")).alias("tag"), "at")
+    tags = rows.groupBy((F.col("k") % 7).alias("minor")).agg(F.min("k").alias("at")).select(F.concat(F.lit("v1."), F.col("minor").cast("string"), F.lit(".0")).alias("tag"), "at")
     changes = rows.select(pick(["feat: x~k~", "Fix y~k~", "docs: z~e~", "chore ~k~"]).alias("title"), F.col("k").alias("at"))
     return U.notes_since(tags, changes, "1.5.0")
 

@@ -35,7 +35,7 @@ export class C~k~ extends Base {
   }
 }
 const hidden~k~ = (x) => {
-  return lib.go(x);
+  return lib.go(x, { a: 1, b: 2 });
 };
 app.get('/p/~k~', f~k~);
 export { hidden~k~ as shown~k~ };

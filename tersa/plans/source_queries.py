@@ -307,7 +307,7 @@ def guard(spark, d):
     return R.verdicts({name: (rows, "fail" if name == "secrets" else "warn") for name, rows in found.items()})
 
 
-_BODIES = {0: [("f~k~", 'if (a && b) { return f~h~(a); } return "}{" + fs;'), ("run", 'try { return f~k~(x); } catch (e) { throw new E~e~Error("x"); }'), ("hidden~k~", "return lib.go(x);")], 3: [("Run~k~", "return f~k~(a)"), ("f~k~", 'fmt.Println("}", ~s~) return m.F~h~(a)')]}
+_BODIES = {0: [("f~k~", 'if (a && b) { return f~h~(a); } return "}{" + fs;'), ("run", 'try { return f~k~(x); } catch (e) { throw new E~e~Error("x"); }'), ("hidden~k~", "return lib.go(x, { a: 1, b: 2 });")], 3: [("Run~k~", "return f~k~(a)"), ("f~k~", 'fmt.Println("}", ~s~) return m.F~h~(a)')]}
 _NORMAL = P.expected("name, body", _BODIES)
 _TOKENS = "len(regexp_extract_all(body, '[A-Za-z_$][A-Za-z0-9_$]*|[^ A-Za-z_$]'))"
 
@@ -324,7 +324,7 @@ def function_copies(spark, d):
     return rows.groupBy(X.digest(F.col("body")).alias("key")).agg(F.count("*").alias("n"), F.min("path").alias("first_member"), F.max("tokens").alias("tokens")).where("n >= 2")
 
 
-_SHAPES = {0: ['if (_ && _) { return _(_); } return "}{" + _;', 'try { return _(_); } catch (_) { throw new _("_"); }', "return _._(_);"], 3: ["return _(_)", '_._("}", ~s~) return _._(_)']}
+_SHAPES = {0: ['if (_ && _) { return _(_); } return "}{" + _;', 'try { return _(_); } catch (_) { throw new _("_"); }', "return _._(_, { _: 1, _: 2 });"], 3: ["return _(_)", '_._("}", ~s~) return _._(_)']}
 _STRUCTURES = P.expected("name, body, shape", {kind: [(*x, shape) for x, shape in zip(facts, _SHAPES[kind], strict=True)] for kind, facts in _BODIES.items()})
 
 
