@@ -28,23 +28,35 @@ def language(path: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), X.extension(path))
 
 
-SKIPPED_EXTENSIONS = "png jpg jpeg gif ico svg webp woff woff2 ttf eot mp3 mp4 zip tar gz pdf lock map".split()
+#: What a listing passes over, and what it shows first.
+SKIPPED_FOLDERS = "node_modules .git android ios dist build .expo .next coverage __pycache__ .cache .turbo .venv venv env .tox .mypy_cache .pytest_cache vendor target out .gradle .idea .vscode".split()
+SKIPPED_EXTENSIONS = "jpg jpeg png gif ico svg webp mp3 mp4 wav webm ogg woff woff2 ttf eot zip tar gz rar pdf doc docx lock log map".split()
+IMPORTANT = "package.json tsconfig.json README.md app.json .env.example index.ts index.tsx index.js Cargo.toml go.mod pyproject.toml requirements.txt Makefile Dockerfile docker-compose.yml".split()
+IMPORTANT_FOLDERS = "src app components lib utils hooks store api services types scripts tests test __tests__ spec cmd pkg internal".split()
 
 
-def skipped(name: Column) -> Column:
-    return name.startswith(".") | X.extension(name).isin(SKIPPED_EXTENSIONS) | name.rlike("[.]min[.](js|css)$")
+def skipped(name: Column, is_folder: bool = False) -> Column:
+    """Whether a listing passes over a name: hidden, a folder of the list, an ending of the list, or minified."""
+    hidden = name.startswith(".") & ~name.isin(IMPORTANT_FOLDERS)
+    return hidden | (name.isin(SKIPPED_FOLDERS) if is_folder else X.extension(name).isin(SKIPPED_EXTENSIONS) | name.rlike("[.]min[.](js|css)$"))
 
 
-#: Names that matter in a listing, and endings of files that hold no text.
-IMPORTANT = "README.md package.json tsconfig.json Cargo.toml go.mod pyproject.toml Makefile Dockerfile index.js index.ts main.py main.go".split()
+def skipped_path(path: Column) -> Column:
+    """Whether any folder of a path or its name is passed over."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.exists(folders, lambda x: skipped(x, True)) | skipped(F.element_at(parts, -1))
+
+
+#: Endings of files that hold no text.
 BINARY_EXTENSIONS = "png jpg jpeg gif bmp ico webp mp3 wav mp4 mov zip gz tgz bz2 xz 7z tar woff woff2 ttf otf eot pdf wasm exe dll so bin dat db sqlite class o a pyc".split()
 #: Control characters are binary from this many and this share of a text; larger files are passed over.
 CONTROL_LEAST, CONTROL_SHARE, CONTROL_BYTES = 5, 0.02, 5 << 20
 CONTROL_CLASS = "[\\x00-\\x08\\x0e-\\x1f]"
 
 
-def important(name: Column) -> Column:
-    return name.isin(IMPORTANT)
+def important(name: Column, is_folder: bool = False) -> Column:
+    return name.isin(IMPORTANT_FOLDERS if is_folder else IMPORTANT)
 
 
 def binary(path: Column) -> Column:
@@ -62,8 +74,12 @@ def control_mark(path: Column, content: Column) -> Column:
     return F.when(told, F.struct(offset.alias("offset"), name.alias("name")))
 
 
+#: Paths that must not leave.
+SENSITIVE = ("\\.env$", "(?i)credentials", "(?i)secret", "\\.pem$", "\\.key$", "id_rsa", "id_ed25519", "token\\.json$", "\\.npmrc$")
+
+
 def sensitive(path: Column) -> Column:
-    return path.rlike("(^|/)([.]env([.][^/]*)?|id_rsa[^/]*|credentials[^/]*)$|[.](pem|key|p12|pfx)$")
+    return path.rlike("|".join(f"({p})" for p in SENSITIVE))
 
 
 def contains_path(parent: Column, child: Column) -> Column:

@@ -39,18 +39,24 @@ def environment(lines: DataFrame, line: str = "line") -> DataFrame:
     return rows.withColumn("value", F.regexp_replace("value", "^([\"'])(.*)\\1$", "$2"))
 
 
+#: How runners say what passed, failed and was skipped; the first form that a run's output holds counts.
+COUNTS = {
+    "passed": ("(?i)Tests:\\s+(?:\\d+ failed,? *)?(?:\\d+ skipped,? *)?(\\d+) passed", "([0-9]+) passing", "(?:^|[^0-9])([0-9]+) passed(?=.*(?:in [0-9.]+s|={3}))", "test result:.*?([0-9]+) passed", "(?m)^\\s*(?:#|ℹ) pass ([0-9]+)", "(?m)^\\s*([0-9]+) pass(?:ed)?\\s*$"),
+    "failed": ("(?i)Tests:\\s+(\\d+) failed", "([0-9]+) failing", "(?:^|[^0-9])([0-9]+) failed(?=.*(?:in [0-9.]+s|={3}))", "test result:.*?([0-9]+) failed", "(?m)^\\s*(?:#|ℹ) fail ([0-9]+)", "(?m)^\\s*([0-9]+) fail(?:ed)?\\s*$"),
+    "skipped": ("([0-9]+) skipped", "(?m)^\\s*(?:#|ℹ) skipped ([0-9]+)", "([0-9]+) pending", "([0-9]+) ignored", "(?m)^\\s*([0-9]+) skip(?:ped)?\\s*$"),
+}
+
+
 def test_counts(output: Column) -> Column:
-    """passed, failed and skipped of a test run's output, over the usual runners' forms."""
+    """passed, failed and skipped of a test run's output; packages that passed or failed count where nothing else does."""
 
-    def number(*patterns: str) -> Column:
-        found = [F.nullif(F.regexp_extract(output, p, 1), F.lit("")).cast("int") for p in patterns]
-        return F.coalesce(*found, F.lit(0))
+    def number(patterns: tuple[str, ...]) -> Column:
+        return F.coalesce(*(F.nullif(F.regexp_extract(output, p, 1), F.lit("")).cast("int") for p in patterns))
 
-    return F.struct(
-        number("([0-9]+) passed", "(?m)^# pass ([0-9]+)", "([0-9]+) passing").alias("passed"),
-        number("([0-9]+) failed", "(?m)^# fail ([0-9]+)", "([0-9]+) failing").alias("failed"),
-        number("([0-9]+) skipped", "(?m)^# skipped ([0-9]+)", "([0-9]+) pending", "([0-9]+) ignored").alias("skipped"),
-    )
+    said = {k: number(v) for k, v in COUNTS.items()}
+    silent = said["passed"].isNull() & said["failed"].isNull()
+    packages = {"passed": F.regexp_count(output, F.lit("(?m)^ok\\s+\\S+/\\S+")), "failed": F.regexp_count(output, F.lit("(?m)^FAIL\\s+\\S+/\\S+"))}
+    return F.struct(*(F.when(silent, packages[k]).otherwise(F.coalesce(said[k], F.lit(0))).alias(k) for k in packages), F.coalesce(said["skipped"], F.lit(0)).alias("skipped"))
 
 
 def carried(lines: DataFrame, file: str, pos: str, **values: Column) -> DataFrame:

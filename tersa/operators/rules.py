@@ -25,15 +25,23 @@ def absorbed(rows: DataFrame, category: str, name: str, absorbs: list[tuple[str,
     return rows.join(gone, name, "left_anti").select(category, name)
 
 
+#: Where a line of a linter names its rule, and what makes it a violation.
+LINT_RULE = ("\\(([A-Za-z0-9_@/.:-]+)\\)\\s*$", "\\s+([A-Za-z0-9_@/-]+-[A-Za-z0-9_@/-]+)\\s*$")
+VIOLATION = "(?i)error|warning|✕|✗"
+#: Lines of a build, by the first pattern that hits; a mention of an error counts with a place only.
+BUILD_LINES = (("error", "(?i)\\berror\\s*(TS|C|E|\\[E)\\d+"), ("error", "(?i)^\\s*error\\s*:"), ("warning", "(?i)\\bwarning\\b"))
+
+
 def lint_rules(lines: DataFrame, line: str = "line", top: int = 10) -> DataFrame:
-    """Rules by how often they are broken: the last word of a violation line."""
-    rule = F.regexp_extract(line, "^ +[0-9]+:[0-9]+ +(error|warning) +.* +([a-z0-9@/-]+)$", 2)
-    return lines.select(rule.alias("rule")).where("rule <> ''").groupBy("rule").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule").limit(top)
+    """Rules by how often they are broken."""
+    named = F.coalesce(*(F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in LINT_RULE))
+    return lines.where(F.col(line).rlike(VIOLATION)).select(named.alias("rule")).where("rule is not null").groupBy("rule").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule").limit(top)
 
 
 def build_line(line: Column) -> Column:
     """error, warning or null, by the forms of compilers."""
-    return first_match([(line.rlike("(^|[ :(])error( [A-Z]+[0-9]+|\\[E[0-9]+\\])?:") | line.rlike("^ERROR in "), "error"), (line.rlike("(^|[ :(])warning( [A-Z]+[0-9]+)?:"), "warning")])
+    placed = line.rlike("(?i)\\berror\\b") & line.rlike("\\S+:\\d+")
+    return F.when(placed, "error").otherwise(first_match([(line.rlike(p), kind) for kind, p in BUILD_LINES]))
 
 
 #: Sections of release notes, in order, with the prefixes that belong there.
@@ -44,19 +52,31 @@ def section(title: Column) -> Column:
     return first_match([(F.lower(title).rlike(pattern), name) for name, pattern in SECTIONS[:-1]], SECTIONS[-1][0])
 
 
-#: What a changed path is, and in which order that is asked of a diff and of a pull request.
-PATH_KINDS = {
-    "test": "[.](test|spec)[.]|(^|/)(tests?|__tests__)/",
-    "docs": "[.](md|rst|txt)$|(^|/)docs?/",
-    "config": "[.](json|ya?ml|toml|ini)$|(^|/)[.][^/]+$",
-    "style": "[.](css|scss|less)$",
-}
-DIFF_ORDER, PULL_ORDER = ("test", "docs", "config", "style"), ("config", "test", "style", "docs")
+#: What a changed path of a diff is, by the first pattern that hits its lower-case form.
+DIFF_PATHS = (
+    ("tests", "\\.test\\.|\\.spec\\.|__tests__"),
+    ("components", "/components/|\\.tsx$"),
+    ("hooks", "/hooks/|use"),
+    ("store", "/store/|slice|reducer"),
+    ("types", "/types/|\\.d\\.ts$"),
+    ("manuscripts", "manuscripts|\\.json$"),
+    ("config", "config|package\\.json|tsconfig"),
+)
+#: What a changed path of a pull request is, after tests and before sources.
+PULL_PATHS = (
+    ("docs", "(?i)\\.md$|\\.mdx$|\\.txt$|readme|changelog|license|docs?/"),
+    ("assets", "(?i)\\.(png|jpg|jpeg|gif|svg|ico|webp|woff|woff2|ttf|eot|mp3|mp4|wav|webm|pdf|doc|docx)$"),
+    ("config", "^\\.|(?i:config)|\\.json$|\\.ya?ml$|\\.toml$|\\.env|\\.lock$|package\\.json|tsconfig|eslint|prettier|webpack|vite|rollup"),
+)
+
+
+def diff_path(path: Column) -> Column:
+    return first_match([(F.lower(path).rlike(p), kind) for kind, p in DIFF_PATHS], "other")
 
 
-def changed_path(path: Column, order: tuple[str, ...] = DIFF_ORDER) -> Column:
-    """config, docs, test, style or source, by what a changed path looks like."""
-    return first_match([(F.lower(path).rlike(PATH_KINDS[k]), k) for k in order], "source")
+def pull_path(path: Column) -> Column:
+    kind = file_category(path)
+    return F.when(kind == "test", "test").otherwise(first_match([(path.rlike(p), k) for k, p in PULL_PATHS], F.when(kind == "source", "source").otherwise("other")))
 
 
 def suggestion_score(name: Column, wanted: str) -> Column:
@@ -79,13 +99,22 @@ def capped(rows: DataFrame, key: str, order: str, cap: int) -> DataFrame:
     return rows.withColumn("nth", nth).withColumn("omitted", F.greatest(n - cap, F.lit(0)).cast("bigint")).where(F.col("nth") <= cap).drop("nth")
 
 
-#: What output says of its command, by kind: patterns of which two must hit.
-OUTPUT_KINDS = {"test": ("passed", "failed", "(?m)^(ok|not ok) ", "Tests?:"), "build": ("error TS[0-9]+", "(?i)compil", "warning:", "Built "), "lint": ("problems?", "[0-9]+:[0-9]+ +(error|warning)", "✖")}
+#: Commands by kind, and what output says of its command, of which two must hit.
+COMMAND_KINDS = (
+    ("test", "(?i)\\b(test|jest|vitest|mocha|pytest|rspec|phpunit|go\\s+test|cargo\\s+test|npm\\s+test|npx\\s+jest|npx\\s+vitest)\\b"),
+    ("build", "(?i)\\b(build|compile|tsc|webpack|make|cargo\\s+build|go\\s+build|gcc|g\\+\\+|esbuild|rollup|vite\\s+build)\\b"),
+    ("lint", "(?i)\\b(lint|eslint|prettier|pylint|flake8|clippy|golangci|biome|stylelint|tslint)\\b"),
+)
+OUTPUT_KINDS = {
+    "test": ("(?i)\\d+\\s+(passing|passed|failed|failing)", "(?i)test\\s+suites?:", "(?i)tests?:\\s+\\d+", "(?i)test result:", "(?i)\\d+\\s+tests?\\s+(ran|completed|executed)", "PASS\\s+|FAIL\\s+"),
+    "build": ("(?i)error\\s+(TS|C|E)\\d+", "(?i)\\bcompiled\\b", "(?i)BUILD\\s+(SUCCESS|FAILED)", "\\berror\\[E\\d+\\]", "(?i)webpack\\s+compiled", "(?i)built\\s+in\\s+\\d"),
+    "lint": ("(?i)\\d+\\s+problems?", "(?i)\\d+\\s+errors?,\\s*\\d+\\s+warnings?", "(?i)\\d+\\s+warnings?\\s+found", "(?i)✖\\s+\\d+\\s+problems?"),
+}
 
 
 def command_kind(command: Column, output: Column) -> Column:
     """test, build, lint or generic: by the command, else by two hits or more in its output, the most first."""
-    named = first_match([(command.rlike("(^|[ /])(pytest|jest|vitest|mocha)( |$)|(npm|go|cargo) (run )?test"), "test"), (command.rlike("(^| )(tsc|make|webpack)( |$)|(npm run|go|cargo) build"), "build"), (command.rlike("(^| )(eslint|ruff|flake8)( |$)|npm run lint"), "lint")])
+    named = first_match([(command.rlike(p), kind) for kind, p in COMMAND_KINDS])
     hits = {k: sum((output.rlike(p).cast("int") for p in ps), F.lit(0)) for k, ps in OUTPUT_KINDS.items()}
     most = F.greatest(*hits.values())
     return F.coalesce(named, first_match([((n == most) & (n >= 2), k) for k, n in hits.items()], "generic"))
@@ -108,10 +137,13 @@ def dominant(rows: DataFrame, group: str, choice: str, share: float = 0.6) -> Da
     return ranked.withColumn("best", best).where((F.col("nth") == 1) | ((F.col("nth") == 2) & (F.col("best") < share))).select(group, choice, "n", "share", "nth")
 
 
+#: What kinds of change a message speaks of.
+CHANGE_KINDS = {"feature": "^feat|add|new", "fix": "^fix|bug|issue", "refactor": "refactor|cleanup", "docs": "^docs|readme|documentation", "test": "test", "chore": "^chore|deps|upgrade", "breaking": "breaking|!:"}
+
+
 def change_flags(rows: DataFrame, key: str, title: Column) -> DataFrame:
     """What kinds of change each key holds."""
-    kinds = {"fixes": "^(fix|bug)", "features": "^(feat|add)", "refactors": "^refactor", "documents": "^docs?"}
-    return rows.groupBy(key).agg(*(F.bool_or(F.lower(title).rlike(p)).alias(k) for k, p in kinds.items()))
+    return rows.groupBy(key).agg(*(F.bool_or(F.lower(title).rlike(p)).alias(k) for k, p in CHANGE_KINDS.items()))
 
 
 def tool_of(command: Column) -> Column:
@@ -120,17 +152,17 @@ def tool_of(command: Column) -> Column:
     return F.regexp_extract(bare, "^(?:[^ ]*/)?([A-Za-z0-9_.-]+)", 1)
 
 
-def usage_kind(line: Column, name: str) -> Column:
-    """definition, import, test, type or usage of a name in a line."""
-    return first_match(
-        [
-            (line.rlike(f"(function|class|const|let|var|def|fn|func|type|interface) +{name}($|[^A-Za-z0-9_])"), "definition"),
-            (line.rlike("^ *(import|from|export .* from)|require\\("), "import"),
-            (line.rlike("(^|[^A-Za-z0-9_])(describe|it|test|expect|assert)[( ]"), "test"),
-            (line.rlike(f": *{name}($|[^A-Za-z0-9_])|<{name}>"), "type"),
-        ],
-        "usage",
-    )
+#: What a line does with a name, by the first pattern that hits; a test's lines are told by its path.
+USAGE_LINES = (
+    ("definition", "^\\s*(export\\s+)?((function|class|const|let|var|type|interface|enum)\\s|default\\s+(function|class))"),
+    ("definition", "^\\s*(def|func)\\s"),
+    ("import", "^\\s*(import|from|require)\\s"),
+)
+
+
+def usage_kind(line: Column, path: Column) -> Column:
+    """definition, import, test or usage."""
+    return F.coalesce(first_match([(line.rlike(p), kind) for kind, p in USAGE_LINES]), F.when(path.rlike("\\.(test|spec|e2e)\\.[^.]+$"), "test").otherwise("usage"))
 
 
 #: What a way into a program looks like, by group, in order: (pattern over a line, what it is).
@@ -242,15 +274,15 @@ def united(*found: DataFrame, key: list[str], order: str) -> DataFrame:
     return one.select(*key, *(F.col("x")[c].alias(c) for c in kept))
 
 
-#: The order in which changed files are read, by what they are.
-KEY_ORDER = ("source", "config", "test", "style", "docs")
+#: Changed lines beyond which a file is read first.
+LARGE_CHANGE = 100
 
 
-def key_files(changes: DataFrame, path: str, lines: str, top: int = 10) -> DataFrame:
-    """The changed files to read first: by what they are, then by how much changed."""
-    kind = changed_path(F.col(path))
-    rank = first_match([(kind == k, F.lit(i)) for i, k in enumerate(KEY_ORDER)], F.lit(len(KEY_ORDER)))
-    return changes.select(path, kind.alias("kind"), lines, rank.alias("priority")).orderBy("priority", F.desc(lines), path).limit(top)
+def key_files(changes: DataFrame, path: str, lines: str, added: str, top: int = 10) -> DataFrame:
+    """path, why, priority of the changed files to read first: large changes, then new files of a known language that are no tests."""
+    large = changes.where(F.col(lines) > LARGE_CHANGE).select(path, F.format_string("%d lines changed", F.col(lines).cast("bigint")).alias("why"), F.lit(0).alias("priority"))
+    new = changes.where(F.col(added) & language(F.col(path)).isNotNull() & ~F.col(path).rlike("test|spec")).select(path, F.lit("new file").alias("why"), F.lit(1).alias("priority"))
+    return large.unionByName(new).orderBy("priority", path, "why").limit(top)
 
 
 def todo_summary(marks: DataFrame, by: str) -> DataFrame:

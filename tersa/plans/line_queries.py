@@ -54,10 +54,10 @@ def env_file(spark, d):
     return R.environment(_text(spark, d, "A~k~=~s~\n# no=1\nexport B~k~='x ~e~'\nC~k~=\nnot a line"))
 
 
-_RUNS = ["~s~ passed, ~e~ failed, 1 skipped in 3s", "# pass ~s~\n# fail ~e~\n# skipped 2", "  ~s~ passing (1s)\n  ~e~ failing\n  3 pending", "test result: ok. ~s~ passed; ~e~ failed; 4 ignored", "Tests:  ~e~ failed, 5 skipped, ~s~ passed, 9 total", "quiet"]
+_RUNS = ["~s~ passed, ~e~ failed, 1 skipped in 3s", "# pass ~s~\n# fail ~e~\n# skipped 2", "  ~s~ passing (1s)\n  ~e~ failing\n  3 pending", "test result: ok. ~s~ passed; ~e~ failed; 4 ignored", "Tests:  ~e~ failed, ~s~ passed, 5 skipped, 9 total", "ok  \ta/b\t0.1s\nFAIL\ta/c\t0.2s\nok  \ta/d\t0.1s", " ~s~ pass\n ~e~ fail\n 6 skip", "quiet ~k~"]
 
 
-@query(f"SELECT k, CASE WHEN k % 6 < 5 THEN s ELSE 0 END::INT AS passed, CASE WHEN k % 6 < 5 THEN e ELSE 0 END::INT AS failed, CASE k % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE 0 END::INT AS skipped FROM {P._ROWS}")
+@query(f"SELECT k, CASE k % 8 WHEN 5 THEN 2 WHEN 7 THEN 0 ELSE s END::INT AS passed, CASE k % 8 WHEN 5 THEN 1 WHEN 7 THEN 0 ELSE e END::INT AS failed, [1, 2, 3, 4, 5, 0, 6, 0][k % 8 + 1]::INT AS skipped FROM {P._ROWS}")
 def test_counts(spark, d):
     rows = P.rows(spark, d).select("k", R.test_counts(pick(_RUNS)).alias("c"))
     return rows.select("k", "c.passed", "c.failed", "c.skipped")
@@ -103,7 +103,7 @@ def untracked_files(spark, d):
 
 
 _COMMANDS = ["npm test -- ~k~", "tsc -p m~k~", "eslint src/m~k~", "./run ~k~", "./go ~k~", "ls ~k~"]
-_OUTPUTS = ["", "", "", "~s~ passed\nTests: 1", "passed", "a.ts: 1 problem\n3:1  error  x"]
+_OUTPUTS = ["", "", "", "~s~ passed\nTests: 1", "~s~ passed", "✖ 3 problems (2 errors, 1 warnings)"]
 
 
 @query(f"SELECT k, ['test', 'build', 'lint', 'test', 'generic', 'lint'][k % 6 + 1] AS kind FROM {P._ROWS}")
@@ -198,7 +198,7 @@ def lint_violations(spark, d):
     return U.lint_rules(P.rows(spark, d).select(pick(_LINT).alias("line")))
 
 
-_BUILD = [("a.ts(~s~,2): error TS2304: no name ~k~", "error"), ("main.rs: error[E0308]: types ~k~", "error"), ("x~k~.c:~s~: warning: unused", "warning"), ("ERROR in ./a~k~", "error"), ("ok ~k~", None)]
+_BUILD = [("a.ts(~s~,2): error TS2304: no name ~k~", "error"), ("main.rs: error[E0308]: types ~k~", "error"), ("x~k~.c:~s~: warning: unused", "warning"), ("ERROR in ./a~k~", None), ("error: linker failed ~k~", "error"), ("ok ~k~", None)]
 
 
 @query(f"SELECT kind, count(*) AS n FROM (SELECT {pick_sql([x[1] for x in _BUILD])} AS kind FROM {P._ROWS}) WHERE kind IS NOT NULL GROUP BY kind")
@@ -207,7 +207,7 @@ def build_summary(spark, d):
     return rows.where("kind is not null").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT k, {pick_sql([x[0] for x in _BUILD])} AS line FROM {P._ROWS} WHERE k % 5 IN (0, 1, 3) ORDER BY k LIMIT 15")
+@query(f"SELECT k, {pick_sql([x[0] for x in _BUILD])} AS line FROM {P._ROWS} WHERE k % 6 IN (0, 1, 4) ORDER BY k LIMIT 15")
 def build_errors(spark, d):
     """The first fifteen errors of a build."""
     return P.rows(spark, d).select("k", pick([x[0] for x in _BUILD]).alias("line")).where(U.build_line(F.col("line")) == "error").orderBy("k").limit(15)
@@ -222,19 +222,41 @@ def release_notes(spark, d):
     return U.release_sections(P.rows(spark, d).select(pick([x[0] for x in _TITLES]).alias("title"), "s"), "title", F.col("s") >= 10)
 
 
-_CHANGED = [("src/m~k~.test.js", "test", "test"), ("docs/x~k~.html", "docs", "docs"), ("tests/c~k~.json", "test", "config"), (".eslintrc", "config", "config"), ("a~k~.css", "style", "style"), ("src/a~k~.js", "source", "source"), ("docs/a~k~.css", "docs", "style")]
+_CHANGED = [("src/m~k~.test.js", "tests", "test"), ("docs/x~k~.md", "other", "docs"), ("src/components/c~k~.js", "components", "source"), ("src/hooks/h~k~.js", "hooks", "source"), ("src/store/s~k~.js", "store", "source"), ("src/a~k~.d.ts", "types", "source"), ("data/d~k~.json", "manuscripts", "config"), ("app~k~.config.js", "config", "config"), ("logo~k~.png", "other", "assets"), ("e2e/x~k~.js", "other", "other"), ("src/a~k~.js", "other", "source")]
 
 
 @query(f"SELECT k, {pick_sql([x[1] for x in _CHANGED])} AS in_diff, {pick_sql([x[2] for x in _CHANGED])} AS in_pull FROM {P._ROWS}")
 def changed_paths(spark, d):
     path = pick([x[0] for x in _CHANGED])
-    return P.rows(spark, d).select("k", U.changed_path(path).alias("in_diff"), U.changed_path(path, U.PULL_ORDER).alias("in_pull"))
+    return P.rows(spark, d).select("k", U.diff_path(path).alias("in_diff"), U.pull_path(path).alias("in_pull"))
 
 
-@query(f"SELECT {pick_sql([x[0] for x in _CHANGED])} AS path, {pick_sql([x[1] for x in _CHANGED])} AS kind, s AS lines, list_position(['source', 'config', 'test', 'style', 'docs'], {pick_sql([x[1] for x in _CHANGED])}) - 1 AS priority FROM {P._ROWS} ORDER BY priority, lines DESC, path LIMIT 10")
+_NEW = "k % 3 = 0 AND k % 11 IN (2, 3, 4, 5, 7, 9, 10)"
+
+
+@query(f"""WITH c AS (SELECT k, {pick_sql([x[0] for x in _CHANGED])} AS path, s * 3 AS n FROM {P._ROWS})
+  SELECT path, why, priority FROM (SELECT path, n || ' lines changed' AS why, 0 AS priority FROM c WHERE n > 100 UNION ALL SELECT path, 'new file', 1 FROM c WHERE {_NEW}) ORDER BY priority, path, why LIMIT 10""")
 def key_files(spark, d):
     """The changed files to read first."""
-    return U.key_files(P.rows(spark, d).select(pick([x[0] for x in _CHANGED]).alias("path"), F.col("s").alias("lines")), "path", "lines")
+    rows = P.rows(spark, d).select(pick([x[0] for x in _CHANGED]).alias("path"), (F.col("s") * 3).alias("n"), (F.col("k") % 3 == 0).alias("added"))
+    return U.key_files(rows, "path", "n", "added")
+
+
+@query(f"WITH c AS (SELECT k, {pick_sql([x[0] for x in _CHANGED])} AS path FROM {P._ROWS}) SELECT path, 'new file' AS why FROM c WHERE {_NEW}")
+def new_sources(spark, d):
+    """New files of a known language that are no tests."""
+    rows = P.rows(spark, d).select(pick([x[0] for x in _CHANGED]).alias("path"), F.lit(1).alias("n"), (F.col("k") % 3 == 0).alias("added"))
+    return U.key_files(rows, "path", "n", "added", 1 << 30).select("path", "why")
+
+
+_HELD = [("config/.env", True, False), ("a/Credentials~k~.txt", True, False), ("x/token.json", True, False), ("src/m~k~.js", False, False), ("node_modules/a~k~/x.js", False, True), ("src/a~k~.min.js", False, True), ("out/x.log", False, True), (".hidden~k~", False, True), ("keys/id_rsa.pub", True, False)]
+
+
+@query(f"SELECT k, {pick_sql([x[1] for x in _HELD])} AS sensitive, {pick_sql([x[2] for x in _HELD])} OR k % 9 = 0 AS skipped FROM {P._ROWS}")
+def held_back(spark, d):
+    """Paths that must not leave, and paths that a listing passes over."""
+    path = pick([x[0] for x in _HELD])
+    return P.rows(spark, d).select("k", C.sensitive(path).alias("sensitive"), C.skipped_path(path).alias("skipped"))
 
 
 @query(f"SELECT k AS doc, 1::BIGINT AS pos, 'export x' || k AS line FROM {P._ROWS}")
@@ -242,10 +264,11 @@ def keep_marks(spark, d):
     return U.kept_lines(_text(spark, d, "export x~k~\n// keep: used by hand\nexport y\nexport z // keep:"), "doc", "pos", "line", "keep:").select("doc", "pos", "line")
 
 
-_CHANGE = ["Fix ~k~", "feature ~k~", "refactor ~k~", "docs ~k~"]
+_CHANGE = ["Fix ~k~", "feature ~k~", "cleanup ~k~", "docs ~k~", "test ~k~", "chore ~k~", "x!: ~k~"]
+_KINDS = ("fix", "feature", "refactor", "docs", "test", "chore", "breaking")
 
 
-@query(f"SELECT s AS size, bool_or(k % 4 = 0) AS fixes, bool_or(k % 4 = 1) AS features, bool_or(k % 4 = 2) AS refactors, bool_or(k % 4 = 3) AS documents FROM {P._ROWS} GROUP BY s")
+@query(f"SELECT s AS size, {', '.join(f'bool_or(k % 7 = {i}) AS {name}' for i, name in enumerate(_KINDS))} FROM {P._ROWS} GROUP BY s")
 def change_flags(spark, d):
     rows = P.rows(spark, d).select(F.col("s").alias("size"), pick(_CHANGE).alias("title"))
     return U.change_flags(rows, "size", F.col("title"))

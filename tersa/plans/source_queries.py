@@ -153,12 +153,12 @@ def entry_points(spark, d):
     return R.entry_points(_lines(spark, d).where("path rlike '[.](js|ts)$'"))
 
 
-@query(P.expected("pos, kind", {0: [(8, "definition"), (17, "usage"), (23, "usage")], 1: [(8, "definition")], 2: [(11, "usage"), (13, "definition")], 3: [(14, "usage"), (17, "definition")], 4: [(9, "usage"), (12, "definition")], 5: [(9, "usage"), (13, "definition")]}).replace("::INT AS pos", "::BIGINT AS pos"))
+@query(P.expected("pos, kind", {0: [(8, "definition"), (17, "usage"), (23, "usage")], 1: [(8, "definition")], 2: [(11, "usage"), (13, "definition")], 3: [(14, "usage"), (17, "definition")], 4: [(9, "definition"), (12, "usage")], 5: [(9, "usage"), (13, "definition")]}).replace("::INT AS pos", "::BIGINT AS pos"))
 def usage_kinds(spark, d):
     """How each line uses the name that its file defines."""
     name = F.concat(F.lit("f"), F.regexp_extract("path", "/m([0-9]+)[.]", 1))
     rows = _lines(spark, d).withColumn("name", name).where("regexp_like(line, concat('(^|[^A-Za-z0-9_])', name, '($|[^A-Za-z0-9_])'))")
-    return rows.select("path", "pos", R.usage_kind(F.regexp_replace("line", "f[0-9]+", "f1"), "f1").alias("kind"))
+    return rows.select("path", "pos", R.usage_kind(F.col("line"), F.col("path")).alias("kind"))
 
 
 @query(f"SELECT {P.path_sql()} AS path, [4, 1, 1, 1, 1, 2][k % 6 + 1] AS cyclomatic, [6, 0, 0, 0, 0, 0][k % 6 + 1] AS cognitive, 'simple' AS rating FROM {P._ROWS}")
