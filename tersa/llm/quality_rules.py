@@ -2,10 +2,10 @@
 
 Each rule reads one signal and votes bad (-1), good (1) or abstains (0) on a document. Rules
 of one kind look for symptoms of the same defect in different signals. For every kind there
-is a latent class, the defect present or not, with votes independent given it; the
-histogram of vote patterns (3 ** rules rows at most) goes to the driver, where
-expectation-maximisation estimates each kind's prevalence and how each of its rules votes
-in both classes. Documents of a kind's prior beliefs weigh ``PRIOR_DOCUMENTS``, whatever
+is a latent class, the defect present or not, with votes independent given it; an abstention
+says nothing about it. The histogram of vote patterns (3 ** rules rows at most) goes to the
+driver, where expectation-maximisation estimates each kind's prevalence and how each of its
+rules votes, if it votes, in both classes. Documents of a kind's prior beliefs weigh ``PRIOR_DOCUMENTS``, whatever
 the corpus holds, so data outweigh them. A kind with a single rule has nothing to agree
 with: its votes keep about the worth they started with. A document's quality is the
 probability that none of the defects is present, computed by the same expressions that
@@ -31,8 +31,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SYMBOL = "[#*$%&|<>]"
 WINDOW = 5
 ROUNDS = 200
-#: How a rule is believed to vote (bad, abstain, good) where its defect is present and where it isn't.
-PRESENT, ABSENT = (0.6, 0.3, 0.1), (0.01, 0.29, 0.7)
+#: Share of a rule's votes that are believed to be bad where its defect is present, and where it isn't.
+PRESENT, ABSENT = 0.85, 0.015
 #: Share of documents that are believed to have a kind of defect.
 PREVALENCE = 0.05
 #: Documents that these beliefs weigh.
@@ -112,30 +112,31 @@ Model = dict[str, tuple[float, dict[str, dict[int, float]]]]
 def estimate(patterns: dict[tuple[int, ...], int]) -> Model:
     """The model by expectation-maximisation. patterns: documents by their votes, in the order of the rules."""
     out: Model = {}
-    votes = (-1, 0, 1)
+    names = list(RULES)
     for kind in KINDS:
-        own = [k for k, name in enumerate(RULES) if RULES[name][0] == kind]
+        own = [k for k, name in enumerate(names) if RULES[name][0] == kind]
         counts: dict[tuple[int, ...], int] = {}
         for pattern, n in patterns.items():
             key = tuple(pattern[k] for k in own)
             counts[key] = counts.get(key, 0) + n
         share, total = PREVALENCE, sum(counts.values())
-        beliefs = [[dict(zip(votes, p, strict=True)) for _ in own] for p in (ABSENT, PRESENT)]
+        beliefs = [[{-1: p, 1: 1 - p} for _ in own] for p in (ABSENT, PRESENT)]
         chances = beliefs
         for _ in range(ROUNDS if total else 0):
             sums = [[{v: PRIOR_DOCUMENTS * weight * p for v, p in rule.items()} for rule in side] for side, weight in zip(beliefs, (1 - PREVALENCE, PREVALENCE), strict=True)]
             present = PRIOR_DOCUMENTS * PREVALENCE
             for key, n in counts.items():
-                odds = math.log(share / (1 - share)) + sum(math.log(chances[1][j][v] / chances[0][j][v]) for j, v in enumerate(key))
+                said = [(j, v) for j, v in enumerate(key) if v]
+                odds = math.log(share / (1 - share)) + sum(math.log(chances[1][j][v] / chances[0][j][v]) for j, v in said)
                 p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
                 present += n * p
-                for j, v in enumerate(key):
+                for j, v in said:
                     sums[0][j][v] += n * (1 - p)
                     sums[1][j][v] += n * p
             share = present / (total + PRIOR_DOCUMENTS)
             chances = [[{v: x / sum(rule.values()) for v, x in rule.items()} for rule in side] for side in sums]
-        names = list(RULES)
-        out[kind] = (math.log(share / (1 - share)), {names[k]: {v: math.log(chances[1][j][v] / chances[0][j][v]) for v in votes} for j, k in enumerate(own)})
+        worth = {names[k]: {v: math.log(chances[1][j][v] / chances[0][j][v]) for v in (-1, 1)} | {0: 0.0} for j, k in enumerate(own)}
+        out[kind] = (math.log(share / (1 - share)), worth)
     return out
 
 
