@@ -193,13 +193,9 @@ class Source:
                 return None
         return None
 
-    def parent(self, own: Definition) -> Definition | None:
-        """The innermost definition around another."""
-        around = [d for d in self.definitions if d.start < own.start and own.start < d.end and d is not own]
-        return max(around, key=lambda d: d.start) if around else None
-
     @cached_property
     def parents(self) -> list[Definition | None]:
+        """The innermost definition around each."""
         out, open_ = [], []
         for d in self.definitions:
             while open_ and open_[-1].end <= d.start:

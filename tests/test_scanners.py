@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,11 @@ def test_threads(spark):
 def test_validity(spark):
     rows = spark.createDataFrame([("h", "h", "f", "f", 9000, True), ("h", "g", "f", "f", 1, False), ("h", "h", "f", "x", 1, False), (None, None, "", "", 300, True), (None, None, "", "", 301, False)], "kept string, head string, was string, files string, age int, want boolean")
     assert rows.where(E.still_valid(F.col("kept"), F.col("head"), F.col("was"), F.col("files"), F.col("age")) != F.col("want")).count() == 0
+
+
+def test_runs_are_kept(spark, tmp_path):
+    run = lambda *lines: spark.createDataFrame([("k", list(lines))], "key string, lines array<string>")
+    R.keep_runs(run("a fails", "b fails"), str(tmp_path / "runs"))
+    got = R.against_previous(run("b fails", "c fails"), spark.read.parquet(str(tmp_path / "runs")), "key", "lines").first()
+    assert (got["fresh"], got["gone"]) == (["c fails"], ["a fails"])
+    assert one(spark, R.snapshot_key(F.lit("/p"), F.lit("npm test"))) == hashlib.md5(b"/p:npm test").hexdigest()[:12]
