@@ -124,8 +124,13 @@ def starts(phrase: str, idf: dict[str, float]) -> Column:
     return F.filter(proposed, lambda s: (s >= 0) & (F.slice("_words", F.greatest(s, F.lit(0)) + 1, len(sequence)) == strings(sequence)))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def index_of(idf: dict[str, float]) -> Column:
-    """The templates as a literal array: label, words in order with their IDF, words by IDF, each word's places, key phrases."""
+    """The templates as a literal array: label, words in order with their IDF, words by IDF, each word's places, key phrases and their rarest word."""
 
     def entry(t: Template) -> Column:
         sequence, by_idf = t.words.split(), rarest(t.words, idf)
@@ -136,6 +141,7 @@ def index_of(idf: dict[str, float]) -> Column:
             strings(by_idf).alias("by_idf"),
             F.map_from_arrays(strings(by_idf), F.array(*(F.array(*(F.lit(k) for k, x in enumerate(sequence) if x == w)) for w in by_idf))).alias("places"),
             F.array(*(F.lit(f" {k} ") for k in t.keys)).alias("keys"),
+            F.lit(rarest(" ".join(t.keys), idf)[0]).alias("anchor"),
         )
 
     return F.array(*map(entry, TEMPLATES))
@@ -144,25 +150,30 @@ def index_of(idf: dict[str, float]) -> Column:
 def matches(index: Column, present: Column) -> Column:
     """label and score of each template: the best start that holds its key phrases (0 if none does). present: template words of the file."""
 
-    def spoken(t: Column, rare: Column, k: int) -> Column:
-        word = F.get(rare, F.lit(k))
+    def spoken(t: Column, word: Column) -> Column:
         starts_ = F.transform(places_of(word), lambda i: F.transform(F.element_at(t["places"], word), lambda p: i - p))
         return F.coalesce(F.array_distinct(F.flatten(starts_)), F.array().cast("array<int>"))
 
+    def agreed(spoke: Column) -> Column:
+        pairs = [F.array_intersect(F.get(spoke, F.lit(i)), F.get(spoke, F.lit(j))) for i in range(PROPOSERS) for j in range(i)]
+        return reduce(F.array_union, (F.coalesce(x, F.array().cast("array<int>")) for x in pairs))
+
     def score(t: Column, s: Column) -> Column:
-        span = F.slice("_words", s + 1, F.size(t["words"]))
-        in_place = F.aggregate(F.zip_with(span, t["words"], lambda w, x: F.when(w == x["w"], x["x"]).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-        said = F.concat(F.lit(" "), F.array_join(span, " "), F.lit(" "))
-        return F.when(F.forall(t["keys"], lambda k: F.contains(said, k)), F.least(in_place / t["total"], F.lit(1.0))).otherwise(F.lit(0.0))
+        def of(span: Column) -> Column:
+            in_place = F.aggregate(F.zip_with(span, t["words"], lambda w, x: F.when(w == x["w"], x["x"]).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+            said = F.concat(F.lit(" "), F.array_join(span, " "), F.lit(" "))
+            return F.when(F.forall(t["keys"], lambda k: F.contains(said, k)), F.least(in_place / t["total"], F.lit(1.0))).otherwise(F.lit(0.0))
+
+        return let(F.slice("_words", s + 1, F.size(t["words"])), of)
 
-    def best(t: Column) -> Column:
+    def best(t: Column, present: Column) -> Column:
         rare = F.slice(F.array_intersect(t["by_idf"], present), 1, PROPOSERS)
-        spoke = [spoken(t, rare, k) for k in range(PROPOSERS)]
-        agreed = reduce(F.array_union, [F.array_intersect(a, b) for i, a in enumerate(spoke) for b in spoke[:i]])
-        found = F.array_max(F.transform(F.filter(agreed, lambda s: s >= 0), lambda s: score(t, s)))
-        return F.struct(t["label"].alias("label"), F.coalesce(found, F.lit(0.0)).alias("score"))
+        starts_ = let(F.transform(rare, lambda w: spoken(t, w)), agreed)
+        found = F.array_max(F.transform(F.filter(starts_, lambda s: s >= 0), lambda s: score(t, s)))
+        score_ = F.when(F.array_contains(present, t["anchor"]), F.coalesce(found, F.lit(0.0))).otherwise(F.lit(0.0))
+        return F.struct(t["label"].alias("label"), score_.alias("score"))
 
-    return F.transform(index, best)
+    return let(present, lambda words_: F.transform(index, lambda t: best(t, words_)))
 
 
 OUTPUTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
