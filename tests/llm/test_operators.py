@@ -271,7 +271,7 @@ def quality_by_hand(texts):
     votes = np.array([votes_by_hand(f) for f in features]).reshape(-1, 8) + 1
     quality, weight = np.ones(len(texts)), 1000
     for own in ([0], [1], [2, 3, 4], [5, 6], [7]):
-        start = {1: np.tile([0.6, 0.3, 0.1], (len(own), 1)), 0: np.tile([0.01, 0.29, 0.7], (len(own), 1))}
+        start = {1: np.tile([0.85, 1.0, 0.15], (len(own), 1)), 0: np.tile([0.015, 1.0, 0.985], (len(own), 1))}  # an abstention has no weight
         now, share = start, 0.05
         for step in range(201):
             like = {c: np.prod([now[c][j][votes[:, k]] for j, k in enumerate(own)], axis=0) for c in now}
@@ -279,7 +279,8 @@ def quality_by_hand(texts):
             if step == 200 or not len(texts):
                 break
             counts = {c: np.array([[(w * (votes[:, k] == v)).sum() for v in range(3)] for k in own]) + weight * prior * start[c] for c, w, prior in ((1, p, 0.05), (0, 1 - p, 0.95))}
-            now, share = {c: x / x.sum(axis=1, keepdims=True) for c, x in counts.items()}, (p.sum() + 0.05 * weight) / (len(texts) + weight)
+            now = {c: np.stack([x[:, 0] / (x[:, 0] + x[:, 2]), np.ones(len(own)), x[:, 2] / (x[:, 0] + x[:, 2])], axis=1) for c, x in counts.items()}
+            share = (p.sum() + 0.05 * weight) / (len(texts) + weight)
         quality *= 1 - p
     return [(f, f["n_words"] < 10 or 100 * f["n_repeat_words"] > 20 * f["n_words"], q) for f, q in zip(features, quality, strict=True)]
 
@@ -300,7 +301,7 @@ def test_quality_rules(spark, docs, empty, small):
 
 def test_estimates_follow_the_data():
     """The same shares at any size give the same model in the limit, whatever was believed first."""
-    patterns = {(1, 1, 1, 1, 1, 1, 1, 1): 900, (1, 1, -1, -1, 0, 1, 1, 1): 40, (1, 1, 1, -1, 1, 1, 1, 0): 10, (-1, 1, 1, 1, 1, 1, 1, 1): 50}
+    patterns = {(1, 1, 1, 1, 1, 1, 1, 1): 900, (1, 1, -1, -1, 0, 1, 1, 1): 40, (1, 1, 1, -1, 1, 1, 1, 0): 10, (-1, 1, 1, 1, 1, 1, 1, 1): 50, (1, 1, 0, 0, 1, 1, 1, 1): 100}
     small, large = (quality_rules.estimate({k: n * scale for k, n in patterns.items()}) for scale in (10**4, 10**8))
     assert abs(small["repetition"][0] - large["repetition"][0]) < 0.01 and abs(1 / (1 + math.exp(-large["repetition"][0])) - 0.04) < 0.001
 
