@@ -44,8 +44,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import blocks, carried, carry, materialize, partitions, ranges, release, spread_join, texts
 
 SEED = 42
-#: Visitors that a tile's part meets in one task, in tiles.
+#: Visitors that a tile's part meets in one task, in parts.
 VISITORS = 4
+#: Parts that all fingerprints would make at least, as long as a part has LEAST of them.
+SPREAD, LEAST = 64, 2048
 #: Elements of one exclusive-or matrix.
 CELLS = 1 << 21
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -65,7 +67,7 @@ class Rule:
     parts: int = 4
     #: Neighbouring population counts that name one tile together.
     band: int = 1
-    #: Distinct fingerprints of one tile that are compared as one matrix side.
+    #: Distinct fingerprints of one tile's part at most, which are compared as one matrix side.
     tile: int = 8192
     #: Differing bits of the first two words, at most.
     second: int = 128
@@ -195,10 +197,11 @@ def deal(fps: DataFrame, held: dict[int, int], rule: Rule) -> DataFrame:
     """(tile, part, visits, node, bits, weight): each fingerprint at home and in every tile that it visits. held: fingerprints by tile."""
     moves, most = steps(rule), 64 // rule.parts // rule.band
     names = sorted(held)
-    split = [-(-held[k] // rule.tile) for k in names]
+    tile = min(rule.tile, max(LEAST, sum(held.values()) // SPREAD))
+    split = [-(-held[k] // tile) for k in names]
     # a part with many visitors is copied, and each copy meets a share of them
     visitors = [(0 if n == 1 else held[k]) + sum(held.get(k - move, 0) for move, _ in moves) for k, n in zip(names, split, strict=True)]
-    copies = [max(1, -(-v // (VISITORS * rule.tile))) for v in visitors]
+    copies = [max(1, -(-v // (VISITORS * tile))) for v in visitors]
     spread = fps.sparkSession.sparkContext.broadcast(tuple(map(np.array, (names, split, copies))))
 
     def run(batches):
