@@ -33,7 +33,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, delete, materialize, partitions, release, shared_folder, texts
+from .common import blocks, delete, materialize, partitions, release, shared_folder, texts, trim
 
 ORDER = 3
 ALPHA = 0.4
@@ -211,6 +211,7 @@ def rows_of(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+    trim()
 
 
 def explode(stored: DataFrame, ranges: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -94,6 +97,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give back what a worker no longer uses: workers live on, and several share an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def blocks(batches, text_column: str, limit: int = BLOCK_BYTES):
     """Cut Arrow batches into slices of about ``limit`` bytes of text (one row at least)."""
     for batch in batches:
@@ -108,7 +121,8 @@ def blocks(batches, text_column: str, limit: int = BLOCK_BYTES):
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-            pa.default_memory_pool().release_unused()  # workers live on, and several share an executor
+            pa.default_memory_pool().release_unused()
+    trim()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -12,8 +12,8 @@ source and labels are no inputs of a score.
 
 Defined cases: null text is empty, and an empty text has a vector like any other;
 labels null or without a document are left out; if a doc_id has several labels, their
-mean is learnt; repeated rows score alike; extra columns pass through ``classify``;
-without any labels the score is the neutral 0.5.
+mean is learnt; repeated rows score alike; extra columns pass through ``classify``, but one
+named score or predicted gives way to the output; without any labels the score is the neutral 0.5.
 """
 
 from __future__ import annotations
