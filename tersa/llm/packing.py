@@ -34,7 +34,7 @@ from .common import blocks, materialize, ragged, ranges
 MAX_TOKENS = 2048
 END_ID = 1
 #: Words that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pieces of one length and salt are numbered together; so many at about.
 RANKED_TOGETHER = 100_000
 
@@ -175,7 +175,7 @@ def cut(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, with_ids: bool
 
     def run(batches):
         own, serial = tokens(path), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        for block in blocks(batches, "text", 6 << 20):
+        for block in blocks(batches, "text", 4 << 20):
             rows, which = [], []
             for i, ids in enumerate(own.encode_block(block.column(block.schema.get_field_index("text")))):
                 ids = np.append(ids, np.uint32(END_ID))
