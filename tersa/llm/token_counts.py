@@ -75,7 +75,7 @@ def with_limits(counts: DataFrame, limits: tuple[int, ...]) -> DataFrame:
         return counts
     rows = counts.sparkSession.createDataFrame([(int(x),) for x in sorted(set(limits))], "n_tokens long")
     some = counts.limit(1).select(F.lit(0).cast("long").alias("n_docs"))  # no rows without documents
-    return counts.unionByName(rows.join(F.broadcast(some)).join(counts.select("n_tokens"), "n_tokens", "left_anti"))
+    return counts.unionByName(rows.join(F.broadcast(some))).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, limits: tuple[int, ...] = LIMITS) -> DataFrame:
