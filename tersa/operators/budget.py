@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -56,12 +57,23 @@ def edged(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + re.sub(r"\\b$", "($|[^A-Za-z0-9_])", pattern)
 
 
+def stems(pattern: str) -> list[str]:
+    """What a rule of words needs of a line, in lower case: one of the literal beginnings of its words; nothing for other rules."""
+    words = re.fullmatch(r"\\b\((.*)\)(?:\\b|\[.*\])", pattern)
+    begins = [re.match(r"[A-Za-z' ]+(?![?*])", x)[0].lower() for x in re.sub(r"\([^)]*\)\?", "", words[1]).split("|")] if words else []
+    return sorted({b for b in begins if not any(b != c and b.startswith(c) for c in begins)})
+
+
 def line_score(line: Column) -> Column:
-    """How much a line tells; blank lines score -1."""
+    """How much a line tells; blank lines score -1. A rule's pattern is tried only where one of its words can begin."""
     t = F.trim(line)
+    lower = F.lower(t)
     score = F.lit(0)
     for pattern, ignore_case, weight in LINE_RULES:
-        score = score + F.when(t.rlike(edged(pattern, ignore_case)), weight).otherwise(0)
+        hit = t.rlike(edged(pattern, ignore_case))
+        if own := stems(pattern):
+            hit = reduce(lambda a, b: a | b, (F.contains(lower, F.lit(x)) for x in own)) & hit
+        score = score + F.when(hit, weight).otherwise(0)
     score = score + F.when(t.rlike("[^ \\t]+:[0-9]+") & t.rlike(edged("\\b(error|warn|fail)", True)), 2).otherwise(0)
     score = score - F.when(line.rlike("^[ \\t]*at "), 1).otherwise(0)
     return F.when(t == "", -1).otherwise(score)
