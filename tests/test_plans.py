@@ -21,6 +21,14 @@ def test_made_rows_are_not_broadcast(spark, small, name):
     assert found.count("BroadcastExchange") <= ALLOWED[name]
 
 
+@pytest.mark.parametrize("name", ["dependency_tree"])
+def test_edges_are_made_without_broadcasts(spark, small, name, monkeypatch):
+    written, write = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, label: written.append((label, plan(df))) or write(df, label))
+    entry.queries()[name](spark, small)
+    assert written[0][0] == "edges" and "BroadcastExchange" not in written[0][1]
+
+
 def test_a_file_is_found_by_each_of_its_names(spark):
     paths = ["a.ts", "a.js", "b/index.ts", "b.py", "c.js.ts", "c.ts", "d.test.js", "/index.js", None]
     files = spark.createDataFrame([(p,) for p in paths + paths], "path string")
