@@ -21,7 +21,7 @@ def test_made_rows_are_not_broadcast(spark, small, name):
     assert found.count("BroadcastExchange") <= ALLOWED[name]
 
 
-@pytest.mark.parametrize("name", ["dependency_tree"])
+@pytest.mark.parametrize("name", ["dependency_tree", "guard"])
 def test_edges_are_made_without_broadcasts(spark, small, name, monkeypatch):
     written, write = [], G.materialize
     monkeypatch.setattr(G, "materialize", lambda df, label: written.append((label, plan(df))) or write(df, label))
