@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tersa.operators import graph as G
 
 #: Queries of the import graph, and how many broadcasts their plans may hold.
-ALLOWED = {"import_graph": 0, "tested_exports": 0, "analyze": 0}
+ALLOWED = {"import_graph": 0, "test_map": 0, "tested_exports": 0, "analyze": 0}
 
 
 def plan(frame) -> str:
