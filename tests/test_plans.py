@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tersa.operators import graph as G
 
 #: Queries of the import graph; broadcasts that their plans may hold (the first few files of each folder).
-ALLOWED = {"import_graph": 0, "test_map": 0, "tested_exports": 0, "risk_score": 0, "analyze": 0, "related_files": 1}
+ALLOWED = {"import_graph": 0, "importers_ranked": 0, "test_map": 0, "tested_exports": 0, "risk_score": 0, "analyze": 0, "related_files": 1}
 
 
 def plan(frame) -> str:
