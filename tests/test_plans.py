@@ -29,6 +29,15 @@ def test_edges_are_made_without_broadcasts(spark, small, name, monkeypatch):
     assert written[0][0] == "edges" and "BroadcastExchange" not in written[0][1]
 
 
+@pytest.mark.parametrize("name", ["dependency_tree"])
+def test_walks_broadcast_nothing(spark, small, name, monkeypatch):
+    plans, write = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, label: plans.append(plan(df)) or write(df, label))
+    plans.append(plan(entry.queries()[name](spark, small)))
+    assert sum(p.count("BroadcastExchange") for p in plans) == 0
+    assert sum(p.count("MapInArrow") for p in plans) == 1  # files are scanned once
+
+
 def test_a_file_is_found_by_each_of_its_names(spark):
     paths = ["a.ts", "a.js", "b/index.ts", "b.py", "c.js.ts", "c.ts", "d.test.js", "/index.js", None]
     files = spark.createDataFrame([(p,) for p in paths + paths], "path string")
